@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import quality
 from .packing import op7_packing
+from .quality import op10_quality
 
 QUERIES = {
     "op7_packing": op7_packing,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality": quality.ORACLE,
+}
