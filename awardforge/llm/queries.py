@@ -5,8 +5,12 @@ from __future__ import annotations
 from . import quality
 from .packing import op7_packing
 from .quality import op10_quality
+from .repair import op5_repair
+from .simhash import op6_simhash
 
 QUERIES = {
+    "op5_repair": op5_repair,
+    "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op10_quality": op10_quality,
 }
