@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from . import quality
+from .lm import op1_lm
 from .packing import op7_packing
 from .quality import op10_quality
 from .repair import op5_repair
 from .simhash import op6_simhash
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op5_repair": op5_repair,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
