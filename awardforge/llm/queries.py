@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import quality
 from .decontam import op4_decontamination
+from .linededup import op3_line_dedup
 from .lm import op1_lm
 from .packing import op7_packing
 from .quality import op10_quality
@@ -12,6 +13,7 @@ from .simhash import op6_simhash
 
 QUERIES = {
     "op1_lm": op1_lm,
+    "op3_line_dedup": op3_line_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_repair": op5_repair,
     "op6_simhash": op6_simhash,
