@@ -10,6 +10,7 @@ from .packing import op7_packing
 from .quality import op10_quality
 from .repair import op5_repair
 from .simhash import op6_simhash
+from .suffix import op8_suffix
 
 QUERIES = {
     "op1_lm": op1_lm,
@@ -18,9 +19,11 @@ QUERIES = {
     "op5_repair": op5_repair,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_suffix": op8_suffix,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_suffix": op8_suffix,
     "op10_quality": quality.ORACLE,
 }
