@@ -52,7 +52,7 @@ class Profile:
     psc: tuple[str, ...] = ("D302", "D307")
     capabilities: tuple[str, ...] = ("cyber", "cloud", "help desk")
     ceiling: int | None = 20_000_000
-    components: tuple[str, ...] = ("CHINA", "FRANCE", "GERMANY")
+    components: tuple[str, ...] = ("NATION_1", "NATION_2", "NATION_3")
     states: tuple[str, ...] = ("VA", "MD", "DC")
     nationwide: bool = False
 
