@@ -1,0 +1,174 @@
+"""Registered parsing rules, exports, chips, evidence and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from awardforge.functions import rules
+from awardforge.functions.rules import AS_OF, DUCK, SPARK
+from awardforge.operators import trust
+from awardforge.plans import domain
+from awardforge.plans.award_queries import awards, cand, registered, scored, succeeded
+from awardforge.plans.market_queries import g1, j2, j4
+from awardforge.sources import tables
+
+_MONEY = "CASE l_linenumber % 4 WHEN 0 THEN '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)) WHEN 1 THEN '-' WHEN 2 THEN '' ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR(30)) || ' USD' END"
+
+
+def lines(s, d):
+    return s.read.parquet(f"{d}/lineitem.parquet")
+
+
+@registered("b1_dollars", f"SELECT l_orderkey, count(x) AS n, CAST(sum(x) AS DOUBLE) AS total FROM (SELECT l_orderkey, TRY_CAST(regexp_replace({_MONEY}, '[^0-9.-]', '', 'g') AS DECIMAL(18,2)) AS x FROM lineitem) GROUP BY l_orderkey")
+def b1(s, d):
+    x = lines(s, d).select("l_orderkey", tables.dollars(F.expr(_MONEY)).alias("x"))
+    return x.groupBy("l_orderkey").agg(F.count("x").alias("n"), F.sum("x").cast("double").alias("total"))
+
+
+_DAY = "CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR(30)) WHEN 1 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR(30)) || ' 00:00:00' ELSE 'n/a' END"
+
+
+@registered("b2_dates", "SELECT CAST(l_shipdate AS DATE) AS day, count(*) FILTER (l_linenumber % 3 <> 2) AS n_read, count(*) FILTER (l_linenumber % 3 = 2) AS n_refused FROM lineitem GROUP BY 1")
+def b2(s, d):
+    x = lines(s, d).select(F.col("l_shipdate").cast("date").alias("day"), tables.day(F.expr(_DAY)).alias("x"))
+    return x.groupBy("day").agg(F.count(F.when(F.col("x") == F.col("day"), 1)).alias("n_read"), F.count(F.when(F.col("x").isNull(), 1)).alias("n_refused"))
+
+
+@registered("b4_codes", "SELECT CAST(l_partkey AS VARCHAR) AS code, count(*) AS n FROM lineitem GROUP BY 1")
+def b4(s, d):
+    raw = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".0").otherwise(" "))
+    return lines(s, d).groupBy(tables.code(raw).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Placeholder for a title that cannot be shown.
+UNTITLED = "[Untitled award - see source record]"
+_TAG = r"\b[A-Z]?IGF\s*[:;]{1,2}\s*((IGF|CT|CL|OTF|OT)\s*([:;]{1,2}\s*)?)*"
+
+
+def _clean_title(d) -> str:
+    stripped = f"trim({d.replaced(d.replaced('title', _TAG, ''), r'\s+', ' ')})"
+    return f"CASE WHEN {rules.title_flags(d)['garbled_title']} OR {stripped} = '' THEN '{UNTITLED}' ELSE {stripped} END"
+
+
+@registered("b10_clean_titles", f"SELECT candidate_id, {_clean_title(DUCK)} AS clean_title FROM cand")
+def b10(s, d):
+    return cand(s, d).select("candidate_id", F.expr(_clean_title(SPARK)).alias("clean_title"))
+
+
+@registered("b11_source_url", "SELECT award_id, CASE WHEN regexp_matches(award_id, '^(CONT|ASST)_[A-Z]+_') THEN 'https://www.usaspending.gov/award/' || award_id END AS source_url FROM award")
+def b11(s, d):
+    return awards(s, d).select("award_id", F.when(F.col("award_id").rlike("^(CONT|ASST)_[A-Z]+_"), F.concat(F.lit("https://www.usaspending.gov/award/"), "award_id")).alias("source_url"))
+
+
+_f = rules.fiscal("expiry")
+
+
+@registered("b16_fiscal_parts", f"SELECT candidate_id, {', '.join(f'{v} AS {k}' for k, v in _f.items())}, CAST(floor((days_left * 200 + 3044) / 6088.0) AS BIGINT) AS months_left FROM cand WHERE expiry IS NOT NULL")
+def b16(s, d):
+    return cand(s, d).where("expiry is not null").select("candidate_id", *[F.expr(v).alias(k) for k, v in _f.items()], F.floor((F.col("days_left") * 200 + 3044) / F.lit(6088.0)).cast("long").alias("months_left"))
+
+
+def _compact(d) -> str:
+    tenth = lambda unit: f"CAST({d.div(f'CAST(floor(value) AS BIGINT) * 10 + {unit // 2}', str(unit))} AS BIGINT)"
+    text = lambda unit, mark: f"'$' || CAST({d.div(tenth(unit), '10')} AS VARCHAR(20)) || '.' || CAST({tenth(unit)} % 10 AS VARCHAR(20)) || '{mark}'"
+    return f"CASE WHEN value >= 1000000000 THEN {text(10**9, 'B')} WHEN value >= 1000000 THEN {text(10**6, 'M')} ELSE {text(1000, 'K')} END"
+
+
+@registered("b17_compact_usd", f"SELECT candidate_id, {_compact(DUCK)} AS usd FROM cand")
+def b17(s, d):
+    return cand(s, d).select("candidate_id", F.expr(_compact(SPARK)).alias("usd"))
+
+
+@registered("f4_displacement_order", "SELECT candidate_id, displacement_count, score10 FROM displaced JOIN scored USING (candidate_id) ORDER BY displacement_count DESC NULLS LAST, score10 DESC, candidate_id LIMIT 100")
+def f4(s, d):
+    from awardforge.operators import signals
+
+    x = signals.displacement(succeeded(s, d), signals.size_shift(awards(s, d)))
+    return x.orderBy(F.col("displacement_count").desc_nulls_last(), F.col("score10").desc(), "candidate_id").limit(100).select("candidate_id", "displacement_count", "score10")
+
+
+#: Reason chips in rank order: code and condition.
+CHIPS = {
+    "terminated": "terminated",
+    "quarantined": "tier = 'Data Gap'",
+    "expires_soon": "days_left BETWEEN 0 AND 180",
+    "recently_lapsed": "days_left BETWEEN -90 AND -1",
+    "balloon": "ceiling_balloon",
+    "deobligated": "has_deobligation",
+    "bridge": "bridge_flag",
+    "high_velocity": "velocity_band = 'high'",
+    "large_value": "value >= 10000000",
+    "high_confidence": "confidence = 'High'",
+    "set_aside": "coalesce(upper(trim(set_aside_code)), '') NOT IN ('', 'NONE')",
+}
+
+
+@registered(
+    "f12_reason_chips",
+    "SELECT candidate_id, coalesce(array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {c}{' AND tier <> ' + chr(39) + 'Data Gap' + chr(39) if n == 'expires_soon' else ''} THEN '{n}' END" for n, c in CHIPS.items()) + "], lambda x: x IS NOT NULL), 1, 12), '+'), '') AS chips FROM scored",
+)
+def f12(s, d):
+    """Chips in rank order, twelve at most; urgency yields to a gap chip; with none at all the list says so."""
+    items = [F.when(F.expr(c + (" and tier <> 'Data Gap'" if n == "expires_soon" else "")), F.lit(n)) for n, c in CHIPS.items()]
+    return scored(s, d).select("candidate_id", F.array_join(F.slice(F.array_compact(F.array(*items)), 1, 12), "+").alias("chips"))
+
+
+@registered("k1_snapshot_contract", "SELECT candidate_id, tier, CASE WHEN notice_id IS NULL THEN '' ELSE notice_id END AS notice_ids FROM scored JOIN idlink USING (candidate_id)")
+def k1(s, d):
+    ids = g1(s, d).groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set("notice_id")), ",").alias("notice_ids"))
+    return scored(s, d).select("candidate_id", "tier").join(ids, "candidate_id")
+
+
+@registered("h17_evidence_pack", "SELECT candidate_id, vendor, vendor_n, component_n FROM (SELECT *, count(*) OVER (PARTITION BY vendor) AS vendor_n, count(*) OVER (PARTITION BY component) AS component_n FROM scored) WHERE tier <> 'Data Gap' ORDER BY score10 DESC, candidate_id LIMIT 50")
+def h17(s, d):
+    """The 50 best candidates with their vendor's and office's books."""
+    x = scored(s, d)
+    best = x.where("tier <> 'Data Gap'").orderBy(F.col("score10").desc(), "candidate_id").limit(50)
+    vendor = x.groupBy("vendor").agg(F.count(F.lit(1)).alias("vendor_n"))
+    office = x.groupBy("component").agg(F.count(F.lit(1)).alias("component_n"))
+    return best.join(vendor, "vendor").join(office, "component").select("candidate_id", "vendor", "vendor_n", "component_n")
+
+
+@registered("m2_public_checks", f"SELECT 'no_contact_title' AS check_name, count(*) FILTER (regexp_matches(t, '@[a-z]+\\.') OR regexp_matches(t, 'POC:')) = 0 AS ok, count(*) FILTER (regexp_matches(t, '@[a-z]+\\.') OR regexp_matches(t, 'POC:')) AS failing FROM (SELECT CASE WHEN regexp_matches(coalesce(title, ''), 'POC:|@') THEN '{UNTITLED}' ELSE title END AS t FROM cand)")
+def m2(s, d):
+    """Titles that name a contact are replaced whole, so none is left to find."""
+    x = cand(s, d).select(F.when(F.coalesce("title", F.lit("")).rlike("POC:|@"), UNTITLED).otherwise(F.col("title")).alias("t"))
+    return trust.checks(x, {"no_contact_title": r"NOT (rlike(t, '@[a-z]+\\.') OR rlike(t, 'POC:'))"})
+
+
+@registered("m3_link_checks")
+def m3(s, d):
+    """No link outside both windows, recomputed from the notice's date."""
+    x = g1(s, d).where("notice_id is not null").join(domain.notices(s, d).select("notice_id", "posted_date"), "notice_id").join(cand(s, d).select("candidate_id", "expiry", "current_end"), "candidate_id")
+    near = lambda e: f"coalesce(posted_date BETWEEN add_months({e}, -24) AND add_months({e}, 12), false)"
+    return trust.checks(x, {"link_in_a_window": f"posted_date IS NULL OR coalesce(expiry, current_end) IS NULL OR {near('expiry')} OR {near('current_end')}"})
+
+
+@registered("j8_trust_report")
+def j8(s, d):
+    """All measures in one long table with the day they were taken."""
+    a = j2(s, d).select(F.concat(F.lit("precision "), "link_confidence").alias("metric"), F.col("precision").alias("value"), "n", "gate_state")
+    b = j4(s, d).select("metric", (F.col("refused_permille") / 1000).alias("value"), "n", F.lit("measured").alias("gate_state"))
+    return a.unionByName(b).withColumn("snapshot_date", F.expr(AS_OF))
+
+
+@registered("a8_reference_union", f"SELECT psc AS code, CASE WHEN psc IN ({rules.listed(rules.PSC_RELEVANT)}) THEN true ELSE false END AS relevant FROM (SELECT psc FROM award WHERE psc IS NOT NULL UNION SELECT unnest([{rules.listed(rules.PSC_RELEVANT)}]))")
+def a8(s, d):
+    """Vintages from the awards of each year; the curated codes keep their flag."""
+    v = awards(s, d).where("psc is not null").select(F.col("psc").alias("code"), F.concat(F.lit("class "), F.substring("psc", 1, 2)).alias("description"), F.year("signed").alias("vintage")).distinct()
+    curated = s.createDataFrame([(p, "curated", True) for p in rules.PSC_RELEVANT], "code string, description string, relevant boolean")
+    return tables.newest_reference(v, curated).select("code", "relevant")
+
+
+@registered("a11_formula_safe", "SELECT candidate_id, CASE WHEN regexp_matches(x, '^[=+@-]') THEN '''' || x ELSE x END AS x FROM (SELECT candidate_id, CASE WHEN days_left < 0 THEN '=' || title ELSE title END AS x FROM cand)")
+def a11(s, d):
+    return tables.formula_safe(cand(s, d).select("candidate_id", F.when(F.col("days_left") < 0, F.concat(F.lit("="), "title")).otherwise(F.col("title")).alias("x")))
+
+
+@registered(
+    "a13_crm_leads",
+    "SELECT candidate_id, vendor, component, tier, CAST(value AS DOUBLE) AS value, concat_ws(' - ', 'expires ' || CAST(expiry AS VARCHAR), CASE WHEN terminated THEN 'terminated' END, 'set-aside ' || set_aside_code) AS note FROM scored WHERE tier <> 'Data Gap'",
+)
+def a13(s, d):
+    note = F.concat_ws(" - ", F.concat(F.lit("expires "), F.col("expiry").cast("string")), F.when(F.col("terminated"), "terminated"), F.concat(F.lit("set-aside "), "set_aside_code"))
+    return scored(s, d).where("tier <> 'Data Gap'").select("candidate_id", "vendor", "component", "tier", F.col("value").cast("double").alias("value"), note.alias("note"))
