@@ -40,6 +40,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], max_rate: float, recall: float, agreement: float, sampled: int):
         self.ids, self.words, self.limit, self.q, self.need = [], [], [], [], []
+        self.walks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.sampled, self.reps = sampled, repetitions(recall, agreement, sampled)
         grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in items:
@@ -70,21 +71,29 @@ class Items:
             for rep, key in enumerate(self.keys(word[None, :])[0].tolist()):
                 self.tables[len(word), rep, key].append(k)
 
+    def walk(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of ``m`` words: each step's and repetition's salt, and which steps a repetition samples."""
+        if m not in self.walks:
+            rng, steps = np.random.default_rng(m), 3 * m
+            salts = rng.integers(1, 2**63, (steps, self.reps), dtype=np.uint64) | np.uint64(1)
+            taken = np.zeros((steps, self.reps), bool)
+            for rep in range(self.reps):
+                taken[rng.choice(steps, self.sampled, replace=False), rep] = True
+            self.walks[m] = salts, taken
+        return self.walks[m]
+
     def keys(self, windows: np.ndarray) -> np.ndarray:
-        """The bucket key of each window (a row of word hashes, all of one length) in each repetition."""
+        """The bucket key of each window (a row of word hashes, all of one length) in each repetition; all walk in step."""
         n, m = windows.shape
-        steps, rows = 3 * m, np.arange(n)
-        out = np.zeros((n, self.reps), np.uint64)
-        for rep in range(self.reps):
-            rng = np.random.default_rng((m, rep))
-            sampled = set(rng.choice(steps, self.sampled, replace=False).tolist())
-            salts = rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)
-            at = np.zeros(n, np.int64)
-            for j in range(max(sampled) + 1):
-                symbol = np.where(at < m, windows[rows, np.minimum(at, m - 1)], np.uint64(0))
-                if j in sampled:
-                    out[:, rep] = shared.mix(out[:, rep] + symbol)
-                at += ((symbol * salts[j]) >> np.uint64(63)).astype(np.int64)
+        salts, taken = self.walk(m)
+        padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
+        base = (np.arange(n) * (m + 1))[:, None]
+        flat, at, out = padded.reshape(-1), np.zeros((n, self.reps), np.int64), np.zeros((n, self.reps), np.uint64)
+        for j in range(3 * m):
+            symbol = flat[base + at]
+            if taken[j].any():
+                out = np.where(taken[j], shared.mix(out + symbol), out)
+            at = np.minimum(at + ((symbol * salts[j]) >> np.uint64(63)).astype(np.int64), m)
         return out
 
     def windows(self, word: np.ndarray):
@@ -114,7 +123,7 @@ class Items:
         return found
 
     def matches(self, word: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """``(item, first word, word after the last, distance)``: for each item the best of overlapping alignments."""
+        """``(item, first word, word after the last, distance)`` of passages within the limit; those of one item do not overlap."""
         candidates: set[tuple[int, int]] = set()
         for m, starts in self.windows(word).items():
             starts = np.unique(np.clip(np.array(sorted(starts)), 0, max(len(word) - m, 0)))
@@ -122,17 +131,25 @@ class Items:
             text = np.where(rows < len(word), word[np.minimum(rows, len(word) - 1)], np.uint64(0))
             for start, keys in zip(starts.tolist(), self.keys(text).tolist(), strict=True):
                 candidates.update((k, start) for rep, key in enumerate(keys) for k in self.tables.get((m, rep, key), ()))
-        best: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
+        runs: list[list[int]] = []
         for k, start in sorted(candidates):
+            # starts close together are one piece of text to verify
+            if runs and runs[-1][0] == k and start - runs[-1][2] <= self.limit[k]:
+                runs[-1][2] = start
+            else:
+                runs.append([k, start, start])
+        for k, first, last in runs:
             m, slack = len(self.words[k]), self.limit[k]
-            a = max(0, start - slack)
-            d, lo, hi = align(self.words[k], word[a : start + m + slack])
-            if d <= slack:
-                best.append((k, a + lo, a + hi, d))
-        out: list[tuple[int, int, int, int]] = []
-        for row in sorted(best, key=lambda r: (r[0], r[3], r[1])):
-            if not any(o[0] == row[0] and o[1] < row[2] and row[1] < o[2] for o in out):
-                out.append(row)
+            todo = [(max(0, first - slack), min(len(word), last + m + slack))]
+            while todo:
+                a, b = todo.pop()
+                if b - a < m - slack:
+                    continue
+                d, lo, hi = align(self.words[k], word[a:b])
+                if d <= slack:
+                    out.append((k, a + lo, a + hi, d))
+                    todo += [(a, a + lo), (a + hi, b)]
         return out
 
 
