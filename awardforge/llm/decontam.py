@@ -30,6 +30,14 @@ for _b in range(0x41, 0x5B):
     _PLAIN[_b] = _b + 0x20
 
 
+def plain_bytes(raw: np.ndarray) -> np.ndarray:
+    """Case and ASCII marks taken out, byte for byte; capitals of Latin-1 (two bytes from C3 80 on) are lower-cased too."""
+    out = _PLAIN[raw]
+    big = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[1:][big] += 0x20
+    return out
+
+
 def repetitions(recall: float, agreement: float, sampled: int) -> int:
     """Repetitions so that two walks that agree in a share ``agreement`` of their steps collide with probability ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
@@ -44,7 +52,7 @@ class Items:
         self.sampled, self.reps = sampled, repetitions(recall, agreement, sampled)
         grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in items:
-            data = _PLAIN[np.frombuffer((text or "").encode(), np.uint8)]
+            data = plain_bytes(np.frombuffer((text or "").encode(), np.uint8))
             low, a, b, _ = shared.words(data, np.array([0, len(data)]), lower=False)
             if not len(a):
                 continue
@@ -186,7 +194,7 @@ def _texts(batch, column: str):
     for a, b in shared.row_groups(offsets):
         part = offsets[a : b + 1]
         raw = data[part[0] : part[-1]]
-        low, starts, stops, first = shared.words(_PLAIN[raw], part - part[0], lower=False)
+        low, starts, stops, first = shared.words(plain_bytes(raw), part - part[0], lower=False)
         word = shared.span_hashes(low, starts, stops)
         for k in range(a, b):
             lo, hi = int(first[k - a]), int(first[k - a + 1])
@@ -216,8 +224,8 @@ OPTIONS = {"max_rate": 0.2, "recall": 0.99, "agreement": 0.4, "sampled": 2}
 def find_passages(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each passage of a document within ``max_rate`` word edits of a benchmark item.
 
-    start and end are code points, distance counts words inserted, dropped or changed. Case and ASCII
-    marks are ignored. A null or empty text or item matches nothing; equal items each match; repeated rows
+    start and end are code points, distance counts words inserted, dropped or changed. Case (of ASCII
+    and Latin-1 letters) and ASCII marks are ignored. A null or empty text or item matches nothing; equal items each match; repeated rows
     and rows without doc_id come back each; extra columns are ignored.
     """
     spark, settings = docs.sparkSession, OPTIONS | options
