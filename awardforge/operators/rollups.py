@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from awardforge.functions import rules
 
-ZERO = F.lit(0).cast("decimal(28,2)")
+
+def zero() -> Column:
+    return F.lit(0).cast("decimal(28,2)")
 
 
 def within(days: int) -> Column:
     """Value that expires in the next ``days`` days; what has expired is not expiring."""
-    return F.coalesce(F.sum(F.when(F.col("days_left").between(0, days), F.col("value"))), ZERO)
+    return F.coalesce(F.sum(F.when(F.col("days_left").between(0, days), F.col("value"))), zero())
 
 
 def permille(part: Column, whole: Column) -> Column:
@@ -23,7 +25,7 @@ def permille(part: Column, whole: Column) -> Column:
 
 def incumbents(c: DataFrame) -> DataFrame:
     """Per vendor: sums, forward value, share of the market, and vulnerability with its basis (coverage gate first)."""
-    floor0 = lambda x: F.greatest(F.coalesce(x, ZERO), ZERO)
+    floor0 = lambda x: F.greatest(F.coalesce(x, zero()), zero())
     g = c.groupBy("vendor").agg(
         F.min("uei").alias("uei"),
         F.count(F.lit(1)).alias("n_candidates"),

@@ -139,10 +139,10 @@ def h14(s, d):
 def h15(s, d):
     gap = F.col("tier") == "Data Gap"
     x = scored(s, d).agg(
-        F.coalesce(F.sum(F.when((F.col("tier") == rules.TIERS[0][1]) & F.col("days_left").between(0, 365), F.col("value"))), rollups.ZERO).alias("tier1_12m"),
+        F.coalesce(F.sum(F.when((F.col("tier") == rules.TIERS[0][1]) & F.col("days_left").between(0, 365), F.col("value"))), rollups.zero()).alias("tier1_12m"),
         F.expr("percentile(case when days_left >= 0 and tier <> 'Data Gap' then days_left end, 0.5)").alias("median_runway"),
         F.count(F.when(gap, 1)).alias("n_quarantined"),
-        F.coalesce(F.sum(F.when(gap, F.col("value"))), rollups.ZERO).alias("quarantined_value"),
+        F.coalesce(F.sum(F.when(gap, F.col("value"))), rollups.zero()).alias("quarantined_value"),
     )
     return money(x)
 
