@@ -42,22 +42,26 @@ def compress(ids: np.ndarray, end_id: int, terminals: int, rounds: int = 5, a_ro
         free = seq != end_id
         code = seq[:-1] << 32 | seq[1:]
         code[~(free[:-1] & free[1:])] = -1
-        # a count by hash bounds a pair's count from above, so pairs in thin bins need no exact count
+        # a count by hash bounds a pair's count from above, so only pairs in the thickest bins are counted exactly
         slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        heavy = np.bincount(slot, minlength=1 << 20) >= least
-        pairs, counts = np.unique(code[heavy[slot] & (code >= 0)], return_counts=True)
+        thick = np.bincount(slot, minlength=1 << 20)
+        bound = max(least, int(np.partition(thick, -2 * a_round)[-2 * a_round]))
+        pairs, counts = np.unique(code[(thick >= bound)[slot] & (code >= 0)], return_counts=True)
         pairs, counts = pairs[counts >= least], counts[counts >= least]
         if not len(pairs):
             break
         chosen = np.sort(pairs[np.lexsort((pairs, -counts))[:room]])
-        rule = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
-        hit = chosen[rule] == code
-        at = np.flatnonzero(hit)
+        wanted = np.zeros(1 << 20, bool)
+        wanted[(chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(wanted[slot])
+        rule = np.minimum(np.searchsorted(chosen, code[at]), len(chosen) - 1)
+        hit = chosen[rule] == code[at]
+        at, rule = at[hit], rule[hit]
         # of a run of overlapping pairs every other one is taken, from the left
         run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
         place = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate([run, [len(at)]])))
-        at = at[place % 2 == 0]
-        used, index = np.unique(rule[at], return_inverse=True)
+        at, rule = at[place % 2 == 0], rule[place % 2 == 0]
+        used, index = np.unique(rule, return_inverse=True)
         seq[at] = following + index
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False

@@ -12,7 +12,7 @@ from array import array
 
 from . import shared
 
-KEEP_WORDS = 200_000
+KEEP_WORDS = 350_000
 
 #: A run of Latin letters that lower-casing maps one to one, then ASCII marks other than the apostrophe:
 #: the vocabulary's own split parts exactly these two.
