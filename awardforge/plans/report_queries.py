@@ -172,3 +172,35 @@ def a11(s, d):
 def a13(s, d):
     note = F.concat_ws(" - ", F.concat(F.lit("expires "), F.col("expiry").cast("string")), F.when(F.col("terminated"), "terminated"), F.concat(F.lit("set-aside "), "set_aside_code"))
     return scored(s, d).where("tier <> 'Data Gap'").select("candidate_id", "vendor", "component", "tier", F.col("value").cast("double").alias("value"), note.alias("note"))
+
+
+@registered("a9_naics_reference", f"SELECT naics, naics IN ({rules.listed(rules.NAICS_ALWAYS)}) AS always_relevant, count(*) AS n_awards FROM award WHERE naics IS NOT NULL GROUP BY naics")
+def a9(s, d):
+    return awards(s, d).where("naics is not null").groupBy("naics").agg(F.col("naics").isin(*rules.NAICS_ALWAYS).alias("always_relevant"), F.count(F.lit(1)).alias("n_awards"))
+
+
+_OUTCOME = "CASE CAST(substr(candidate_id, 13) AS BIGINT) % 4 WHEN 0 THEN 'undeterminable' WHEN 1 THEN 'not_recompeted' ELSE 'recompeted' END"
+
+
+@registered(
+    "j3_precision_at_50",
+    f"""SELECT n, k, n_undeterminable, CASE WHEN n >= 40 THEN 'measured' ELSE 'below_floor' END AS gate_state FROM (SELECT count(*) FILTER (o <> 'undeterminable') AS n, count(*) FILTER (o = 'recompeted') AS k, count(*) FILTER (o = 'undeterminable') AS n_undeterminable
+    FROM (SELECT {_OUTCOME} AS o FROM (SELECT candidate_id FROM scored WHERE tier <> 'Data Gap' ORDER BY score10 DESC, candidate_id LIMIT 50)))""",
+)
+def j3(s, d):
+    """Outcomes of the 50 best; under 40 that can be determined there is a gate state and no rate."""
+    best = scored(s, d).where("tier <> 'Data Gap'").orderBy(F.col("score10").desc(), "candidate_id").limit(50).select(F.expr(_OUTCOME).alias("o"))
+    x = best.agg(F.count(F.when(F.col("o") != "undeterminable", 1)).alias("n"), F.count(F.when(F.col("o") == "recompeted", 1)).alias("k"), F.count(F.when(F.col("o") == "undeterminable", 1)).alias("n_undeterminable"))
+    return x.withColumn("gate_state", F.when(F.col("n") >= 40, "measured").otherwise("below_floor"))
+
+
+@registered("g6_projected_range")
+def g6(s, d):
+    """A candidate's median run-rate over five years with 2.8 % escalation, 6 % up for a single offer and down for five or more."""
+    from awardforge.operators import pricing
+
+    c = cand(s, d)
+    r = pricing.ranges(c, pricing.comparables(c, awards(s, d))).where("median is not null").join(c.select("candidate_id", "offers"), "candidate_id")
+    factor = F.when(F.col("offers") == 1, 1.06).when(F.col("offers").between(5, 100), 0.94).otherwise(1.0)
+    term = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0.0), lambda a, y: a + F.pow(F.lit(1.028), y))
+    return r.select("candidate_id", (F.col("median") * factor * term / 100).alias("projected"))
