@@ -132,9 +132,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     A null text is an empty one and fails (fewer than 20 words); a null language or source is a group of
     its own; repeated rows each count and each get a verdict; an empty table gives no rows; columns of
-    any name pass through, as each row travels as one struct.
+    any name pass through, as each row travels as one struct. The counts are written before they are
+    filtered on: a filter pushed into them would compute their arrays anew inside each lambda.
     """
-    return verdict(rated(docs)).where("kept").select("_row.*")
+    return verdict(shared.saved(rated(docs), "quality")).where("kept").select("_row.*")
 
 
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
