@@ -28,6 +28,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op8_suffix": op8_suffix,
     "op10_quality": quality.ORACLE,
 }

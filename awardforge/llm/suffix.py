@@ -6,6 +6,10 @@ keeps the same suffixes. Suffixes whose gram occurs once are dropped; the rest a
 words that follow (a range partitioning: one very common passage spreads over many tasks), neighbours are
 compared, and each match is extended word by word to both sides. A suffix carries 16-bit marks of the
 ``window`` words on either side; a longer match goes on past them in the suffix of its next minimiser.
+
+Sorted neighbours are all pairs of a gram with ``max(HOPS) + 1`` suffixes at most. Suffixes of a more common
+gram are also grouped by each passage of ``least_words`` words around the gram, as a match that needs
+words to its left need not be near in that order.
 """
 
 from __future__ import annotations
@@ -125,6 +129,33 @@ def _matches(table: pa.Table, gram: int, window: int, least: int) -> list[np.nda
     return out
 
 
+def _hot_spans(kept: DataFrame, gram: int, least: int) -> DataFrame:
+    """``(row, first, end)`` of every passage of ``least`` words that another document has too, around grams with more suffixes than neighbours reach.
+
+    Suffixes of the same surroundings are one content, so copies are keyed once; a key keeps its least and
+    greatest row and no pairs.
+    """
+    hot = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOPS) + 1).select("gram")
+    member = kept.join(hot, "gram", "left_semi").withColumn("content", F.xxhash64("gram", "after", "before"))
+    member = shared.saved(member, "hot-suffixes")
+    contents = member.groupBy("gram", "content").agg(F.first("after").alias("after"), F.first("before").alias("before"), F.min("row").alias("low"), F.max("row").alias("high"))
+    room = least - gram
+    left, right = (F.octet_length(c) / 2 for c in ("before", "after"))
+    shifts = F.filter(F.sequence(F.lit(0), F.lit(room)), lambda s: (s <= left) & (room - s <= right))
+    slim = contents.select("gram", "content", "low", "high", "before", "after", F.explode(shifts).alias("shift"))
+    key = F.xxhash64("gram", "shift", F.substring(F.col("before"), F.lit(1), 2 * F.col("shift")), F.substring(F.col("after"), F.lit(1), 2 * (room - F.col("shift"))))
+    keyed = slim.select("gram", "content", "low", "high", "shift", key.alias("key"))
+    common = keyed.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key")
+    # contents of several documents have all their passages in common
+    single = keyed.where("low = high").join(common, "key", "left_semi").select("gram", "content", "shift")
+    ends = single.groupBy("gram", "content").agg(F.collect_set("shift").alias("shifts"))
+    found = member.join(ends, ["gram", "content"]).select("row", "at", F.explode("shifts").alias("shift"))
+    apart = found.select("row", (F.col("at") - F.col("shift")).alias("first"), (F.col("at") - F.col("shift") + least).alias("end"))
+    several = member.join(contents.where("low <> high").select("gram", "content"), ["gram", "content"], "left_semi").where(left + gram + right >= least)
+    whole = several.select("row", (F.col("at") - left).cast("int").alias("first"), (F.col("at") + gram + right).cast("int").alias("end"))
+    return apart.union(whole)
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int = GRAM) -> DataFrame:
     """``(row, spans)`` for documents that share a passage of ``least_words`` words or more with another document.
 
@@ -177,7 +208,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int
             spans = np.unique(np.concatenate(_matches(pa.concat_tables(tables), gram, window, least_words)), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1].astype(np.int32)), pa.array(spans[:, 2].astype(np.int32))], names=["row", "first", "end"])
 
-    spans = found.where("part < 0").select("row", "first", "end").union(edges.mapInArrow(across, "row long, first int, end int"))
+    spans = found.where("part < 0").select("row", "first", "end").union(edges.mapInArrow(across, "row long, first int, end int")).union(_hot_spans(kept, gram, least_words))
     ordered_spans = F.array_sort(F.collect_set(F.struct("first", "end")))
     empty = F.array().cast("array<struct<first:int,end:int>>")
 
