@@ -1,25 +1,28 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are the contexts seen in training (n-1 words at most, the root is the empty one). A state has an
-arc for each word seen after it and a failure arc to the context shortened by one word. For a state h
-with c(h) visits the arc of w weighs ``log10((1 - b) c(hw) / c(h) + b p(w | shorter h))`` and the
-failure arc ``log10 b``; b is the share of novel words after contexts of that frequency (by powers of
-two), estimated over all training tokens by leaving each out in turn. At the root a known word weighs
-``(c - D) / N`` and all unknown words together ``D V / N``.
+States are the contexts seen in training: ``order - 1`` words at most, the root is the empty one, and a
+document begins in a state of its own. A state has an arc for each word seen after it, to the longest
+suffix of the words so far that is a state, and a failure arc to the context shortened by one word. For a
+state h with c(h) visits the arc of w weighs ``log10((1 - b) c(hw) / c(h) + b p(w | shorter h))`` and the
+failure arc ``log10 b``; b is the share of novel words after contexts of that length and frequency (by
+powers of two), estimated over all training tokens by leaving each out in turn. At the root a known word
+weighs ``(c - D) / N`` and all unknown words together ``D V / N``.
 
 The automaton grows with the corpus, so it is never gathered whole. Documents are cut into chunks; each
-chunk asks for the arcs that its own texts can take (sorted 64-bit keys, packed), the keys are summed by
-key range, and the counts go back to the chunks in the order asked. A chunk's arcs are all that its
-left-to-right traversal needs. The state after a word is the longest seen suffix, which makes the arc
-of each position a matter of lookups; the weights are then summed along each document.
+chunk asks for the grams that its own texts hold (sorted 64-bit keys, packed), their counts are summed by
+key range, and the sums go back to the chunks. From them a chunk builds the part of the automaton that its
+texts can reach: states, arcs and failure arcs as arrays. Each document is then read from left to right
+once: where the state has no arc for the word its failure arc is taken, and weights add up on the way.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 END, START = np.uint64(0x5E17D3A9C24F8B01), np.uint64(0x1B873593CC9E2D51)
+ROOT, BEGIN = 0, 1
 BANDS = 40
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 5_000_000
+#: Text bytes a key range answers for: about 4 million keys.
+RANGE_BYTES = 16_000_000
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -55,8 +61,15 @@ class Chunk:
         self.ids, self.data, self.offsets = ids, data, offsets
         self.train = np.array([not held_out(d) for d in ids], bool)
 
-    def grams(self, order: int):
-        """The key of the k-gram that ends at each token, for k = 1..order, and the first token of each document."""
+    @classmethod
+    def read(cls, row: dict) -> Chunk:
+        offsets = unpacked(row["offsets"], "<i8")
+        data = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=int(offsets[-1]) + 1)
+        return cls(row["ids"], np.frombuffer(data, np.uint8), offsets)
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hash of each token (a document ends in ``END``), the first token of each document and every token's place in its own."""
         tokens, firsts, at = [], [], 0
         for a, b in shared.row_groups(self.offsets):
             part = self.offsets[a : b + 1]
@@ -69,200 +82,248 @@ class Chunk:
             firsts.append(at + first[:-1] + np.arange(b - a))
             at += len(with_ends)
         word, first = np.concatenate(tokens), np.concatenate(firsts)
-        keys = [word]
-        for k in range(2, order + 1):
-            context = np.empty_like(word)
-            context[1:] = keys[-1][:-1]
-            context[first] = START + np.uint64(k)
-            keys.append(shared.mix(context * np.uint64(0x9E3779B97F4A7C15) + word))
-        return keys, first
-
+        return word, first, np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
 
-def chunks(docs: DataFrame, emit, schema: str, chunk_bytes: int) -> DataFrame:
-    """``emit(chunk number, Chunk)`` over the documents; chunks depend only on the scan's partitions and their order."""
+    def grams(self, order: int):
+        """``(k, positions, keys)`` for k = 1..order: the k-gram that ends at each position, the document's start being one of its words."""
+        word, first, place = self.words
+        key = word
+        for k in range(1, order + 1):
+            if k > 1:
+                context = np.empty_like(word)
+                context[1:] = key[:-1]
+                context[first] = START
+                key = shared.mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
+            at = np.flatnonzero(place >= k - 2)
+            yield k, at, key[at]
+
+    def trained(self) -> np.ndarray:
+        """Whether each token is a training token."""
+        word, first, _ = self.words
+        return np.repeat(self.train, np.diff(np.append(first, len(word))))
+
+
+def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """``chunk, ids, text, offsets, size``: whole documents, joined until they have ``chunk_bytes``."""
     shared.small_batches(docs.sparkSession)
 
     def task(batches):
         from pyspark import TaskContext
 
-        number, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        z, number, ids, parts, held = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32, [], [], 0
 
-        def close():
-            offsets = np.concatenate([[0], *[p[1][1:] + sum(len(q[0]) for q in parts[:k]) for k, p in enumerate(parts)]])
-            return emit(number, Chunk(ids, np.concatenate([p[0] for p in parts]), offsets))
+        def row():
+            data = np.concatenate([p[0] for p in parts])
+            bases = np.cumsum([0, *[len(p[0]) for p in parts[:-1]]])
+            offsets = np.concatenate([[0], *[p[1][1:] + base for p, base in zip(parts, bases, strict=True)]])
+            columns = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([z.compress(data.tobytes())], pa.binary()), pa.array([packed(offsets.astype("<i8"))], pa.binary()), pa.array([len(data)])]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "text", "offsets", "size"])
 
         for batch in batches:
             parts.append(shared.text_buffer(batch.column("text")))
             ids.extend(batch.column("doc_id").to_pylist())
             held += len(parts[-1][0])
             if held >= chunk_bytes:
-                yield from close()
+                yield row()
                 number, ids, parts, held = number + 1, [], [], 0
         if ids:
-            yield from close()
+            yield row()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(task, schema)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(task, "chunk long, ids array<long>, text binary, offsets binary, size long")
 
 
 def _ask(order: int, ranges: int):
     """A chunk's distinct keys and their training counts, cut into key ranges."""
     edges = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
-
-    def emit(number: int, chunk: Chunk):
-        grams, first = chunk.grams(order)
-        train = np.repeat(chunk.train, np.diff(np.append(first, len(grams[0]))))
-        rows = []
-        for k, keys in enumerate(grams, 1):
-            distinct = np.unique(keys)
-            seen, n = np.unique(keys[train], return_counts=True)
-            counts = np.zeros(len(distinct), np.uint32)
-            counts[np.searchsorted(distinct, seen)] = n
-            cuts = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
-            for r in range(ranges):
-                a, b = int(cuts[r]), int(cuts[r + 1])
+    kinds = dict(r=pa.int32(), chunk=pa.int64(), k=pa.int32(), keys=pa.binary(), counts=pa.binary())
+
+    def asked(number: int, chunk: Chunk):
+        train = chunk.trained()
+        for k, at, keys in chunk.grams(order):
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            counts = np.bincount(inverse[train[at]], minlength=len(distinct)).astype(np.uint32)
+            cuts = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]]).tolist()
+            for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
-                    steps = np.diff(distinct[a:b], prepend=np.uint64(0))
-                    rows.append((r, number, k, packed(steps), packed(counts[a:b])))
-        for at in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["r", "chunk", "k", "keys", "counts"])
+                    yield r, number, k, packed(np.diff(distinct[a:b], prepend=np.uint64(0))), packed(counts[a:b])
+
+    def task(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = list(asked(row["chunk"], Chunk.read(row)))
+                for at in range(0, len(rows), 64):
+                    columns = zip(*rows[at : at + 64], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    return emit
+    return task
 
 
 def _answer(group: pa.Table) -> pa.Table:
     """Total counts over one key range, to each chunk in the order it asked; chunk -1 has the range's own sums."""
-    out = []
+    out, r = [], group.column("r")[0].as_py()
     for k in sorted(set(group.column("k").to_pylist())):
-        part = group.filter(pa.compute.equal(group.column("k"), k))
-        numbers, blobs, n = part.column("chunk").to_pylist(), part.column("keys"), part.column("counts")
-        keys = [np.cumsum(unpacked(b.as_py(), "<u8")) for b in blobs]
-        counts = np.concatenate([unpacked(b.as_py(), "<u4") for b in n])
+        part = group.filter(pc.equal(group.column("k"), k))
+        keys = [np.cumsum(unpacked(b.as_py(), "<u8")) for b in part.column("keys")]
+        counts = np.concatenate([unpacked(b.as_py(), "<u4") for b in part.column("counts")])
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
-        replies = total[inverse]
-        at = 0
-        for number, own in zip(numbers, keys, strict=True):
-            out.append((number, k, int(group.column("r")[0].as_py()), packed(replies[at : at + len(own)]), int(own[0])))
+        replies, at = total[inverse], 0
+        for number, own in zip(part.column("chunk").to_pylist(), keys, strict=True):
+            out.append((number, k, r, packed(replies[at : at + len(own)])))
             at += len(own)
         if k == 1:
-            ends = distinct == END
-            sums = [total.sum(), np.count_nonzero(total), np.count_nonzero(total == 1), np.count_nonzero(total == 2), total[ends].sum()]
-            out.append((-1, k, int(group.column("r")[0].as_py()), np.array(sums, "<u8").tobytes(), 0))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.uint64()), strict=True)], names=["chunk", "k", "r", "counts", "low"]).set_column(4, "low", pa.array(np.array([x[4] for x in out], np.uint64).view(np.int64)))
+            sums = [total.sum(), np.count_nonzero(total), np.count_nonzero(total == 1), np.count_nonzero(total == 2), total[distinct == END].sum()]
+            out.append((-1, k, r, np.array(sums, "<u8").tobytes()))
+    kinds = dict(chunk=pa.int64(), k=pa.int32(), r=pa.int32(), counts=pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def _texts(number: int, chunk: Chunk):
-    z = zstandard.ZstdCompressor(level=3)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([number]), pa.array([chunk.ids], pa.list_(pa.int64())), pa.array([z.compress(chunk.data.tobytes())], pa.binary()), pa.array([packed(chunk.offsets.astype("<i8"))], pa.binary())],
-        names=["chunk", "ids", "text", "offsets"],
-    )
-
-
-def _walk(order: int):
-    """A chunk's texts and the counts sent back to it: for every token the count of each k-gram that ends there."""
+def _band(visits: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(visits, 1).astype(np.float64)).astype(np.int64), BANDS - 1)
 
-    def join(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = []
-        for t in texts.to_pylist():
-            offsets = unpacked(t["offsets"], "<i8")
-            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(t["text"], max_output_size=int(offsets[-1]) + 1), np.uint8)
-            chunk = Chunk(t["ids"], data, offsets)
-            grams, first = chunk.grams(order)
-            counts = []
-            for k, keys in enumerate(grams, 1):
-                mine = sorted((r["r"], r["low"], r["counts"]) for r in replies.to_pylist() if r["k"] == k)
-                distinct, inverse = np.unique(keys, return_inverse=True)
-                total = np.concatenate([unpacked(c, "<u8") for _, _, c in mine])
-                sizes = np.cumsum([0, *[int.from_bytes(c[:8], "little") for _, _, c in mine]])
-                if len(total) != len(distinct) or any(int(distinct[a].view(np.int64)) != low for a, (_, low, _) in zip(sizes.tolist(), mine, strict=False)):
-                    raise RuntimeError("the documents were not the same in both passes; give a table that was written")
-                counts.append(total[inverse])
-            rows.append((t["ids"], packed(first.astype("<i8")), len(grams[0]), [packed(c) for c in counts]))
-        names, kinds = ["ids", "firsts", "n", "counts"], (pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.binary()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), kinds, strict=True)], names=names)
-
-    return join
-
-
-def _contexts(counts: np.ndarray, first: np.ndarray, documents: int) -> np.ndarray:
-    """Visits to the state before each token: the count of the gram that ends one token earlier; a document's first state is seen once a document."""
-    out = np.empty(len(counts), np.uint64)
-    out[1:] = counts[:-1]
-    out[first] = documents
-    return out
 
+#: What a chunk's automaton is stored as; arcs are listed by the length of their gram, so an arc's suffix stands before it.
+PARTS = dict(words="<u4", arc_state="<u4", arc_word="<u4", arc_count="<u8", arc_suffix="<i8", arc_target="<u4", visits="<u8", fail="<u4", length="<u4")
 
-def _band(visits: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(visits, 1).astype(np.float64)).astype(np.int64), BANDS - 1)
 
+def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training: int, documents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """States, arcs and failure arcs that the chunk's texts can reach, and its tokens that are novel by length and band of the context.
 
-def _novelty(walked: DataFrame, order: int, documents: int) -> np.ndarray:
-    """For each k and band of c(h): training tokens left out in turn, and how many of them were then novel."""
+    ``totals[k]`` are the training counts of the chunk's distinct k-grams in key order.
+    """
+    parts = {name: [] for name in PARTS}
+    parts["visits"], parts["fail"], parts["length"] = [[training, documents]], [[ROOT, ROOT]], [[0, 1]]
+    states, arcs, novel = 2, 0, np.zeros((order + 1, BANDS, 2), np.int64)
+    train, (word, first, _) = chunk.trained(), chunk.words
+    # the arc of the gram one shorter that ends at each token and the state it leads to, -1 where there is none; at first of the empty gram
+    arc, reached = np.full(len(word), -1), np.full(len(word), ROOT)
+    for k, at, keys in chunk.grams(order):
+        distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        count, where = totals[k], at[index]
+        if len(count) != len(distinct):
+            raise RuntimeError("a chunk got other counts than it asked for")
+        if k == 1:
+            # every word of the texts has an arc at the root, the unknown ones too
+            parts["words"], known, context = [inverse], np.ones(len(distinct), bool), np.full(len(distinct), ROOT)
+        else:
+            before = np.concatenate([[BEGIN], reached[:-1]])
+            before[first] = BEGIN
+            context = before[where]
+            known = (count > 0) & (context >= 0) & (arc[where] >= 0)
+            visits = np.append(np.concatenate(parts["visits"]), 0)[before[at]]
+            left = train[at] & (visits > 1)
+            band = _band(visits[left] - 1)
+            novel[k] = np.stack([np.bincount(band, minlength=BANDS), np.bincount(band[count[inverse[left]] == 1], minlength=BANDS)], axis=1)
+        shorter, ends = reached[where], word[where] == END
+        new = known & (count > 0) & ~ends if k < order else np.zeros(len(distinct), bool)
+        n_new = int(np.count_nonzero(new))
+        state = np.full(len(distinct), -1)
+        state[new] = states + np.arange(n_new)
+        target = np.where(ends | ~(count > 0), ROOT, state if k < order else shorter)
+        number = np.where(known, arcs + np.cumsum(known) - 1, -1)
+        for name, x in (("visits", count[new]), ("fail", shorter[new]), ("length", np.full(n_new, k))):
+            parts[name].append(x)
+        for name, x in (("arc_state", context), ("arc_word", parts["words"][0][where]), ("arc_count", count), ("arc_suffix", arc[where]), ("arc_target", target)):
+            parts[name].append(x[known])
+        states, arcs = states + n_new, arcs + int(np.count_nonzero(known))
+        arc, reached = np.full(len(word), -1), np.full(len(word), -1)
+        arc[at], reached[at] = number[inverse], state[inverse]
+    return {name: np.concatenate(x).astype(PARTS[name]) for name, x in parts.items()}, novel
+
+
+def _assemble(order: int, training: int, documents: int):
+    """A chunk's texts and the counts sent back to it, made into its automaton."""
 
-    def task(batches):
-        sums = np.zeros((order + 1, BANDS, 2), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = unpacked(row["firsts"], "<i8")
-                train = np.repeat([not held_out(d) for d in row["ids"]], np.diff(np.append(first, row["n"])))
-                counts = [unpacked(c, "<u8") for c in row["counts"]]
-                for k in range(2, order + 1):
-                    visits = _contexts(counts[k - 2], first, documents)
-                    at = train & (visits > 1)
-                    band = _band(visits[at] - np.uint64(1))
-                    sums[k, :, 0] += np.bincount(band, minlength=BANDS)
-                    sums[k, :, 1] += np.bincount(band[counts[k - 1][at] == 1], minlength=BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array([sums[2:].reshape(-1).tolist()], pa.list_(pa.int64()))], names=["s"])
-
-    parts = walked.mapInArrow(task, "s array<long>").select(F.posexplode("s"))
-    out = np.zeros((order + 1, BANDS, 2))
-    for pos, total in parts.groupBy("pos").agg(F.sum("col")).collect():
-        out[2:].reshape(-1)[pos] = total
-    return out
-
-
-def score_documents(docs: DataFrame, order: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    def join(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, told = [], replies.select(["k", "r", "counts"]).to_pylist()
+        for t in texts.to_pylist():
+            chunk = Chunk.read(t)
+            totals = {k: np.concatenate([unpacked(x["counts"], "<u8") for x in sorted((x for x in told if x["k"] == k), key=lambda x: x["r"])] or [np.zeros(0, np.uint64)]).astype(np.int64) for k in range(1, order + 1)}
+            parts, novel = automaton(chunk, order, totals, training, documents)
+            _, first, _ = chunk.words
+            rows.append((t["ids"], packed(first.astype("<i8")), novel[2:].reshape(-1).tolist(), *[packed(x) for x in parts.values()]))
+        names = ["ids", "firsts", "novel", *PARTS]
+        kinds = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * len(PARTS)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
+
+    return join, "ids array<long>, firsts binary, novel array<long>, " + ", ".join(f"{x} binary" for x in PARTS)
+
+
+def weigh(parts: dict[str, np.ndarray], back: np.ndarray, discount: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each arc and of each state's failure arc."""
+    training, count, visits = int(parts["visits"][ROOT]), parts["arc_count"].astype(np.float64), parts["visits"].astype(np.float64)
+    length = parts["length"].astype(np.int64)
+    fail = np.where(length > 0, back[np.minimum(length + 1, len(back) - 1), _band(visits)], 1.0)
+    p = np.empty(len(count))
+    of = length[parts["arc_state"]]
+    for k in range(int(of.max(initial=0)) + 1):
+        at = np.flatnonzero(of == k)
+        state = parts["arc_state"][at]
+        if k == 0:
+            p[at] = np.where(count[at] > 0, count[at] - discount, discount * vocabulary) / training if training else 1.0
+        else:
+            p[at] = (1 - fail[state]) * count[at] / visits[state] + fail[state] * p[parts["arc_suffix"][at]]
+    return np.log10(p), np.log10(fail)
+
+
+def traverse(words: list[int], arcs: dict[int, int], n_words: int, weight: list[float], target: list[int], cost: list[float], fail: list[int]) -> float:
+    """The log-probability of one document: a walk from ``BEGIN``, taking failure arcs until the state has an arc for the word."""
+    state, total = BEGIN, 0.0
+    for word in words:
+        arc = arcs.get(state * n_words + word)
+        while arc is None:
+            total += cost[state]
+            state = fail[state]
+            arc = arcs.get(state * n_words + word)
+        total += weight[arc]
+        state = target[arc]
+    return total
+
+
+def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
     A null text is an empty one (the end token alone); a null doc_id counts as held out; repeated rows
-    each train and each get a score; an empty table gives no rows; other columns are ignored. ``docs``
-    is read twice and must give the same rows in the same order each time, as files do; a chunk
-    whose keys differ between the passes is an error, not a wrong score.
+    each train and each get a score; an empty table gives no rows; other columns are ignored. A text is
+    scored whole; one longer than ``chunk_bytes`` is a chunk of its own, held in one task's memory.
     """
     spark = docs.sparkSession
-    ranges = 4 * shared.partitions(spark, 4)
-    asked = chunks(docs, _ask(order, ranges), "r int, chunk long, k int, keys binary, counts binary", chunk_bytes)
-    replies = shared.saved(asked.groupBy("r").applyInArrow(_answer, "chunk long, k int, r int, counts binary, low long"), "arcs")
+    texts = shared.saved(chunks(docs, chunk_bytes), "chunks")
+    shared.small_batches(spark, 1)
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    ranges = max(shared.partitions(spark, 4), -(-size // RANGE_BYTES))
+    asked = texts.mapInArrow(_ask(order, ranges), "r int, chunk long, k int, keys binary, counts binary")
+    replies = shared.saved(asked.groupBy("r").applyInArrow(_answer, "chunk long, k int, r int, counts binary"), "arcs")
     root = [np.frombuffer(r.counts, "<u8").astype(np.int64) for r in replies.where("chunk = -1").select("counts").collect()]
-    total, vocabulary, once, twice, documents = (int(x) for x in np.sum(root, axis=0)) if root else (0, 0, 0, 0, 0)
-    texts = chunks(docs, _texts, "chunk long, ids array<long>, text binary, offsets binary", chunk_bytes)
-    walked = texts.groupBy("chunk").cogroup(replies.where("chunk >= 0").groupBy("chunk")).applyInArrow(_walk(order), "ids array<long>, firsts binary, n long, counts array<binary>")
-    walked = shared.saved(walked, "walked")
-    shared.small_batches(spark, 4)
-    novel = _novelty(walked, order, documents)
+    training, vocabulary, once, twice, documents = (int(x) for x in np.sum(root, axis=0)) if root else (0, 0, 0, 0, 0)
+    join, schema = _assemble(order, training, documents)
+    built = texts.groupBy("chunk").cogroup(replies.where("chunk >= 0").groupBy("chunk")).applyInArrow(join, schema)
+    built = shared.saved(built, "automata")
+    novel = np.zeros((order + 1, BANDS, 2))
+    for pos, total in built.select(F.posexplode("novel")).groupBy("pos").agg(F.sum("col")).collect():
+        novel[2:].reshape(-1)[pos] = total
     back = np.clip((novel[:, :, 1] + 1) / (novel[:, :, 0] + 2), 1e-4, 1 - 1e-4)
     discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                first = unpacked(row["firsts"], "<i8")
-                counts = [unpacked(c, "<u8") for c in row["counts"]]
-                known = counts[0] > 0
-                c = counts[0].astype(np.float64)
-                base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
-                p = np.where(known, c - discount, discount * vocabulary) / total if total else np.ones(len(c))
-                for k in range(2, order + 1):
-                    visits = _contexts(counts[k - 2], first, documents)
-                    fail = np.where(visits > 0, back[k][_band(visits)], 1.0)
-                    p = (1 - fail) * counts[k - 1] / np.maximum(visits, 1) + fail * p
-                ids = row["ids"]
-                sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), base, np.log10(p))]
-                columns = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(np.diff(np.append(first, row["n"]))), pa.array(sums[0]), pa.array([total] * len(ids), pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+                parts = {name: unpacked(row[name], kind) for name, kind in PARTS.items()}
+                weight, cost = weigh(parts, back, discount, vocabulary)
+                n_words = int(np.count_nonzero(parts["arc_state"] == ROOT))
+                keys = parts["arc_state"].astype(np.int64) * n_words + parts["arc_word"]
+                arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+                tables = [x.tolist() for x in (weight, parts["arc_target"], cost, parts["fail"])]
+                ids, words, first = row["ids"], parts["words"], unpacked(row["firsts"], "<i8")
+                bounds = np.append(first, len(words)).tolist()
+                scores = [traverse(words[a:b].tolist(), arcs, n_words, *tables) for a, b in zip(bounds, bounds[1:], strict=False)]
+                count = parts["arc_count"][:n_words].astype(np.float64)
+                base = np.log10((count + 0.1) / (training + 0.1 * (vocabulary + 1)))
+                sums = [np.add.reduceat(x[words], first) for x in ((count > 0).astype(np.int64), base)]
+                columns = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array([training] * len(ids), pa.int64()), pa.array(sums[1]), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return walked.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return built.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
