@@ -18,6 +18,8 @@ once: where the state has no arc for the word its failure arc is taken, and weig
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import bisect_left
 from functools import cached_property
 
 import numpy as np
@@ -266,15 +268,22 @@ def weigh(parts: dict[str, np.ndarray], back: np.ndarray, discount: float, vocab
     return np.log10(p), np.log10(fail)
 
 
-def traverse(words: list[int], arcs: dict[int, int], n_words: int, weight: list[float], target: list[int], cost: list[float], fail: list[int]) -> float:
-    """The log-probability of one document: a walk from ``BEGIN``, taking failure arcs until the state has an arc for the word."""
+def traverse(words: list[int], low: array, arc_word: array, weight: array, target: array, cost: array, fail: array) -> float:
+    """The log-probability of one document: a walk from ``BEGIN``, taking failure arcs until the state has an arc for the word.
+
+    The arcs of a state stand together in the order of their words; the root has one for each word.
+    """
     state, total = BEGIN, 0.0
     for word in words:
-        arc = arcs.get(state * n_words + word)
-        while arc is None:
+        while state:
+            end = low[state + 1]
+            arc = bisect_left(arc_word, word, low[state], end)
+            if arc < end and arc_word[arc] == word:
+                break
             total += cost[state]
             state = fail[state]
-            arc = arcs.get(state * n_words + word)
+        else:
+            arc = word
         total += weight[arc]
         state = target[arc]
     return total
@@ -311,12 +320,12 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
                 parts = {name: unpacked(row[name], kind) for name, kind in PARTS.items()}
                 weight, cost = weigh(parts, back, discount, vocabulary)
                 n_words = int(np.count_nonzero(parts["arc_state"] == ROOT))
-                keys = parts["arc_state"].astype(np.int64) * n_words + parts["arc_word"]
-                arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-                tables = [x.tolist() for x in (weight, parts["arc_target"], cost, parts["fail"])]
+                sort = np.lexsort((parts["arc_word"], parts["arc_state"]))
+                low = np.searchsorted(parts["arc_state"][sort], np.arange(len(parts["fail"]) + 1))
+                tables = [array(kind, np.ascontiguousarray(x).astype(kind).tobytes()) for kind, x in zip("qIdIdI", (low, parts["arc_word"][sort], weight[sort], parts["arc_target"][sort], cost, parts["fail"]), strict=True)]
                 ids, words, first = row["ids"], parts["words"], unpacked(row["firsts"], "<i8")
                 bounds = np.append(first, len(words)).tolist()
-                scores = [traverse(words[a:b].tolist(), arcs, n_words, *tables) for a, b in zip(bounds, bounds[1:], strict=False)]
+                scores = [traverse(words[a:b].tolist(), *tables) for a, b in zip(bounds, bounds[1:], strict=False)]
                 count = parts["arc_count"][:n_words].astype(np.float64)
                 base = np.log10((count + 0.1) / (training + 0.1 * (vocabulary + 1)))
                 sums = [np.add.reduceat(x[words], first) for x in ((count > 0).astype(np.int64), base)]
