@@ -184,8 +184,8 @@ def _band(visits: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(visits, 1).astype(np.float64)).astype(np.int64), BANDS - 1)
 
 
-#: What a chunk's automaton is stored as; arcs are listed by the length of their gram, so an arc's suffix stands before it.
-PARTS = dict(words="<u4", arc_state="<u4", arc_word="<u4", arc_count="<u8", arc_suffix="<i8", arc_target="<u4", visits="<u8", fail="<u4", length="<u4")
+#: The arrays of a chunk's automaton; arcs are listed by the length of their gram, so an arc's suffix stands before it.
+PARTS = ("words", "arc_state", "arc_word", "arc_count", "arc_suffix", "arc_target", "visits", "fail", "length")
 
 
 def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training: int, documents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -201,7 +201,7 @@ def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training:
     arc, reached = np.full(len(word), -1), np.full(len(word), ROOT)
     for k, at, keys in chunk.grams(order):
         distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        count, where = totals[k], at[index]
+        count, where = totals[k].astype(np.int64), at[index]
         if len(count) != len(distinct):
             raise RuntimeError("a chunk got other counts than it asked for")
         if k == 1:
@@ -230,31 +230,29 @@ def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training:
         states, arcs = states + n_new, arcs + int(np.count_nonzero(known))
         arc, reached = np.full(len(word), -1), np.full(len(word), -1)
         arc[at], reached[at] = number[inverse], state[inverse]
-    return {name: np.concatenate(x).astype(PARTS[name]) for name, x in parts.items()}, novel
+    return {name: np.concatenate(x).astype(np.int64) for name, x in parts.items()}, novel
 
 
 def _assemble(order: int, training: int, documents: int):
-    """A chunk's texts and the counts sent back to it, made into its automaton."""
+    """A chunk's texts joined by the counts sent back to it, and its novel tokens."""
 
     def join(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        rows, told = [], replies.select(["k", "r", "counts"]).to_pylist()
+        rows, told = [], sorted(replies.select(["k", "r", "counts"]).to_pylist(), key=lambda x: x["r"])
         for t in texts.to_pylist():
-            chunk = Chunk.read(t)
-            totals = {k: np.concatenate([unpacked(x["counts"], "<u8") for x in sorted((x for x in told if x["k"] == k), key=lambda x: x["r"])] or [np.zeros(0, np.uint64)]).astype(np.int64) for k in range(1, order + 1)}
-            parts, novel = automaton(chunk, order, totals, training, documents)
-            _, first, _ = chunk.words
-            rows.append((t["ids"], packed(first.astype("<i8")), novel[2:].reshape(-1).tolist(), *[packed(x) for x in parts.values()]))
-        names = ["ids", "firsts", "novel", *PARTS]
-        kinds = [pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * len(PARTS)]
+            totals = {k: np.concatenate([unpacked(x["counts"], "<u8") for x in told if x["k"] == k] or [np.zeros(0, np.uint64)]) for k in range(1, order + 1)}
+            _, novel = automaton(Chunk.read(t), order, totals, training, documents)
+            rows.append((t["ids"], t["text"], t["offsets"], [packed(totals[k]) for k in range(1, order + 1)], novel[2:].reshape(-1).tolist()))
+        names = ["ids", "text", "offsets", "totals", "novel"]
+        kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names=names)
 
-    return join, "ids array<long>, firsts binary, novel array<long>, " + ", ".join(f"{x} binary" for x in PARTS)
+    return join, "ids array<long>, text binary, offsets binary, totals array<binary>, novel array<long>"
 
 
 def weigh(parts: dict[str, np.ndarray], back: np.ndarray, discount: float, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """The weight of each arc and of each state's failure arc."""
     training, count, visits = int(parts["visits"][ROOT]), parts["arc_count"].astype(np.float64), parts["visits"].astype(np.float64)
-    length = parts["length"].astype(np.int64)
+    length = parts["length"]
     fail = np.where(length > 0, back[np.minimum(length + 1, len(back) - 1), _band(visits)], 1.0)
     p = np.empty(len(count))
     of = length[parts["arc_state"]]
@@ -317,13 +315,14 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                parts = {name: unpacked(row[name], kind) for name, kind in PARTS.items()}
+                chunk = Chunk.read(row)
+                parts, _ = automaton(chunk, order, {k: unpacked(x, "<u8") for k, x in enumerate(row["totals"], 1)}, training, documents)
                 weight, cost = weigh(parts, back, discount, vocabulary)
                 n_words = int(np.count_nonzero(parts["arc_state"] == ROOT))
                 sort = np.lexsort((parts["arc_word"], parts["arc_state"]))
                 low = np.searchsorted(parts["arc_state"][sort], np.arange(len(parts["fail"]) + 1))
                 tables = [array(kind, np.ascontiguousarray(x).astype(kind).tobytes()) for kind, x in zip("qIdIdI", (low, parts["arc_word"][sort], weight[sort], parts["arc_target"][sort], cost, parts["fail"]), strict=True)]
-                ids, words, first = row["ids"], parts["words"], unpacked(row["firsts"], "<i8")
+                ids, words, first = chunk.ids, parts["words"], chunk.words[1]
                 bounds = np.append(first, len(words)).tolist()
                 scores = [traverse(words[a:b].tolist(), *tables) for a, b in zip(bounds, bounds[1:], strict=False)]
                 count = parts["arc_count"][:n_words].astype(np.float64)
