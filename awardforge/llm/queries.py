@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, suffix
 from .decontam import op4_decontamination
 from .html import op2_html
 from .linededup import op3_line_dedup
@@ -28,5 +28,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_suffix": suffix.ORACLE,
     "op10_quality": quality.ORACLE,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 GRAM, LEAST_WORDS, HOPS = 10, 50, (1, 2, 3)
+HOT = 2000
 
 
 def _documents(batch, gram: int):
@@ -53,7 +54,7 @@ def minimisers(code: np.ndarray, window: int) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """``(row, at)``: the word places of each document's minimisers whose gram occurs elsewhere too."""
+    """``(row, places)``: the word places of each document's minimisers whose gram occurs elsewhere too, and whether it is common there."""
 
     def task(batches):
         for batch in batches:
@@ -68,8 +69,14 @@ def _candidates(docs: DataFrame, gram: int, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).view(np.int64)), row, pa.array(np.concatenate(ats).astype(np.int32))], names=["gram", "row", "at"])
 
     suffixes = docs.select("row", "text").mapInArrow(task, "gram long, row long, at int")
-    shared_grams = suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    return suffixes.join(shared_grams, "gram", "left_semi").groupBy("row").agg(F.collect_list("at").alias("places"))
+    counts = shared.saved(suffixes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # a gram with a large share of all suffixes would fill one task of the join; there are at most HOT of them, so they go to all tasks
+    hot = counts.where(F.col("n") * HOT >= total).select("gram", F.lit(True).alias("hot"))
+    cold = counts.where(F.col("n") * HOT < total).select("gram", F.lit(0).alias("part"), (F.col("n") > max(HOPS) + 1).alias("common"))
+    spread = suffixes.join(F.broadcast(hot), "gram", "left").withColumn("part", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("row", "at"), F.lit(4096)).cast("int")).otherwise(0))
+    found = spread.join(cold, ["gram", "part"], "left").where("hot or common is not null")
+    return found.groupBy("row").agg(F.collect_list(F.struct("at", F.coalesce("common", F.lit(True)).alias("common"))).alias("places"))
 
 
 def _suffixes(docs: DataFrame, gram: int, window: int) -> DataFrame:
@@ -81,17 +88,18 @@ def _suffixes(docs: DataFrame, gram: int, window: int) -> DataFrame:
             places, rows = batch.column("places"), batch.column("row").to_pylist()
             for k, word, code in _documents(batch, gram):
                 marks = (word >> np.uint64(48)).astype(">u2")
-                at = np.unique(np.array(places[k].as_py(), np.int64))
+                common = {x["at"]: x["common"] for x in places[k].as_py()}
+                at = np.array(sorted(common), np.int64)
                 for lo in range(0, len(at), 5000):
                     some = at[lo : lo + 5000]
                     after = [marks[x + gram : x + gram + window].tobytes() for x in some.tolist()]
                     before = [marks[max(0, x - window) : x][::-1].tobytes() for x in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(code[some].view(np.int64)), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array([rows[k]] * len(some)), pa.array(some.astype(np.int32))],
-                        names=["gram", "after", "before", "row", "at"],
+                        [pa.array(code[some].view(np.int64)), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array([rows[k]] * len(some)), pa.array(some.astype(np.int32)), pa.array([common[x] for x in some.tolist()])],
+                        names=["gram", "after", "before", "row", "at", "common"],
                     )
 
-    return found.mapInArrow(task, "gram long, after binary, before binary, row long, at int")
+    return found.mapInArrow(task, "gram long, after binary, before binary, row long, at int, common boolean")
 
 
 def _marks(column, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +143,7 @@ def _hot_spans(kept: DataFrame, gram: int, least: int) -> DataFrame:
     Suffixes of the same surroundings are one content, so copies are keyed once; a key keeps its least and
     greatest row and no pairs.
     """
-    hot = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOPS) + 1).select("gram")
-    member = kept.join(hot, "gram", "left_semi").withColumn("content", F.xxhash64("gram", "after", "before"))
-    member = shared.saved(member, "hot-suffixes")
+    member = kept.where("common").withColumn("content", F.xxhash64("gram", "after", "before"))
     contents = member.groupBy("gram", "content").agg(F.first("after").alias("after"), F.first("before").alias("before"), F.min("row").alias("low"), F.max("row").alias("high"))
     room = least - gram
     left, right = (F.octet_length(c) / 2 for c in ("before", "after"))
@@ -220,6 +226,16 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, gram: int
     return spans.groupBy("row").agg(ordered_spans.alias("s")).select("row", F.aggregate("s", empty, grow).alias("spans"))
 
 
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: Every window of 50 words that two rows or more have, joined where they touch.
+ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, p - 1 AS p, md5(array_to_string(w[p:p + {LEAST_WORDS - 1}], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - {LEAST_WORDS - 2})) AS p FROM d WHERE len(w) >= {LEAST_WORDS})),
+hit AS (SELECT r, p FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(DISTINCT r) > 1)),
+island AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= {LEAST_WORDS} THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT r, min(p) AS a, max(p) + {LEAST_WORDS} AS b FROM island GROUP BY r, g)
+SELECT doc_id, count(*) AS n_passages, CAST(sum(b - a) AS BIGINT) AS n_words, string_agg(a || ':' || b, ',' ORDER BY a) AS passages FROM span JOIN d USING (r) GROUP BY r, doc_id"""
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share passages of 50 words or more with others: how many, of how many words, and the word ranges."""
     docs = shared.table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
