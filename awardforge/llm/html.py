@@ -1,12 +1,15 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A token is an element's path or a short text at its path. Its occurrence vector says how often it occurs
-on each page of a host; the vectors are compared through a fingerprint (the exclusive or of a hash of
-page and count) that Spark combines before the shuffle, so a host with a third of all pages is no heavier than
-another. Tokens with one vector form an equivalence class. A class is valid when it covers enough of
-the host's pages and has enough tokens; classes nest by their elements' paths, and together they are the
-host's template. What the template does not fix are its slots. A page's text is what stands in the slots of
-its main element, or of its body where it has none.
+A token is an element's path or a text at its path (a 64-bit hash of both), in the main element as elsewhere.
+Its occurrence vector says how often it occurs on each page of a host; the vectors are compared through a
+fingerprint (the exclusive or of a hash of page and count) that Spark combines before the shuffle, so a host
+with a third of all pages is no heavier than another. Tokens with one vector form an equivalence class, in
+the order of their mean place. A class is valid when it covers enough of the host's pages and has enough
+tokens; on a page it holds where its tokens stand in its order, as often as the class repeats, and where it
+nests: its span lies within a gap of a wider class or beside it, and never crosses one. The classes that
+hold are the page's template, and what stands between their tokens are its slots. A page's text is what
+stands in the slots of its main elements, or of its body where it has none. Names of elements and classes
+only help: they tell slots of menus, adverts and comments from those of the article.
 """
 
 from __future__ import annotations
@@ -18,73 +21,86 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import shared
 
 LEAST_PAGES, LEAST_SHARE, LEAST_CLASS = 4, 0.6, 2
-SHORT_TEXT = 300
 
 BLOCKS = set("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
-ASIDE = set("nav footer aside form script style noscript iframe object svg math canvas audio video button select option textarea label input template dialog head title menu".split())
-#: Words of a class, id or role that mark such an element.
+ASIDE = set("nav footer aside form script style noscript iframe object svg canvas audio video button select option textarea label input template dialog head title menu".split())
+#: Names that mark such an element where a class, id or role is such a word or begins or ends with one.
 ASIDE_WORDS = set("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies discussion respond disqus share sharing social related recommended newsletter subscribe signup login search footer pagination pager widget masthead topbar complementary contentinfo".split())
+#: A name with one of these says what stands beside the element, not what it is.
+BESIDE = set("with has have without no non not is in under below above before after hide show layout".split())
 MAIN_ROLES = {"main", "article"}
 _CLOSES_P = BLOCKS - {"body", "html", "title"}
 
 
+def _marked(names: list[str]) -> bool:
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+        if words and (words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS) and not BESIDE.intersection(words):
+            return True
+    return False
+
+
 class _Page(HTMLParser):
-    """Blocks of a page in order: ``(path, main element, aside, text)``."""
+    """The tokens of a page in order: ``(token, main element, aside, text)``, the text being None for an element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
-        self.path, self.aside, self.main = "", False, 0
-        self.mains, self.text, self.blocks, self.paths = 0, [], [], Counter()
+        self.stack: list[tuple[str, int, bool, int]] = []
+        self.open: Counter = Counter()
+        self.path, self.aside, self.main = 0, 0, 0
+        self.mains, self.text, self.tokens = 0, [], []
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.blocks.append((self.path, self.main, self.aside, text))
-
-    def _restore(self) -> None:
-        self.path = "/".join(tag for tag, _, _ in self.stack)
-        _, self.aside, self.main = self.stack[-1] if self.stack else ("", False, 0)
+            self.tokens.append((xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.path), self.main, bool(self.aside), text))
 
     def _pop_to(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[k][0]
+        if not self.open[tag]:
+            return
+        flush, names = False, []
+        while True:
+            name, path, aside, main = self.stack.pop()
+            self.open[name] -= 1
+            names.append(name)
+            flush = flush or name in BLOCKS or aside != self.aside
             if name == tag:
-                if any(t in BLOCKS or a != self.aside for t, a, _ in self.stack[k:]) or (self.stack[k - 1][1] if k else False) != self.aside:
-                    self._flush()
-                del self.stack[k:]
-                self._restore()
-                return
+                break
+        if flush:
+            self._flush()
+        self.path, self.aside, self.main = path, aside, main
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in _CLOSES_P:
-            if any(t == "p" for t, _, _ in self.stack) and tag in _CLOSES_P:
-                self._pop_to("p")
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
-                self._pop_to(tag)
-        marks = {w for k, v in attrs if k in ("class", "id", "role") for w in re.split(r"[^a-z]+", (v or "").lower())}
+        if tag in _CLOSES_P and self.open["p"]:
+            self._pop_to("p")
+        if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
+            self._pop_to(tag)
+        named = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").split()]
         hidden = any(k == "hidden" for k, _ in attrs) or any(k == "aria-hidden" and v == "true" for k, v in attrs)
-        aside = self.aside or tag in ASIDE or hidden or bool(marks & ASIDE_WORDS and tag not in ("html", "body", "article", "main")) or (tag == "header" and not self.main)
-        main = self.main
-        if not main and not aside and (tag in ("article", "main") or any(k == "role" and v in MAIN_ROLES for k, v in attrs)):
+        # 2: by the element itself, 1: by a name only, which a main element in it overrules
+        own = 2 if tag in ASIDE or hidden or (tag == "header" and not self.main) else int(tag not in ("html", "body", "main") and _marked(named))
+        aside, main = max(self.aside, own), self.main
+        if not main and own == 0 and aside < 2 and (tag in ("article", "main") or any(k == "role" and v in MAIN_ROLES for k, v in attrs)):
             self.mains += 1
-            main = self.mains
+            main, aside = self.mains, 0
         if tag in BLOCKS or aside != self.aside:
             self._flush()
         elif tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        self.stack.append((tag, aside, main))
-        self._restore()
-        self.paths[self.path] += 1
+        self.stack.append((tag, self.path, self.aside, self.main))
+        self.open[tag] += 1
+        self.path, self.aside, self.main = xxh3_64_intdigest(tag.encode(), self.path), aside, main
+        self.tokens.append((self.path, main, bool(aside), None))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -98,33 +114,56 @@ class _Page(HTMLParser):
         self.text.append(data)
 
 
-def blocks_of(html: str | None) -> _Page:
+def tokens_of(html: str | None) -> list[tuple[int, int, bool, str | None]]:
     page = _Page()
     page.feed(html or "")
     page.close()
     page._flush()
-    return page
-
-
-def tokens_of(page: _Page) -> Counter:
-    """Element paths, and short texts outside the main element, with their counts."""
-    out = Counter({f"<{p}>": n for p, n in page.paths.items() if not page.mains or "/article/" not in p and "/main/" not in p})
-    out.update(f"{path}|{text}" for path, main, aside, text in page.blocks if not main and len(text) <= SHORT_TEXT)
-    return out
-
-
-def main_text(html: str | None, template: set[str]) -> str:
-    """The slots of the main element with the most text, or of the body, joined by line ends."""
-    page = blocks_of(html)
-    free = [(main, text) for path, main, aside, text in page.blocks if not aside and (main or f"{path}|{text}" not in template)]
-    sizes = Counter()
-    for main, text in free:
-        if main:
-            sizes[main] += len(text)
-    if sizes:
-        best = max(sizes, key=lambda m: (sizes[m], -m))
-        free = [x for x in free if x[0] == best]
-    return "\n".join(text for _, text in free)
+    return page.tokens
+
+
+def template_places(tokens: list[int], classes: list[list[int]]) -> set[int]:
+    """The places of a page's tokens that its host's classes fix, wider classes first."""
+    belongs = {t: k for k, members in enumerate(classes) for t in members}
+    found: dict[int, list[int]] = {}
+    for place, token in enumerate(tokens):
+        if token in belongs:
+            found.setdefault(belongs[token], []).append(place)
+    fixed: set[int] = set()
+    gaps: list[tuple[int, int]] = []
+    for k in sorted(found, key=lambda k: found[k][0] - found[k][-1]):
+        members, places = classes[k], found[k]
+        # the class repeats: each of its tokens in turn, or each token several times before the next
+        times = len(places) // len(members)
+        rounds = [tokens[p] for p in places]
+        if not times or rounds not in (members * times, [t for t in members for _ in range(times)]):
+            continue
+        # it nests: no wider class has a token on both sides of its own ends within a gap that it leaves
+        span = places[0], places[-1]
+        if any(a < span[0] <= b < span[1] or span[0] < a <= span[1] < b for a, b in gaps):
+            continue
+        gaps.append(span)
+        fixed.update(places)
+    return fixed
+
+
+def main_text(html: str | None, classes: list[list[int]]) -> str:
+    """The slots of the main elements, or of the body, joined by line ends.
+
+    In a main element the template is the lesser part of the text; where it is more, the pages are copies of
+    one article, which stays whole.
+    """
+    tokens = tokens_of(html)
+    fixed = template_places([t for t, *_ in tokens], classes) if classes else set()
+    blocks = [(main, text, place in fixed) for place, (_, main, aside, text) in enumerate(tokens) if text is not None and not aside]
+    if any(main for main, *_ in blocks):
+        blocks = [x for x in blocks if x[0]]
+        framed, size = Counter(), Counter()
+        for main, text, fix in blocks:
+            size[main] += len(text)
+            framed[main] += len(text) * fix
+        blocks = [(main, text, fix and 2 * framed[main] < size[main]) for main, text, fix in blocks]
+    return "\n".join(text for _, text, fix in blocks if not fix)
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -133,28 +172,31 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``(host, template)``: the tokens of each host's valid classes. ``pages`` is ``page_id, url, html, host``."""
+    """``(host, classes)``: the valid classes of each host, each a list of tokens in order. ``pages`` is ``page_id, url, html, host``."""
     shared.small_batches(pages.sparkSession)
 
     def marked(batches):
-        from xxhash import xxh3_64_intdigest
-
+        signed = lambda x: x - 2**64 if x >> 63 else x
         for batch in batches:
             rows = []
             for host, page_id, html in zip(batch.column("host").to_pylist(), batch.column("page_id").to_pylist(), batch.column("html"), strict=True):
-                for token, n in tokens_of(blocks_of(html.as_py())).items():
-                    vector = xxh3_64_intdigest(f"{page_id}:{n}".encode())
-                    rows.append((host, token, vector - 2**64 if vector >> 63 else vector))
+                count, place = Counter(), {}
+                for at, (token, *_) in enumerate(tokens_of(html.as_py())):
+                    count[token] += 1
+                    place.setdefault(token, at)
+                for token, n in count.items():
+                    rows.append((host, signed(token), signed(xxh3_64_intdigest(f"{page_id}:{n}".encode())), place[token]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "token", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "mark", "place"])
 
     counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    tokens = pages.select("page_id", "html", "host").mapInArrow(marked, "host string, token string, mark long")
-    vectors = tokens.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("vector"))
+    tokens = pages.select("page_id", "html", "host").mapInArrow(marked, "host string, token long, mark long, place long")
+    vectors = tokens.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("mark").alias("vector"), F.avg("place").alias("place"))
     wide = vectors.join(counts, "host").where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages")))
-    classes = wide.groupBy("host", "n", "vector").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])
+    classes = wide.groupBy("host", "n", "vector").agg(ordered.alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
     # tokens on at least LEAST_SHARE of a host's pages: no more than a page or two holds
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    return classes.groupBy("host").agg(F.collect_list("tokens").alias("classes"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -162,7 +204,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is an empty one and gives an empty text; a null url has the empty host; repeated rows come
     back each; pages of a host with fewer than ``LEAST_PAGES`` pages are read without a template; extra
-    columns are ignored. Character references are decoded, white space inside a block (an element that
+    columns are ignored. A page of any length or depth is read whole. Character references are decoded, white space inside a block (an element that
     starts on a line of its own) becomes one space, and blocks are joined by line ends.
     """
     shared.small_batches(pages.sparkSession)
@@ -170,12 +212,12 @@ def extract(pages: DataFrame) -> DataFrame:
     found = shared.saved(templates(slim), "templates")
 
     def task(batches):
-        known: tuple[object, set[str]] = (None, set())
+        known: tuple[object, list[list[int]]] = (None, [])
         for batch in batches:
             texts = []
-            for host, html, template in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("template"), strict=True):
+            for host, html, template in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("classes"), strict=True):
                 if host != known[0]:
-                    known = (host, set(template.as_py() or ()))
+                    known = (host, [[t % 2**64 for t in c] for c in template.as_py() or ()])
                 texts.append(main_text(html.as_py(), known[1]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
