@@ -18,15 +18,16 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 GROWTH = 1.02
 
-#: Metric, and the least limit (parts in ten thousand) below which no document is refused for it.
+#: Metric, and the least distance between centre and edge (parts in ten thousand) that counts as spread: where nearly all
+#: documents of a group have the same value, quantiles alone would refuse the first one that differs.
 METRICS = {
-    "symbol_rate": 1000,
-    "dup_line_rate": 3000,
-    "repeat_rate": 1500,
-    "long_word_rate": 120_000,
+    "symbol_rate": 50,
+    "dup_line_rate": 750,
+    "repeat_rate": 400,
+    "long_word_rate": 2500,
 }
-#: A source is judged by its own sketch from so many documents on, below that by its language's, then by all.
-LEAST_DOCUMENTS = 200
+#: A source of this many documents is judged half by its own sketch and half by its language's, which leans on all in the same way.
+HALF_WEIGHT = 200
 CENTRE, EDGE, SPREADS = 0.5, 0.9, 4.0
 
 
@@ -93,6 +94,7 @@ def sketches(rated: DataFrame) -> DataFrame:
 def limits(sketch: DataFrame) -> DataFrame:
     """The limit of each metric for each language and source that the sketches know."""
     merged = sketch.select("_lang", "_source", "metric", "bucket", "n")
+    least = F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(float(v)))])
     levels = [("source", ["_lang", "_source"]), ("lang", ["_lang"]), ("all", [])]
     keys = merged.select("_lang", "_source", "metric").distinct()
     for name, by in levels:
@@ -102,11 +104,14 @@ def limits(sketch: DataFrame) -> DataFrame:
         value = F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket").cast("double")))
         at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), value))
         quantiles = ranked.groupBy(*by, "metric").agg(F.first("total").alias(f"n_{name}"), at(CENTRE).alias("mid"), at(EDGE).alias("edge"))
-        quantiles = quantiles.withColumn(f"limit_{name}", F.col("edge") + SPREADS * (F.col("edge") - F.col("mid"))).drop("mid", "edge")
+        spread = F.greatest(F.col("edge") - F.col("mid"), least[F.col("metric")])
+        quantiles = quantiles.withColumn(f"limit_{name}", F.col("edge") + SPREADS * spread).drop("mid", "edge")
         keys = keys.join(quantiles, [*by, "metric"], "left")
-    least = F.create_map(*[x for m, v in METRICS.items() for x in (F.lit(m), F.lit(float(v)))])
-    limit = F.when(F.col("n_source") >= LEAST_DOCUMENTS, F.col("limit_source")).when(F.col("n_lang") >= LEAST_DOCUMENTS, F.col("limit_lang")).otherwise(F.col("limit_all"))
-    keys = keys.withColumn("limit", F.greatest(limit, least[F.col("metric")]))
+    # a small group leans on the next wider one, the more the smaller it is
+    limit = F.col("limit_all")
+    for name in ("lang", "source"):
+        limit = (F.col(f"n_{name}") * F.col(f"limit_{name}") + HALF_WEIGHT * limit) / (F.col(f"n_{name}") + HALF_WEIGHT)
+    keys = keys.withColumn("limit", limit)
     return keys.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"{m}_limit") for m in METRICS])
 
 
@@ -184,10 +189,9 @@ cum AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, metric ORDER BY bu
     CASE WHEN bucket < 0 THEN 0.0::DOUBLE ELSE pow({GROWTH}::DOUBLE, bucket) END AS v FROM lv),
 qs AS (SELECT lv, lang, source, metric, any_value(total) AS total, min(CASE WHEN upto >= ceil(total * {CENTRE}::DOUBLE) THEN v END) AS mid,
     min(CASE WHEN upto >= ceil(total * {EDGE}::DOUBLE) THEN v END) AS edge FROM cum GROUP BY ALL),
-lim AS (SELECT lv, lang, source, metric, total, edge + {SPREADS}::DOUBLE * (edge - mid) AS lim FROM qs),
+lim AS (SELECT lv, lang, source, metric, CAST(total AS DOUBLE) AS total, edge + {SPREADS}::DOUBLE * greatest(edge - mid, CASE metric {" ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in METRICS.items())} END) AS lim FROM qs),
 chosen AS (
-  SELECT a.lang, a.source, a.metric, greatest(CASE WHEN a.total >= {LEAST_DOCUMENTS} THEN a.lim WHEN b.total >= {LEAST_DOCUMENTS} THEN b.lim ELSE c.lim END,
-    CASE a.metric {" ".join(f"WHEN '{m}' THEN {v}" for m, v in METRICS.items())} END) AS lim
+  SELECT a.lang, a.source, a.metric, (a.total * a.lim + {HALF_WEIGHT} * ((b.total * b.lim + {HALF_WEIGHT} * c.lim) / (b.total + {HALF_WEIGHT}))) / (a.total + {HALF_WEIGHT}) AS lim
   FROM lim a JOIN lim b ON b.lv = 1 AND a.lang = b.lang AND a.metric = b.metric JOIN lim c ON c.lv = 2 AND a.metric = c.metric WHERE a.lv = 0),
 wide AS (SELECT lang, source, {", ".join(f"max(lim) FILTER (metric = '{m}') AS {m}_limit" for m in METRICS)} FROM chosen GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
