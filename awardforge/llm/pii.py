@@ -1,14 +1,17 @@
 """Personal data: base patterns, and terms that give protected entities away. DataFrame functions only.
 
 The base spans are matches of four patterns. Each distinct value of a base span is a protected entity c;
-terms t are the words around its mentions. With the share p of documents as probability, a term gives
-an entity away if it explains most of what the entity's mention would tell:
+terms t are the words of the documents that mention it. With the share p of documents as probability, a term
+gives an entity away if it explains most of what the entity's mention would tell:
 
     PMI(c; t) = log2 p(c, t) / (p(c) p(t))  >=  alpha * IC(c) = alpha * -log2 p(c)
 
-and the two meet in ``least_contexts`` different surroundings at least (a page copied many times is one
-surrounding). Such a term is removed where it appears with its entity only (PMI = IC), else generalised
-to its kind. Counts are over all documents; pairs are counted by a partial aggregation before the shuffle.
+that is, if p(c | t) >= p(c)^(1 - alpha), and the two meet in ``least_contexts`` different texts at least
+(and, for a common entity, in more than chance would bring together): a word that stands beside an address once says nothing about it, and a page copied many times is one text.
+Every occurrence of such a term in any document that mentions the entity is removed where the term appears
+with its entity only (PMI = IC), else generalised to its kind. All counts are of documents, over all of
+them: words are counted by partial aggregation before the shuffle, and pairs only for entities that
+are mentioned in ``least_contexts`` texts.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ PATTERNS = {
 }
 #: A text without this has no match.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Characters around a mention in which terms are looked for.
-REACH, ALPHA, LEAST_CONTEXTS = 72, 0.9, 3
+ALPHA, LEAST_CONTEXTS = 0.9, 3
+#: Bits that the documents of a pair must amount to (their number times IC), so that a word of a few documents does not
+#: count as a sign of an entity that a good part of all documents mention.
+EVIDENCE = 16
 
 
 def _digits(x: Column) -> Column:
@@ -59,8 +64,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-#: A term: a whole word of four letters or more.
-TERM = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
+#: A term: a whole run of letters and digits.
+TERM = r"[\p{L}\p{N}]++"
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -96,64 +101,75 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], value)
 
 
-def mentions(found: DataFrame) -> DataFrame:
-    """One row for each word near a base span: ``row, entity, term, start, end, context``.
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
-    A term is a lower-cased run of letters of four characters or more, so numbers and addresses, and what
-    a cut at the edge of the surroundings leaves of a word, do not count as terms of their own.
-    """
-    spans = found.where(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
-    text, a, b = F.col("text"), F.col("s.start"), F.col("s.end")
-    begin, room = F.greatest(a - REACH, F.lit(0)), F.lit(REACH)
-    left = F.substr(text, begin + 1, a - begin)
-    right = F.substr(text, b + 1, room)
-    spans = spans.select("row", _entity(F.col("s")).alias("entity"), begin.alias("lb"), left.alias("l"), b.alias("rb"), right.alias("r"))
-    both = spans.select("row", "entity", F.explode(F.array(F.struct(F.col("lb").alias("at"), F.col("l").alias("t")), F.struct(F.col("rb").alias("at"), F.col("r").alias("t")))).alias("p"), F.xxhash64("l", "r").alias("context"))
-    t = F.col("p.t")
-    values = F.regexp_extract_all(t, F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split(t, TERM, -1), lambda g: F.length(g))
-    kind = "array<struct<term:string,start:int,end:int>>"
-    state = F.struct(F.col("p.at").cast("int").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(F.lower(x["value"]).alias("term"), start.alias("start"), end.alias("end")))).alias("out"))
-
-    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(values), F.lit(0))), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    terms = F.aggregate(steps, state, step, lambda s: s["out"])
-    return both.select("row", "entity", "context", F.explode(terms).alias("w")).select("row", "entity", "context", "w.term", "w.start", "w.end")
 
+def disclosures(found: DataFrame, alpha: float = ALPHA, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
+    """``(entity, term, whole)``: terms that give an entity away; whole if they appear with it only.
 
-def disclosures(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """``(entity, term, whole)``: terms that give an entity away; whole if they appear with it only."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("n_both")).where(F.col("contexts") >= least_contexts)
-    n_entity = near.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
-    pairs = shared.saved(pairs.join(n_entity, "entity"), "pairs")
-    letters = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0))
+    ``found`` has ``row, base, text`` and the text with its base spans cut out as ``rest``.
+    """
+    total = found.agg(F.count(F.lit(1)).alias("n_all"))
+    entities = F.array_distinct(F.transform("base", _entity))
+    mention = found.where(F.size("base") > 0).select(F.explode(entities).alias("entity"), "row", "context", "rest")
+    known = mention.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least_contexts).drop("contexts")
+    # a hot entity is split by its rows: its words are summed by a partial aggregation
+    pairs = mention.join(known, "entity").select("entity", "n_entity", "context", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
+    by_text = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"), F.first("n_entity").alias("n_entity"))
+    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("contexts"), F.first("n_entity").alias("n_entity")).where(F.col("contexts") >= least_contexts)
+    pairs = shared.saved(pairs, "pairs")
     # all words are counted before the join, task by task, so that the join sees a word once and not once a document
-    n_term = docs.select(F.explode(F.array_distinct(letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_all"))
+    n_term = found.select(F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     scored = pairs.join(n_term, "term").crossJoin(F.broadcast(total))
     information = F.log2(F.col("n_all") / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_entity") * F.col("n_term")))
-    return scored.where((information > 0) & (pmi >= alpha * information)).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("whole"))
+    return scored.where((F.col("n_both") * information >= EVIDENCE) & (pmi >= alpha * information)).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("whole"))
+
+
+def _places(text: Column, wanted: Column) -> Column:
+    """``(start, end, whole)`` of every occurrence of a wanted term: what lies between the words gives their places."""
+    kind = "array<struct<start:int,end:int,whole:boolean>>"
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM, -1), lambda g: F.length(g))
+    steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(words), F.lit(0))), words, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        whole = wanted[F.lower(x["value"])]
+        span = F.struct(start.alias("start"), end.alias("end"), whole.alias("whole"))
+        return F.struct(end.alias("at"), F.when(whole.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(span))).alias("out"))
+
+    return F.aggregate(steps, state, step, lambda s: s["out"])
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, terms`` for each document: base spans, and term spans ``(start, end, whole)`` in order.
+    """``row, doc_id, text, base, terms`` for each document: base spans, and term spans ``(start, end, whole)`` in order.
 
     A null text is an empty one; repeated rows are documents of their own; an empty table gives no rows;
-    extra columns are ignored. Rows are numbered when the base spans are written, once.
+    extra columns are ignored. Rows are numbered when the base spans are written, once, with their texts.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = base_spans(slim).withColumn("row", F.monotonically_increasing_id())
-    # the text is kept only where a span was found
-    found = shared.saved(found.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "spans")
-    near = shared.saved(mentions(found), "mentions")
-    given = disclosures(slim, near)
-    terms = near.join(given, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "whole"))).alias("terms"))
-    return found.select("row", "doc_id", "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,whole:boolean>>")))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = shared.saved(base_spans(slim).withColumn("row", F.monotonically_increasing_id()), "spans")
+    # addresses and numbers are spans already: what is left of the text after them holds the terms
+    cuts = F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = lambda s, x: F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.concat(s["out"], F.lit(" "), F.substr(F.col("text"), s["at"] + 1, F.greatest(x["a"] - s["at"], F.lit(0)))).alias("out"))
+    rest = F.when(F.size("base") == 0, F.col("text")).otherwise(F.aggregate("cuts", state, cut, lambda s: F.concat(s["out"], F.lit(" "), F.substr(F.col("text"), s["at"] + 1, F.length("text")))))
+    told = found.withColumn("cuts", cuts).withColumn("rest", rest).withColumn("context", F.when(F.size("base") > 0, F.xxhash64("rest")))
+    given = shared.saved(disclosures(told), "disclosures")
+    mention = found.where(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    # a document's own words meet the terms of its entities, so no pair arises that is not in the text
+    mention = mention.join(given.select("entity").distinct(), "entity", "left_semi")
+    held = mention.join(told.where(F.size("base") > 0).select("row", F.array_distinct(_terms(F.col("rest"))).alias("words")), "row").select("row", "entity", F.explode("words").alias("term"))
+    wanted = held.join(given, ["entity", "term"]).groupBy("row", "term").agg(F.min("whole").alias("whole"))
+    wanted = wanted.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "whole"))).alias("wanted"))
+    joined = found.join(wanted, "row", "left")
+    inside = lambda t: F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    terms = F.when(F.col("wanted").isNotNull(), F.filter(_places(F.col("text"), F.col("wanted")), lambda t: ~inside(t)))
+    return joined.select("row", "doc_id", "text", "base", F.coalesce(terms, F.array().cast("array<struct<start:int,end:int,whole:boolean>>")).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -161,9 +177,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     Where spans overlap the one that starts first (then the longer) is replaced and the others are cut with it.
     """
-    spans = find_spans(docs).select("row", F.concat(F.transform("base", lambda s: F.struct(s["start"], -s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to"))), F.transform("terms", lambda s: F.struct(s["start"], -s["end"], F.when(s["whole"], "").otherwise("[TERM]").alias("to")))).alias("cuts"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    joined = numbered.join(spans.withColumn("cuts", F.array_sort("cuts").cast("array<struct<a:int,b:int,to:string>>")), "row")
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("to")))
+    terms = F.transform("terms", lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), F.when(s["whole"], "").otherwise("[TERM]").alias("to")))
+    joined = find_spans(docs).withColumn("cuts", F.array_sort(F.concat(base, terms)))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -43,6 +44,33 @@ def corpus():
     return docs + [(300, None, "x")]
 
 
+def plain_terms(docs):
+    """The disclosing words of each document, by counting documents."""
+    mentioned, rest = {}, {}
+    for d, t, _ in docs:
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute(t)))
+        cut, at = "", 0
+        for a, b, k in spans:
+            cut, at = cut + " " + (t[at:a] if a > at else ""), max(at, b)
+            value = t[a:b].lower() if k == "email" else t[a:b] if k == "ip" else re.sub("[^0-9]", "", t[a:b])
+            mentioned.setdefault(f"{k}:{value}", set()).add(d)
+        rest[d] = cut + " " + (t or "")[at:]
+    words = {d: [w.lower() for w in re.findall(r"[^\W_]+", r)] for d, r in rest.items()}
+    having = {}
+    for d, ws in words.items():
+        for w in ws:
+            having.setdefault(w, set()).add(d)
+    out = {}
+    for c, ds in mentioned.items():
+        for w in {w for d in ds for w in words[d]}:
+            both = ds & having[w]
+            info = math.log2(len(docs) / len(ds))
+            if len(both) * info >= 16 and len({rest[d] for d in both}) >= 3 and math.log2(len(both) * len(docs) / len(ds) / len(having[w])) >= 0.9 * info:
+                for d in both:
+                    out.setdefault(d, set()).update(v for v in re.findall(r"[^\W_]+", rest[d]) if v.lower() == w)
+    return out
+
+
 def test_terms_that_give_an_entity_away(spark):
     docs = corpus()
     texts = {d: t for d, t, _ in docs}
@@ -54,6 +82,7 @@ def test_terms_that_give_an_entity_away(spark):
     assert {(100 + i, "Quillon") for i in range(5)} <= found
     assert not any(d >= 200 or d < 100 for d, _ in found)
     assert not any(w.endswith("ow") for _, w in found)
+    assert found == {(d, w) for d, ws in plain_terms(docs).items() for w in ws}
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert "Quillon" not in clean[100] and "quillon" not in clean[100] and "[EMAIL]" in clean[100]
     assert clean[0] == texts[0] and clean[300] == ""

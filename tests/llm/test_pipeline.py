@@ -35,15 +35,25 @@ def counts(text):
 
 
 def brute_quality(docs):
-    """Kept row numbers; groups are under the size that gives a source its own limits, so all documents share one."""
-    read = [counts(t) for _, t, *_ in docs]
-    kept = set(range(len(docs)))
+    """Kept row numbers; each group's limit leans on its language's, and that on the limit of all."""
+    read = [(*counts(t), lang or "", source or "") for _, t, lang, source, *_ in docs]
+    kept = {k for k, (_, _, failed, *_) in enumerate(read) if not failed}
     for m, least in quality.METRICS.items():
-        values = sorted(quality.GROWTH ** math.ceil(math.log(r[m]) / math.log(quality.GROWTH)) if r[m] > 0 else 0.0 for _, r, f in read if not f)
-        at = lambda q: values[math.ceil(len(values) * q) - 1]
-        limit = max(least, at(quality.EDGE) + quality.SPREADS * (at(quality.EDGE) - at(quality.CENTRE))) if values else math.inf
-        kept -= {k for k, (_, r, _) in enumerate(read) if r[m] > limit}
-    return kept - {k for k, (_, _, f) in enumerate(read) if f}
+
+        def sketch(rows):
+            values = sorted(quality.GROWTH ** math.ceil(math.log(r[m]) / math.log(quality.GROWTH)) if r[m] > 0 else 0.0 for _, r, failed, *_ in rows if not failed)
+            at = lambda q: values[math.ceil(len(values) * q) - 1]
+            return len(values), at(quality.EDGE) + quality.SPREADS * max(at(quality.EDGE) - at(quality.CENTRE), least) if values else math.inf
+
+        for k in list(kept):
+            _, r, _, lang, source = read[k]
+            limit = sketch(read)[1]
+            for own in ([x for x in read if x[3] == lang], [x for x in read if x[3:] == (lang, source)]):
+                n, mine = sketch(own)
+                limit = (n * mine + quality.HALF_WEIGHT * limit) / (n + quality.HALF_WEIGHT)
+            if r[m] > limit:
+                kept.discard(k)
+    return kept
 
 
 def corpus():
