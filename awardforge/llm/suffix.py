@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 GRAM, LEAST_WORDS, HOPS = 10, 50, (1, 2, 3)
-HOT = 2000
+HOT, SALTS = 2000, 16
 
 
 def _documents(batch, gram: int):
@@ -152,12 +152,15 @@ def _hot_spans(kept: DataFrame, gram: int, least: int) -> DataFrame:
     key = F.xxhash64("gram", "shift", F.substring(F.col("before"), F.lit(1), 2 * F.col("shift")), F.substring(F.col("after"), F.lit(1), 2 * (room - F.col("shift"))))
     keyed = slim.select("gram", "content", "low", "high", "shift", key.alias("key"))
     common = keyed.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key")
-    # contents of several documents have all their passages in common
-    single = keyed.where("low = high").join(common, "key", "left_semi").select("gram", "content", "shift")
-    ends = single.groupBy("gram", "content").agg(F.collect_set("shift").alias("shifts"))
-    found = member.join(ends, ["gram", "content"]).select("row", "at", F.explode("shifts").alias("shift"))
+    # contents of several documents have all their passages in common; those of one meet its own suffixes only
+    single = keyed.where("low = high").join(common, "key", "left_semi").select("gram", "content", F.col("low").alias("row"), "shift")
+    ends = single.groupBy("gram", "content", "row").agg(F.collect_set("shift").alias("shifts"))
+    found = member.join(ends, ["gram", "content", "row"]).select("row", "at", F.explode("shifts").alias("shift"))
     apart = found.select("row", (F.col("at") - F.col("shift")).alias("first"), (F.col("at") - F.col("shift") + least).alias("end"))
-    several = member.join(contents.where("low <> high").select("gram", "content"), ["gram", "content"], "left_semi").where(left + gram + right >= least)
+    # one content may be that of a third of all rows, which are dealt over SALTS parts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = contents.where("low <> high").select("gram", "content", salts)
+    several = member.where(left + gram + right >= least).withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "content", "salt"], "left_semi")
     whole = several.select("row", (F.col("at") - left).cast("int").alias("first"), (F.col("at") + gram + right).cast("int").alias("end"))
     return apart.union(whole)
 
