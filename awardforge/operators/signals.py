@@ -26,9 +26,11 @@ def successors(c: DataFrame, awards: DataFrame, least: int = 3) -> DataFrame:
     """
     pool = awards.withColumn("psc2", F.substring(F.trim("psc"), 1, 2)).where("trim(naics) <> '' and psc2 <> '' and trim(component) <> ''")
     sizes = pool.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_cell"))
-    by_parent = pool.where("signed is not null").groupBy(*CELL, F.coalesce(F.trim("parent_idv"), F.lit("")).alias("parent"))
-    top_two = by_parent.agg(F.max(F.struct("signed", "award_id")).alias("one"), F.max_by(F.struct("signed", "award_id"), F.struct("signed", "award_id")).alias("same"), F.slice(F.sort_array(F.collect_set(F.struct("signed", "award_id")), asc=False), 1, 2).alias("two"))
-    listed = top_two.select(*CELL, "parent", F.explode("two").alias("a")).select(*CELL, "parent", "a.signed", "a.award_id")
+    own_parent = F.coalesce(F.trim("parent_idv"), F.lit(""))
+    newest = F.row_number().over(W.partitionBy(*CELL, "parent").orderBy(F.col("signed").desc(), F.col("award_id").desc()))
+    # Spark keeps two rows a parent before the shuffle already
+    dated = pool.where("signed is not null").select(*CELL, own_parent.alias("parent"), "signed", "award_id")
+    listed = dated.withColumn("n", newest).where("n <= 2").drop("n")
     place = F.dense_rank().over(W.partitionBy(*CELL).orderBy(F.col("best").desc(), "parent"))
     best = listed.withColumn("best", F.max(F.struct("signed", "award_id")).over(W.partitionBy(*CELL, "parent"))).withColumn("place", place).where("place <= 3 or parent = ''")
     short = best.groupBy(*CELL).agg(F.collect_list(F.struct("parent", "signed", "award_id")).alias("latest"))

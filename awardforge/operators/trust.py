@@ -66,6 +66,14 @@ def lead_time(snapshots: DataFrame, links: DataFrame, notices: DataFrame) -> Dat
     return first.join(posted, "candidate_id").select("candidate_id", "first_seen", "posted", F.datediff("posted", "first_seen").alias("lead_days"))
 
 
+def comparable(snapshots: DataFrame, since: str, scorer: str) -> DataFrame:
+    """Snapshots from ``since`` on by the given scorer; ``place`` ranks the forward-dated rows outside quarantine (NULL for the rest)."""
+    x = snapshots.where((F.col("snapshot_date") >= F.lit(since).cast("date")) & (F.col("scorer_version") == scorer))
+    open_row = (F.col("tier") != "Data Gap") & F.coalesce(F.col("days_left") >= 0, F.lit(False))
+    place = F.row_number().over(W.partitionBy("snapshot_date", open_row).orderBy(F.col("score10").desc(), "candidate_id"))
+    return x.withColumn("place", F.when(open_row, place))
+
+
 def diff(old: DataFrame, new: DataFrame, old_links: DataFrame, new_links: DataFrame) -> DataFrame:
     """What changed between two snapshots: new candidates, changed tiers, new notice links."""
     fresh = new.join(old, "candidate_id", "left_anti").select(F.lit("New candidate").alias("rule"), "candidate_id", F.col("tier").alias("detail"))
@@ -75,6 +83,16 @@ def diff(old: DataFrame, new: DataFrame, old_links: DataFrame, new_links: DataFr
     return fresh.unionByName(moved).unionByName(linked.select(F.lit("New notice link").alias("rule"), "candidate_id", "detail"))
 
 
+#: Which rules each alert mode lets through.
+ALERT_MODES = {"all": ("New candidate", "Tier change", "New notice link"), "action_needed": ("Tier change", "New notice link"), "new_only": ("New candidate",)}
+
+
+def alerts(changes: DataFrame) -> DataFrame:
+    """Each change under every mode that shows it."""
+    modes = F.array(*[F.when(F.col("rule").isin(*rules), F.lit(mode)) for mode, rules in ALERT_MODES.items()])
+    return changes.withColumn("mode", F.explode(F.array_compact(modes)))
+
+
 def label_sample(s: DataFrame, size: int, seed: int = 7) -> DataFrame:
     """A stratified draw, proportional with one at least from each stratum; the same for one seed."""
     band = F.when(F.col("value") >= 10_000_000, "high").when(F.col("value") >= 1_000_000, "mid").otherwise("low")

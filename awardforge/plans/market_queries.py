@@ -68,10 +68,19 @@ def g4(s, d):
     return pricing.ranges(c, compared(s, d)).select("candidate_id", "rung", "n_comparables", F.round("median", 0).alias("median"), "range_basis")
 
 
-@registered("g4_median_interval")
+_PLACES = ", ".join(f"({n}, {k})" for n, k in pricing.median_places().items())
+
+
+@registered(
+    "g4_median_interval",
+    f"""SELECT candidate_id, round(w[k], 0) AS ci_low, round(w[n + 1 - k], 0) AS ci_high FROM (SELECT candidate_id, n, list_sort(list(w)) AS w FROM (
+      SELECT candidate_id, n, least(greatest(CAST(comp_rate AS DOUBLE), lo), hi) AS w FROM comps JOIN (SELECT candidate_id, count(*) AS n, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM comps GROUP BY 1) USING (candidate_id)) GROUP BY ALL)
+      JOIN (VALUES {_PLACES}) p(n, k) USING (n)""",
+)
 def g4b(s, d):
     c = cand(s, d)
-    return pricing.median_interval(pricing.ranges(c, compared(s, d)))
+    x = pricing.median_interval(pricing.ranges(c, compared(s, d)))
+    return x.select("candidate_id", F.round("ci_low", 0).alias("ci_low"), F.round("ci_high", 0).alias("ci_high"))
 
 
 @registered("g5_comparables_table", "SELECT candidate_id, comp_id, chr(CAST(64 + own AS INTEGER)) AS own_rung, comp_rate, comp_psc FROM comps")
@@ -167,9 +176,11 @@ def j7(s, d):
     return trust.naive_against_scored(scored(s, d))
 
 
-def snapshot(s, d, day: str):
-    """The pipeline as it ran on ``day``."""
-    return candidates.scored(candidates.build(awards(s, d), mods(s, d), today=f"DATE '{day}'"))
+def snapshots(s, d, days: tuple[str, ...]):
+    """The pipeline as it ran on each day: awards and their histories are built once, only what depends on the day is repeated."""
+    when = F.explode(F.array(*[F.lit(x).cast("date") for x in days])).alias("snapshot_date")
+    dated = cand(s, d).select("*", when)
+    return candidates.scored(candidates.runway(dated, "snapshot_date"))
 
 
 _DAYS = ("1999-07-01", "1999-10-01", "2000-01-01")
@@ -197,16 +208,15 @@ def j6(s, d):
 
 
 def _snapshots(s, d):
-    out = None
-    for x in _DAYS:
-        one = snapshot(s, d, x).select(F.lit(x).cast("date").alias("snapshot_date"), "candidate_id", "tier", "score10")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return snapshots(s, d, _DAYS).select("snapshot_date", "candidate_id", "tier", "score10", "days_left")
 
 
-@registered("j5_lead_time")
+@registered(
+    "j5_lead_time",
+    "SELECT candidate_id, first_seen, posted, CAST(date_diff('day', first_seen, posted) AS BIGINT) AS lead_days FROM (SELECT candidate_id, DATE '1999-07-01' AS first_seen, min(posted_date) AS posted FROM idlink JOIN (SELECT notice_id, posted_date FROM notice) USING (notice_id) WHERE link_confidence IN ('High', 'Medium') AND posted_date IS NOT NULL GROUP BY candidate_id)",
+)
 def j5(s, d):
-    return trust.lead_time(_snapshots(s, d), g1(s, d), domain.notices(s, d))
+    return trust.lead_time(_snapshots(s, d), g1(s, d), domain.notices(s, d)).withColumn("lead_days", F.col("lead_days").cast("long"))
 
 
 @registered("j9_label_sample")
@@ -214,15 +224,25 @@ def j9(s, d):
     return trust.label_sample(scored(s, d), 200)
 
 
-@registered("k2_snapshot_diff", f"SELECT 'Tier change' AS rule, a.candidate_id, b.tier || ' > ' || a.tier AS detail FROM ({_on('2000-01-01')}) a JOIN ({_on('1999-10-01')}) b ON a.candidate_id = b.candidate_id AND a.tier <> b.tier")
+_OLD, _NEW = "1999-10-01", "2000-01-01"
+_LINKED = "SELECT DISTINCT candidate_id, notice_id FROM cid JOIN nid USING (id) WHERE posted_date <= DATE '{0}'"
+_DIFF = f"""SELECT 'New candidate' AS rule, candidate_id, tier AS detail FROM ({_on(_NEW)}) WHERE signed > DATE '{_OLD}' AND signed <= DATE '{_NEW}'
+  UNION ALL SELECT 'Tier change', a.candidate_id, b.tier || ' > ' || a.tier FROM ({_on(_NEW)}) a JOIN ({_on(_OLD)}) b ON a.candidate_id = b.candidate_id AND a.tier <> b.tier WHERE a.signed <= DATE '{_OLD}'
+  UNION ALL SELECT 'New notice link', candidate_id, notice_id FROM ({_LINKED.format(_NEW)} EXCEPT {_LINKED.format(_OLD)})"""
+
+
+@registered("k2_snapshot_diff", _DIFF)
 def k2(s, d):
-    links = g1(s, d)
-    return trust.diff(snapshot(s, d, "1999-10-01"), snapshot(s, d, "2000-01-01"), links, links)
+    """Two snapshots of what was known on each day: awards signed and notices posted by then."""
+    both = snapshots(s, d, (_OLD, _NEW)).where("signed <= snapshot_date").select("snapshot_date", "candidate_id", "tier")
+    known = linking.id_links(cand(s, d), domain.notices(s, d)).join(domain.notices(s, d).select("notice_id", "posted_date"), "notice_id")
+    at = lambda df, c, day: df.where(F.col(c) == F.lit(day).cast("date")) if c == "snapshot_date" else df.where(F.col(c) <= F.lit(day).cast("date"))
+    return trust.diff(at(both, "snapshot_date", _OLD), at(both, "snapshot_date", _NEW), at(known, "posted_date", _OLD), at(known, "posted_date", _NEW))
 
 
-@registered("k3_alert_counts", f"SELECT 'Tier change' AS rule, count(*) AS n FROM ({_on('2000-01-01')}) a JOIN ({_on('1999-10-01')}) b ON a.candidate_id = b.candidate_id AND a.tier <> b.tier")
+@registered("k3_alert_counts", f"SELECT mode, rule, count(*) AS n FROM ({_DIFF}) JOIN (SELECT unnest(['all', 'action_needed', 'new_only']) AS mode) ON mode = 'all' OR (mode = 'action_needed' AND rule <> 'New candidate') OR (mode = 'new_only' AND rule = 'New candidate') GROUP BY ALL")
 def k3(s, d):
-    return k2(s, d).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return trust.alerts(k2(s, d)).groupBy("mode", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TOP = "(SELECT uei, string_agg({0}, ',' ORDER BY place) AS top_{0} FROM (SELECT uei, {0}, row_number() OVER (PARTITION BY uei ORDER BY count(*) DESC, sum(value) DESC, {0}) AS place FROM award WHERE uei IS NOT NULL AND {0} IS NOT NULL GROUP BY uei, {0}) WHERE place <= 3 GROUP BY uei)"
@@ -288,7 +308,12 @@ def a1(s, d):
 def _shared(s, tag: str) -> str:
     import uuid
 
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    folder = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not folder:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        s.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/awardforge/{tag}-{uuid.uuid4().hex}"
 
 
@@ -296,8 +321,9 @@ def _shared(s, tag: str) -> str:
 def a6(s, d):
     """Two dates archived, the second one twice: each date holds one clean copy."""
     path = _shared(s, "snapshots")
+    both = snapshots(s, d, ("1999-10-01", "2000-01-01")).select("snapshot_date", "candidate_id", "tier", "score10")
     for day in ("1999-10-01", "2000-01-01", "2000-01-01"):
-        tables.archive(snapshot(s, d, day).select("candidate_id", "tier", "score10"), path, day)
+        tables.archive(both.where(F.col("snapshot_date") == F.lit(day).cast("date")).drop("snapshot_date"), path, day)
     return s.read.parquet(path).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
 
 
