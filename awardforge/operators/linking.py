@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from awardforge.functions.privacy import WITHHELD
+
 STRONG, LOOSE, BEFORE, AFTER = 70, 55, 24, 12
 
 
@@ -31,24 +34,63 @@ def token_sort_similarity(a: str, b: str) -> float:
     return 200.0 * lcs / (len(a) + len(b))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, least: int = LOOSE) -> DataFrame:
-    """``(left_title, right_title, similarity)`` of distinct titles at ``least`` or more that share a word.
-
-    Pairs come from shared words, rarest first: two titles this similar share a word unless every word was changed, and
-    those are read as different. A length bound (similarity <= 200 min / (a + b)) drops pairs before they are scored.
+def similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`token_sort_similarity` of every left title with every right one: the bits of one right title stand for its characters, and all left titles are read in step."""
+    a = [" ".join(sorted(x.split())) for x in left]
+    sizes = np.array([len(x) for x in a])
+    points = np.zeros((len(a), max(1, sizes.max(initial=1))), np.uint32)
+    for k, x in enumerate(a):
+        points[k, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.empty((len(left), len(right)))
+    for k, title in enumerate(right):
+        b = " ".join(sorted(title.split()))
+        if len(b) > 64:
+            out[:, k] = [token_sort_similarity(x, b) for x in a]
+            continue
+        where: dict[int, int] = {}
+        for i, ch in enumerate(b):
+            where[ord(ch)] = where.get(ord(ch), 0) | 1 << i
+        known = np.array(sorted(where), np.uint32)
+        bits = np.append(np.array([where[c] for c in sorted(where)], np.uint64), np.uint64(0))
+        if not len(known):
+            out[:, k] = 0.0
+            continue
+        at = np.searchsorted(known, points)
+        masks = bits[np.where(known[np.minimum(at, len(known) - 1)] == points, np.minimum(at, len(known) - 1), len(known))]
+        full = np.uint64((1 << len(b)) - 1)
+        v = np.full(len(a), full)
+        for j in range(points.shape[1]):
+            u = v & masks[:, j]
+            v = ((v + u) | (v - u)) & full
+        out[:, k] = 200.0 * (len(b) - np.bitwise_count(v).astype(np.int64)) / (sizes + len(b))
+    return out
+
+
+def similar_titles(left: DataFrame, right: DataFrame, least: int = LOOSE, block: int = 1024) -> DataFrame:
+    """``(left_title, right_title, similarity)`` of all pairs of distinct titles at ``least`` or more.
+
+    No cheap test can rule a pair out at so low a limit (letters alone reach it), so every distinct left title meets
+    every distinct right one: the right ones are the queries, in blocks of about ``block``, and so are the left ones, a task
+    taking a pair of blocks. Blank and withheld titles are like nothing.
     """
-    words = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("word", F.explode(F.array_distinct(F.split(c, r"\s+"))))
-    a, b = words(left.select(F.col("title").alias("left_title")), "left_title"), words(right.select(F.col("title").alias("right_title")), "right_title")
-    fits = 200 * F.least(F.length("left_title"), F.length("right_title")) >= least * (F.length("left_title") + F.length("right_title"))
-    shared = a.join(b, "word").where(fits).groupBy("left_title", "right_title").agg(F.count(F.lit(1)).alias("n"))
-    n_words = F.greatest(F.size(F.split("left_title", r"\s+")), F.size(F.split("right_title", r"\s+")))
-    likely = shared.where(F.col("n") * 3 >= n_words)
+    spark = left.sparkSession
+
+    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        titles = df.select("title").where((F.trim("title") != "") & (F.col("title") != WITHHELD)).distinct()
+        n = max(1, -(-titles.count() // block))
+        return titles.groupBy(F.pmod(F.xxhash64("title"), F.lit(n)).alias(name)).agg(F.collect_list("title").alias(f"{name}_titles")), n
+
+    (a, _), (b, n) = blocks(left, "a"), blocks(right, "b")
+    met = a.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(b, "b").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "a", "b")
 
     def task(frames):
         for f in frames:
-            yield pd.DataFrame({"left_title": f["left_title"], "right_title": f["right_title"], "similarity": [token_sort_similarity(x, y) for x, y in zip(f["left_title"], f["right_title"], strict=True)]})
+            for x, y in zip(f["a_titles"], f["b_titles"], strict=True):
+                found = similarities(list(x), list(y))
+                i, j = np.nonzero(found >= least)
+                yield pd.DataFrame({"left_title": np.asarray(x, object)[i], "right_title": np.asarray(y, object)[j], "similarity": found[i, j]})
 
-    return likely.select("left_title", "right_title").mapInPandas(task, "left_title string, right_title string, similarity double").where(F.col("similarity") >= least)
+    return met.select("a_titles", "b_titles").mapInPandas(task, "left_title string, right_title string, similarity double")
 
 
 def id_links(c: DataFrame, notices: DataFrame) -> DataFrame:
@@ -62,32 +104,44 @@ def links(c: DataFrame, notices: DataFrame, by_title: bool = True) -> DataFrame:
     """The best notice of each candidate, or why there is none. Rank ties go to the smallest notice id.
 
     Dates gate only where both are known: a notice before the award's start is its own origin, and one outside
-    both windows around its ends is not its successor.
+    both windows around its ends is not its successor. Notices of one title, code, agency and state differ in
+    their dates only, so they are one row with the least id of each day, and a title pair is not joined
+    notice by notice.
     """
-    pairs = id_links(c, notices).withColumns({"by_id": F.lit(True), "similarity": F.lit(0.0)})
+    n = notices.select("notice_id", "notice_type", "posted_date", F.col("title").alias("right_title"), F.col("naics").alias("n_naics"), F.col("agency").alias("n_agency"), F.upper("state").alias("n_state"))
+    of = c.select("candidate_id", F.col("title").alias("left_title"), "naics", "agency", F.upper("state").alias("state"), "pop_start", "expiry", "current_end")
+    one = F.array(F.struct("posted_date", F.struct("notice_id", "notice_type").alias("notice"))).alias("days")
+    pairs = id_links(c, notices).join(n, "notice_id").select("candidate_id", "right_title", "n_naics", "n_agency", "n_state", one).join(of, "candidate_id").withColumns({"by_id": F.lit(True), "similarity": F.lit(0.0)})
     if by_title:
         found = similar_titles(c, notices)
-        titled = c.select("candidate_id", F.col("title").alias("left_title")).join(found, "left_title").join(notices.select("notice_id", F.col("title").alias("right_title")), "right_title")
-        pairs = pairs.unionByName(titled.select("candidate_id", "notice_id", F.lit(False).alias("by_id"), "similarity"))
-        pairs = pairs.groupBy("candidate_id", "notice_id").agg(F.max("by_id").alias("by_id"), F.max("similarity").alias("similarity"))
-    n = notices.select("notice_id", "notice_type", "posted_date", F.col("naics").alias("n_naics"), F.col("agency").alias("n_agency"), F.upper("state").alias("n_state"))
-    x = pairs.join(n, "notice_id").join(c.select("candidate_id", "naics", "agency", "state", "pop_start", "expiry", "current_end"), "candidate_id")
+        pairs = pairs.drop("similarity").join(found, ["left_title", "right_title"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        group = ["right_title", "n_naics", "n_agency", "n_state"]
+        daily = n.groupBy(*group, "posted_date").agg(F.min(F.struct("notice_id", "notice_type")).alias("notice"))
+        grouped = daily.groupBy(*group).agg(F.collect_list(F.struct("posted_date", "notice")).alias("days"))
+        titled = of.join(found.join(grouped, "right_title"), "left_title").withColumn("by_id", F.lit(False))
+        pairs = pairs.unionByName(titled)
     flag = lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")
-    x = x.withColumns({"m_naics": flag(F.col("naics"), F.col("n_naics")), "m_agency": flag(F.col("agency"), F.col("n_agency")), "m_state": flag(F.upper("state"), F.col("n_state"))})
+    x = pairs.withColumns({"m_naics": flag(F.col("naics"), F.col("n_naics")), "m_agency": flag(F.col("agency"), F.col("n_agency")), "m_state": flag(F.col("state"), F.col("n_state"))})
     strong, any_match = F.col("similarity") >= STRONG, (F.col("m_naics") + F.col("m_agency") + F.col("m_state")) > 0
     kind = F.when(F.col("by_id"), "High").when(strong, "Medium").when((F.col("similarity") >= LOOSE) & any_match, "Low")
-    origin = F.coalesce(F.col("posted_date") < F.col("pop_start"), F.lit(False))
-    inside = lambda end: F.coalesce(F.col("posted_date").between(F.add_months(end, -BEFORE), F.add_months(end, AFTER)), F.lit(False))
-    dated = F.col("posted_date").isNotNull() & F.coalesce("expiry", "current_end").isNotNull()
-    late = dated & ~inside("expiry") & ~inside("current_end")
     rank = F.when(F.col("by_id"), 100.0).otherwise(0.0) + F.when(strong, F.col("similarity") / 5).when(F.col("by_id"), 0.0).otherwise(F.col("similarity") / 10)
     rank = rank + 15 * F.col("m_naics") + 10 * F.col("m_agency") + 8 * F.col("m_state")
-    x = x.withColumns({"kind": kind, "gate": F.when(origin, "origin").when(late, "recency"), "rank": rank}).where("kind is not null")
+    # the bounds of the windows are columns, so that no lambda computes them anew for each day
+    for name, end in (("w1", "expiry"), ("w2", "current_end")):
+        x = x.withColumns({f"{name}_from": F.add_months(end, -BEFORE), f"{name}_to": F.add_months(end, AFTER)})
+    x = x.withColumns({"kind": kind, "rank": rank}).where("kind is not null")
+    origin = lambda d: F.coalesce(d["posted_date"] < F.col("pop_start"), F.lit(False))
+    inside = lambda d, w: F.coalesce(d["posted_date"].between(F.col(f"{w}_from"), F.col(f"{w}_to")), F.lit(False))
+    late = lambda d: d["posted_date"].isNotNull() & F.coalesce("expiry", "current_end").isNotNull() & ~inside(d, "w1") & ~inside(d, "w2")
+    open_days = F.transform(F.filter("days", lambda d: ~origin(d) & ~late(d)), lambda d: d["notice"])
+    x = x.select(
+        "candidate_id", "kind", "rank", F.array_min(open_days).alias("notice"),
+        F.exists("days", lambda d: ~origin(d) & late(d)).cast("int").alias("recency"), F.exists("days", origin).cast("int").alias("origin"),
+    )
     best = x.groupBy("candidate_id").agg(
-        F.min_by(F.struct("notice_id", "notice_type", "kind"), F.when(F.col("gate").isNull(), F.struct(-F.col("rank"), "notice_id"))).alias("best"),
-        F.max(F.when(F.col("gate") == "recency", 1).otherwise(0)).alias("recency"),
-        F.max(F.when(F.col("gate") == "origin", 1).otherwise(0)).alias("origin"),
+        F.min_by(F.struct("notice", "kind"), F.when(F.col("notice").isNotNull(), F.struct(-F.col("rank"), "notice"))).alias("best"),
+        F.max("recency").alias("recency"), F.max("origin").alias("origin"),
     )
     out = c.select("candidate_id").join(best, "candidate_id", "left")
     reason = F.when(F.col("best").isNotNull(), "linked").when(F.col("recency") == 1, "outside both windows").when(F.col("origin") == 1, "posted before the award began").otherwise("no establishing match")
-    return out.select("candidate_id", F.col("best.notice_id").alias("notice_id"), F.col("best.notice_type").alias("notice_type"), F.coalesce("best.kind", F.lit("No Match")).alias("link_confidence"), reason.alias("link_reason"))
+    return out.select("candidate_id", F.col("best.notice.notice_id").alias("notice_id"), F.col("best.notice.notice_type").alias("notice_type"), F.coalesce("best.kind", F.lit("No Match")).alias("link_confidence"), reason.alias("link_reason"))

@@ -35,41 +35,72 @@ def pool(awards: DataFrame, today: str = AS_OF) -> DataFrame:
     )
 
 
-def comparables(c: DataFrame, awards: DataFrame, today: str = AS_OF, buckets: int = 16) -> DataFrame:
+#: Candidates and awards of a cell that a task compares at once.
+PART = (2_000, 20_000)
+
+
+def comparables(c: DataFrame, awards: DataFrame, today: str = AS_OF, part: tuple[int, int] = PART) -> DataFrame:
     """The comparables of each candidate: the tightest rung with ``LEAST`` awards, at most ``TARGET`` of them by (own rung, latest, id).
 
-    A candidate only needs counts and its best ``TARGET`` of each rung, so a (family, class) cell is not
-    joined pair by pair in one task: candidates are dealt over ``buckets`` and the pool is repeated for each.
+    A (family, class) cell may hold a third of all awards, so both its sides are dealt over parts of about ``part``
+    rows (candidates, awards) and a task sees one part of each. A part gives a candidate its counts by rung and its best ``TARGET``
+    rows: as the order begins with the rung, the best of all parts together are found among those, exactly.
     """
-    left = c.select("candidate_id", "award_id", "naics", "component", F.substring("naics", 1, 4).alias("family"), F.substring("psc", 1, 2).alias("class"), run_rate(today).alias("rate"))
-    left = left.where("family <> '' and class <> ''").withColumn("salt", F.pmod(F.xxhash64("candidate_id"), F.lit(buckets)).cast("int"))
-    right = pool(awards, today).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-
-    def best(pair: tuple[pd.DataFrame, pd.DataFrame]):
-        a, p = pair
+    cell = ["family", "class"]
+    left = c.select("candidate_id", "award_id", "naics", "component", F.substring("naics", 1, 4).alias("family"), F.substring("psc", 1, 2).alias("class"), run_rate(today).alias("rate")).where("family <> '' and class <> ''")
+    right = pool(awards, today)
+    parts = lambda df, name, rows: df.groupBy(*cell).agg((1 + F.floor(F.count(F.lit(1)) / rows)).cast("int").alias(name))
+    grid = parts(left, "n_a", part[0]).join(parts(right, "n_b", part[1]), cell)
+    dealt = lambda df, key, n, other, a, b: df.join(grid, cell).withColumn(a, F.pmod(F.xxhash64(key), F.col(n)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    left = dealt(left, "candidate_id", "n_a", "n_b", "pa", "pb").drop("n_a", "n_b")
+    right = dealt(right, "comp_id", "n_b", "n_a", "pb", "pa").drop("n_a", "n_b")
+    counts = [f"n{k}" for k in range(1, 5)]
+
+    def best(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
         naics, component, ids = p["comp_naics"].to_numpy(), p["comp_component"].to_numpy(), p["comp_id"].to_numpy()
         rate, recent = p["comp_rate"].to_numpy(np.int64), p["recent"].to_numpy(bool)
         signed = pd.to_datetime(p["comp_signed"]).to_numpy("datetime64[D]")
-        age = np.where(np.isnat(signed), 0, signed.astype(np.int64))
+        # newest first, then by id: one order serves every candidate
+        order = np.lexsort((ids, np.where(np.isnat(signed), 0, -signed.astype(np.int64))))
+        naics, component, ids, rate, recent, signed = (x[order] for x in (naics, component, ids, rate, recent, signed))
+        psc, value = p["comp_psc"].to_numpy()[order], p["comp_value"].to_numpy()[order]
+        here = {x: component == x for x in set(a["component"])}
+        same = {x: (naics == x) & recent for x in set(a["naics"])}
         for row in a.itertuples(index=False):
-            other = ids != row.award_id
-            size = np.ones(len(p), bool) if pd.isna(row.rate) else (rate * 4 >= int(row.rate)) & (rate <= 4 * int(row.rate))
-            b = other & (naics == row.naics) & size & recent
-            rungs = [b & (component == row.component), b, other & size, other]
-            rung = next((k for k, m in enumerate(rungs) if m.sum() >= LEAST), None)
-            if rung is None:
-                continue
-            own = np.select(rungs, [0, 1, 2, 3], 4)
-            at = np.flatnonzero(rungs[rung])
-            at = at[np.lexsort((ids[at], -age[at], own[at]))[:TARGET]]
-            out.append(pd.DataFrame({"candidate_id": row.candidate_id, "rung": "ABCD"[rung], "comp_id": ids[at], "own_rung": ["ABCD"[k] for k in own[at]], "comp_rate": rate[at], "candidate_rate": None if pd.isna(row.rate) else int(row.rate), "comp_psc": p["comp_psc"].to_numpy()[at], "comp_value": p["comp_value"].to_numpy()[at]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=NAMES)
-
-    key = ["family", "class", "salt"]
-    kinds = "candidate_id string, rung string, comp_id string, own_rung string, comp_rate long, candidate_rate long, comp_psc string, comp_value decimal(18,2)"
-    NAMES = [x.split()[0] for x in kinds.replace("(18,2)", "").split(", ")]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: best((a, b)), kinds)
+            size = np.ones(len(ids), bool) if pd.isna(row.rate) else (rate * 4 >= int(row.rate)) & (rate <= 4 * int(row.rate))
+            b = same[row.naics] & size
+            own = np.where(b & here[row.component], 1, np.where(b, 2, np.where(size, 3, 4))).astype(np.int8)
+            own[ids == row.award_id] = 5
+            n = np.bincount(own, minlength=6)[1:5]
+            at = np.zeros(0, np.int64)
+            for rung in range(1, 5):
+                if len(at) < TARGET and n[rung - 1]:
+                    at = np.concatenate([at, np.flatnonzero(own == rung)[: TARGET - len(at)]])
+            if len(at):
+                first = np.zeros((len(at), 4), np.int64)
+                first[0] = n
+                out.append((row.candidate_id, None if pd.isna(row.rate) else int(row.rate), at, own[at], first))
+        if not out:
+            return pd.DataFrame(columns=["candidate_id", "own", "comp_id", "comp_rate", "candidate_rate", "comp_psc", "comp_value", "signed", *counts])
+        sizes = [len(x[2]) for x in out]
+        at, n = np.concatenate([x[2] for x in out]), np.concatenate([x[4] for x in out])
+        spread = lambda k: np.repeat(np.array([x[k] for x in out], object), sizes)
+        found = {"candidate_id": spread(0), "own": np.concatenate([x[3] for x in out]).astype(np.int64), "comp_id": ids[at], "comp_rate": rate[at], "candidate_rate": spread(1), "comp_psc": psc[at], "comp_value": value[at], "signed": signed[at]}
+        return pd.DataFrame(found | {c: n[:, k] for k, c in enumerate(counts)})
+
+    kinds = "candidate_id string, own long, comp_id string, comp_rate long, candidate_rate long, comp_psc string, comp_value decimal(18,2), signed date, " + ", ".join(f"{x} long" for x in counts)
+    key = [*cell, "pa", "pb"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, kinds)
+    mine = W.partitionBy("candidate_id")
+    place = F.row_number().over(mine.orderBy("own", F.col("signed").desc_nulls_last(), "comp_id"))
+    total = {x: F.sum(x).over(mine) for x in counts}
+    ranked = found.withColumns(total | {"place": place})
+    upto = lambda k: sum((F.col(x) for x in counts[:k]), F.lit(0))
+    rung = F.when(upto(1) >= LEAST, 1).when(upto(2) >= LEAST, 2).when(upto(3) >= LEAST, 3).when(upto(4) >= LEAST, 4)
+    letter = lambda x: F.substring(F.lit("ABCD"), x.cast("int"), F.lit(1))
+    kept = ranked.withColumn("rung", rung).where((F.col("own") <= F.col("rung")) & (F.col("place") <= TARGET))
+    return kept.select("candidate_id", letter(F.col("rung")).alias("rung"), "comp_id", letter(F.col("own")).alias("own_rung"), "comp_rate", "candidate_rate", "comp_psc", "comp_value")
 
 
 def ranges(c: DataFrame, comps: DataFrame) -> DataFrame:

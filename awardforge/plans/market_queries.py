@@ -114,7 +114,10 @@ def g1(s, d):
 
 @registered("g1_title_links")
 def g1b(s, d):
-    return linking.links(cand(s, d), domain.notices(s, d))
+    """Candidates are read many times on this path, so what linking needs of them is written once."""
+    path = _shared(s, "linkable")
+    cand(s, d).select("candidate_id", "piid", "parent_idv", "title", "naics", "agency", "state", "pop_start", "expiry", "current_end").write.parquet(path)
+    return linking.links(s.read.parquet(path), domain.notices(s, d))
 
 
 @registered("b13_notice_lens", "SELECT notice_id, notice_type FROM notice WHERE lower(notice_type) LIKE '%sources sought%' OR lower(notice_type) LIKE '%request for information%' OR regexp_matches(lower(notice_type), '\\brfi\\b')")
