@@ -144,24 +144,24 @@ def _hot_spans(kept: DataFrame, gram: int, least: int) -> DataFrame:
     greatest row and no pairs.
     """
     member = kept.where("common").withColumn("content", F.xxhash64("gram", "after", "before"))
-    contents = member.groupBy("gram", "content").agg(F.first("after").alias("after"), F.first("before").alias("before"), F.min("row").alias("low"), F.max("row").alias("high"))
+    contents = member.groupBy("content").agg(F.first("gram").alias("gram"), F.first("after").alias("after"), F.first("before").alias("before"), F.min("row").alias("low"), F.max("row").alias("high"))
     room = least - gram
     left, right = (F.octet_length(c) / 2 for c in ("before", "after"))
     shifts = F.filter(F.sequence(F.lit(0), F.lit(room)), lambda s: (s <= left) & (room - s <= right))
-    slim = contents.select("gram", "content", "low", "high", "before", "after", F.explode(shifts).alias("shift"))
+    slim = contents.select("content", "gram", "low", "high", "before", "after", F.explode(shifts).alias("shift"))
     key = F.xxhash64("gram", "shift", F.substring(F.col("before"), F.lit(1), 2 * F.col("shift")), F.substring(F.col("after"), F.lit(1), 2 * (room - F.col("shift"))))
-    keyed = slim.select("gram", "content", "low", "high", "shift", key.alias("key"))
+    keyed = slim.select("content", "low", "high", F.col("shift").cast("byte").alias("shift"), key.alias("key"))
     common = keyed.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key")
     # contents of several documents have all their passages in common; those of one meet its own suffixes only
-    single = keyed.where("low = high").join(common, "key", "left_semi").select("gram", "content", F.col("low").alias("row"), "shift")
-    ends = single.groupBy("gram", "content", "row").agg(F.collect_set("shift").alias("shifts"))
-    found = member.join(ends, ["gram", "content", "row"]).select("row", "at", F.explode("shifts").alias("shift"))
+    single = keyed.where("low = high").join(common, "key", "left_semi").select("content", F.col("low").alias("row"), F.col("shift").cast("int").alias("shift"))
+    ends = single.groupBy("content", "row").agg(F.collect_set("shift").alias("shifts"))
+    found = member.select("content", "row", "at").join(ends, ["content", "row"]).select("row", "at", F.explode("shifts").alias("shift"))
     apart = found.select("row", (F.col("at") - F.col("shift")).alias("first"), (F.col("at") - F.col("shift") + least).alias("end"))
     # one content may be that of a third of all rows, which are dealt over SALTS parts
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = contents.where("low <> high").select("gram", "content", salts)
-    several = member.where(left + gram + right >= least).withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["gram", "content", "salt"], "left_semi")
-    whole = several.select("row", (F.col("at") - left).cast("int").alias("first"), (F.col("at") + gram + right).cast("int").alias("end"))
+    salted = contents.where("low <> high").select("content", salts)
+    several = member.where(left + gram + right >= least).select("content", "row", "at", left.cast("int").alias("l"), right.cast("int").alias("r")).withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["content", "salt"], "left_semi")
+    whole = several.select("row", (F.col("at") - F.col("l")).alias("first"), (F.col("at") + gram + F.col("r")).alias("end"))
     return apart.union(whole)
 
 
