@@ -274,10 +274,15 @@ def traverse(words: list[int], low: array, arc_word: array, weight: array, targe
     state, total = BEGIN, 0.0
     for word in words:
         while state:
-            end = low[state + 1]
-            arc = bisect_left(arc_word, word, low[state], end)
-            if arc < end and arc_word[arc] == word:
-                break
+            arc, end = low[state], low[state + 1]
+            if arc < end:
+                # most states of more than a word have one arc here
+                if arc_word[arc] == word:
+                    break
+                if end - arc > 1:
+                    arc = bisect_left(arc_word, word, arc + 1, end)
+                    if arc < end and arc_word[arc] == word:
+                        break
             total += cost[state]
             state = fail[state]
         else:

@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -103,3 +106,19 @@ def test_no_training_rows(spark, tmp_path):
 def test_packed_numbers():
     for x in (np.array([], "<u8"), np.array([1, 2**60, 5], "<u8"), np.arange(5, dtype="<u4")):
         assert lm.unpacked(lm.packed(x), x.dtype.str).tolist() == x.tolist()
+
+
+FRESH = """
+import sys, tempfile
+from pyspark.sql import SparkSession
+from awardforge.llm import lm
+spark = SparkSession.builder.master("local[2]").config("spark.python.worker.reuse", "false").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", tempfile.mkdtemp(dir=sys.argv[1])).getOrCreate()
+rows = lm.score_documents(spark.createDataFrame([(i, "a b a c", "x") for i in range(20)], "doc_id long, text string, score string")).collect()
+assert len(rows) == 20 and all(r.score < 0 for r in rows)
+spark.stop()
+"""
+
+
+def test_in_new_workers(tmp_path):
+    """Each task in a worker of its own, so that nothing an earlier task imported is there."""
+    subprocess.run([sys.executable, "-c", FRESH, str(tmp_path)], check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
