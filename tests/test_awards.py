@@ -101,6 +101,7 @@ def test_queries_have_distinct_columns_and_run(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
 
 
 def test_invariants_hold(spark):
