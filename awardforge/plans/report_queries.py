@@ -136,7 +136,15 @@ def m2(s, d):
     return trust.checks(x, {"no_contact_title": r"NOT (rlike(t, '@[a-z]+\\.') OR rlike(t, 'POC:'))"})
 
 
-@registered("m3_link_checks")
+_NEAR = "coalesce(posted_date BETWEEN {0} - INTERVAL 24 MONTH AND {0} + INTERVAL 12 MONTH, false)"
+
+
+@registered(
+    "m3_link_checks",
+    f"""SELECT 'link_in_a_window' AS check_name, count(*) FILTER (NOT c) = 0 AS ok, count(*) FILTER (NOT c) AS failing FROM (
+    SELECT posted_date IS NULL OR coalesce(expiry, current_end) IS NULL OR {_NEAR.format("expiry")} OR {_NEAR.format("current_end")} AS c
+    FROM idlink JOIN (SELECT notice_id, posted_date FROM notice) USING (notice_id) JOIN (SELECT candidate_id, expiry, current_end FROM cand) USING (candidate_id))""",
+)
 def m3(s, d):
     """No link outside both windows, recomputed from the notice's date."""
     x = g1(s, d).where("notice_id is not null").join(domain.notices(s, d).select("notice_id", "posted_date"), "notice_id").join(cand(s, d).select("candidate_id", "expiry", "current_end"), "candidate_id")
@@ -194,13 +202,18 @@ def j3(s, d):
     return x.withColumn("gate_state", F.when(F.col("n") >= 40, "measured").otherwise("below_floor"))
 
 
-@registered("g6_projected_range")
+@registered(
+    "g6_projected_range",
+    """SELECT candidate_id, round(median * CASE WHEN offers = 1 THEN 1.06::DOUBLE WHEN offers BETWEEN 5 AND 100 THEN 0.94::DOUBLE ELSE 1.0::DOUBLE END * (1.0::DOUBLE + 1.028::DOUBLE + pow(1.028::DOUBLE, 2) + pow(1.028::DOUBLE, 3) + pow(1.028::DOUBLE, 4)) / 10000, 0) AS projected
+    FROM (SELECT candidate_id, quantile_cont(least(greatest(CAST(comp_rate AS DOUBLE), lo), hi), 0.5) AS median FROM comps JOIN (SELECT candidate_id, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM comps GROUP BY 1) USING (candidate_id) GROUP BY 1)
+    JOIN (SELECT candidate_id, offers FROM cand) USING (candidate_id)""",
+)
 def g6(s, d):
-    """A candidate's median run-rate over five years with 2.8 % escalation, 6 % up for a single offer and down for five or more."""
+    """In hundreds of dollars: a candidate's median run-rate over five years with 2.8 % escalation, 6 % up for a single offer and down for five or more."""
     from awardforge.operators import pricing
 
     c = cand(s, d)
     r = pricing.ranges(c, pricing.comparables(c, awards(s, d))).where("median is not null").join(c.select("candidate_id", "offers"), "candidate_id")
     factor = F.when(F.col("offers") == 1, 1.06).when(F.col("offers").between(5, 100), 0.94).otherwise(1.0)
     term = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0.0), lambda a, y: a + F.pow(F.lit(1.028), y))
-    return r.select("candidate_id", (F.col("median") * factor * term / 100).alias("projected"))
+    return r.select("candidate_id", F.round(F.col("median") * factor * term / 10000, 0).alias("projected"))
