@@ -37,6 +37,9 @@ BANDS = 40
 CHUNK_BYTES = 5_000_000
 #: Text bytes a key range answers for: about 4 million keys.
 RANGE_BYTES = 16_000_000
+#: A corpus has fewer distinct grams than bytes; with that many bits more than the number of bytes has, a gram
+#: shares its key with another with a chance of 2^-22 at every size.
+SPARE_BITS = 22
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -86,8 +89,11 @@ class Chunk:
         word, first = np.concatenate(tokens), np.concatenate(firsts)
         return word, first, np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
 
-    def grams(self, order: int):
-        """``(k, positions, keys)`` for k = 1..order: the k-gram that ends at each position, the document's start being one of its words."""
+    def grams(self, order: int, bits: int = 64):
+        """``(k, positions, keys)`` for k = 1..order: the k-gram that ends at each position, the document's start being one of its words.
+
+        A key of a single word has 64 bits, longer ones the first ``bits`` of them.
+        """
         word, first, place = self.words
         key = word
         for k in range(1, order + 1):
@@ -97,7 +103,7 @@ class Chunk:
                 context[first] = START
                 key = shared.mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
             at = np.flatnonzero(place >= k - 2)
-            yield k, at, key[at]
+            yield k, at, key[at] >> np.uint64(0 if k == 1 else 64 - bits)
 
     def trained(self) -> np.ndarray:
         """Whether each token is a training token."""
@@ -134,17 +140,27 @@ def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(task, "chunk long, ids array<long>, text binary, offsets binary, size long")
 
 
-def _ask(order: int, ranges: int):
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and for every key the number of its distinct one."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], inverse
+
+
+def _ask(order: int, ranges: int, bits: int):
     """A chunk's distinct keys and their training counts, cut into key ranges."""
     edges = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
     kinds = dict(r=pa.int32(), chunk=pa.int64(), k=pa.int32(), keys=pa.binary(), counts=pa.binary())
 
     def asked(number: int, chunk: Chunk):
         train = chunk.trained()
-        for k, at, keys in chunk.grams(order):
-            distinct, inverse = np.unique(keys, return_inverse=True)
+        for k, at, keys in chunk.grams(order, bits):
+            distinct, _, inverse = grouped(keys)
             counts = np.bincount(inverse[train[at]], minlength=len(distinct)).astype(np.uint32)
-            cuts = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]]).tolist()
+            cuts = np.concatenate([[0], np.searchsorted(distinct, edges >> np.uint64(0 if k == 1 else 64 - bits)), [len(distinct)]]).tolist()
             for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
                     yield r, number, k, packed(np.diff(distinct[a:b], prepend=np.uint64(0))), packed(counts[a:b])
@@ -188,19 +204,39 @@ def _band(visits: np.ndarray) -> np.ndarray:
 PARTS = ("words", "arc_state", "arc_word", "arc_count", "arc_suffix", "arc_target", "visits", "fail", "length")
 
 
-def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training: int, documents: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """States, arcs and failure arcs that the chunk's texts can reach, and its tokens that are novel by length and band of the context.
+def novel_tokens(chunk: Chunk, order: int, totals: dict[int, np.ndarray], documents: int, bits: int = 64) -> np.ndarray:
+    """The chunk's training tokens by length and band of their context, and how many of them are novel there.
+
+    The visits of a context are the count of the gram that ends one token before, those of a document's start the number of documents.
+    """
+    novel = np.zeros((order + 1, BANDS, 2), np.int64)
+    train, (word, first, _) = chunk.trained(), chunk.words
+    visits = np.zeros(len(word), np.int64)
+    for k, at, keys in chunk.grams(order, bits):
+        count = np.zeros(len(word), np.int64)
+        count[at] = totals[k].astype(np.int64)[grouped(keys)[2]]
+        if k > 1:
+            left = at[train[at] & (visits[at] > 1)]
+            band = _band(visits[left] - 1)
+            novel[k] = np.stack([np.bincount(band, minlength=BANDS), np.bincount(band[count[left] == 1], minlength=BANDS)], axis=1)
+        visits[1:] = count[:-1]
+        visits[first] = documents
+    return novel
+
+
+def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training: int, documents: int, bits: int = 64) -> dict[str, np.ndarray]:
+    """States, arcs and failure arcs that the chunk's texts can reach.
 
     ``totals[k]`` are the training counts of the chunk's distinct k-grams in key order.
     """
     parts = {name: [] for name in PARTS}
     parts["visits"], parts["fail"], parts["length"] = [[training, documents]], [[ROOT, ROOT]], [[0, 1]]
-    states, arcs, novel = 2, 0, np.zeros((order + 1, BANDS, 2), np.int64)
-    train, (word, first, _) = chunk.trained(), chunk.words
+    states, arcs = 2, 0
+    word, first, _ = chunk.words
     # the arc of the gram one shorter that ends at each token and the state it leads to, -1 where there is none; at first of the empty gram
     arc, reached = np.full(len(word), -1), np.full(len(word), ROOT)
-    for k, at, keys in chunk.grams(order):
-        distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    for k, at, keys in chunk.grams(order, bits):
+        distinct, index, inverse = grouped(keys)
         count, where = totals[k].astype(np.int64), at[index]
         if len(count) != len(distinct):
             raise RuntimeError("a chunk got other counts than it asked for")
@@ -212,10 +248,6 @@ def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training:
             before[first] = BEGIN
             context = before[where]
             known = (count > 0) & (context >= 0) & (arc[where] >= 0)
-            visits = np.append(np.concatenate(parts["visits"]), 0)[before[at]]
-            left = train[at] & (visits > 1)
-            band = _band(visits[left] - 1)
-            novel[k] = np.stack([np.bincount(band, minlength=BANDS), np.bincount(band[count[inverse[left]] == 1], minlength=BANDS)], axis=1)
         shorter, ends = reached[where], word[where] == END
         new = known & (count > 0) & ~ends if k < order else np.zeros(len(distinct), bool)
         n_new = int(np.count_nonzero(new))
@@ -230,17 +262,17 @@ def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training:
         states, arcs = states + n_new, arcs + int(np.count_nonzero(known))
         arc, reached = np.full(len(word), -1), np.full(len(word), -1)
         arc[at], reached[at] = number[inverse], state[inverse]
-    return {name: np.concatenate(x).astype(np.int64) for name, x in parts.items()}, novel
+    return {name: np.concatenate(x).astype(np.int64) for name, x in parts.items()}
 
 
-def _assemble(order: int, training: int, documents: int):
+def _assemble(order: int, documents: int, bits: int):
     """A chunk's texts joined by the counts sent back to it, and its novel tokens."""
 
     def join(key, texts: pa.Table, replies: pa.Table) -> pa.Table:
         rows, told = [], sorted(replies.select(["k", "r", "counts"]).to_pylist(), key=lambda x: x["r"])
         for t in texts.to_pylist():
             totals = {k: np.concatenate([unpacked(x["counts"], "<u8") for x in told if x["k"] == k] or [np.zeros(0, np.uint64)]) for k in range(1, order + 1)}
-            _, novel = automaton(Chunk.read(t), order, totals, training, documents)
+            novel = novel_tokens(Chunk.read(t), order, totals, documents, bits)
             rows.append((t["ids"], t["text"], t["offsets"], [packed(totals[k]) for k in range(1, order + 1)], novel[2:].reshape(-1).tolist()))
         names = ["ids", "text", "offsets", "totals", "novel"]
         kinds = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
@@ -304,11 +336,12 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
     shared.small_batches(spark, 1)
     size = texts.agg(F.sum("size")).first()[0] or 0
     ranges = max(shared.partitions(spark, 4), -(-size // RANGE_BYTES))
-    asked = texts.mapInArrow(_ask(order, ranges), "r int, chunk long, k int, keys binary, counts binary")
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
+    asked = texts.mapInArrow(_ask(order, ranges, bits), "r int, chunk long, k int, keys binary, counts binary")
     replies = shared.saved(asked.groupBy("r").applyInArrow(_answer, "chunk long, k int, r int, counts binary"), "arcs")
     root = [np.frombuffer(r.counts, "<u8").astype(np.int64) for r in replies.where("chunk = -1").select("counts").collect()]
     training, vocabulary, once, twice, documents = (int(x) for x in np.sum(root, axis=0)) if root else (0, 0, 0, 0, 0)
-    join, schema = _assemble(order, training, documents)
+    join, schema = _assemble(order, documents, bits)
     built = texts.groupBy("chunk").cogroup(replies.where("chunk >= 0").groupBy("chunk")).applyInArrow(join, schema)
     built = shared.saved(built, "automata")
     novel = np.zeros((order + 1, BANDS, 2))
@@ -321,7 +354,7 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row)
-                parts, _ = automaton(chunk, order, {k: unpacked(x, "<u8") for k, x in enumerate(row["totals"], 1)}, training, documents)
+                parts = automaton(chunk, order, {k: unpacked(x, "<u8") for k, x in enumerate(row["totals"], 1)}, training, documents, bits)
                 weight, cost = weigh(parts, back, discount, vocabulary)
                 n_words = int(np.count_nonzero(parts["arc_state"] == ROOT))
                 sort = np.lexsort((parts["arc_word"], parts["arc_state"]))
