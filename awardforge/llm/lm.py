@@ -34,12 +34,12 @@ from . import shared
 END, START = np.uint64(0x5E17D3A9C24F8B01), np.uint64(0x1B873593CC9E2D51)
 ROOT, BEGIN = 0, 1
 BANDS = 40
-CHUNK_BYTES = 5_000_000
+CHUNK_BYTES = 3_500_000
 #: Text bytes a key range answers for: about 4 million keys.
 RANGE_BYTES = 16_000_000
 #: A corpus has fewer distinct grams than bytes; with that many bits more than the number of bytes has, a gram
-#: shares its key with another with a chance of 2^-22 at every size.
-SPARE_BITS = 22
+#: shares its key with another with a chance of 2^-20 at every size.
+SPARE_BITS = 20
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -262,7 +262,7 @@ def automaton(chunk: Chunk, order: int, totals: dict[int, np.ndarray], training:
         states, arcs = states + n_new, arcs + int(np.count_nonzero(known))
         arc, reached = np.full(len(word), -1), np.full(len(word), -1)
         arc[at], reached[at] = number[inverse], state[inverse]
-    return {name: np.concatenate(x).astype(np.int64) for name, x in parts.items()}
+    return {name: np.concatenate(parts.pop(name)).astype(np.int64, copy=False) for name in PARTS}
 
 
 def _assemble(order: int, documents: int, bits: int):
@@ -350,20 +350,25 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
     back = np.clip((novel[:, :, 1] + 1) / (novel[:, :, 0] + 2), 1e-4, 1 - 1e-4)
     discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
+    def column(kind: str, x: np.ndarray) -> array:
+        return array(kind, x.astype(kind, copy=False).tobytes())
+
     def task(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row)
                 parts = automaton(chunk, order, {k: unpacked(x, "<u8") for k, x in enumerate(row["totals"], 1)}, training, documents, bits)
                 weight, cost = weigh(parts, back, discount, vocabulary)
-                n_words = int(np.count_nonzero(parts["arc_state"] == ROOT))
-                sort = np.lexsort((parts["arc_word"], parts["arc_state"]))
-                low = np.searchsorted(parts["arc_state"][sort], np.arange(len(parts["fail"]) + 1))
-                tables = [array(kind, np.ascontiguousarray(x).astype(kind).tobytes()) for kind, x in zip("qIdIdI", (low, parts["arc_word"][sort], weight[sort], parts["arc_target"][sort], cost, parts["fail"]), strict=True)]
-                ids, words, first = chunk.ids, parts["words"], chunk.words[1]
+                state = parts.pop("arc_state")
+                count = parts.pop("arc_count")[: int(np.count_nonzero(state == ROOT))].astype(np.float64)
+                sort = np.lexsort((parts["arc_word"], state))
+                low = np.searchsorted(state[sort], np.arange(len(cost) + 1))
+                ids, words, first = chunk.ids, parts.pop("words"), chunk.words[1]
+                # each array goes once its table is made, so that a worker holds the automaton little more than once
+                tables = [column("q", low), column("I", parts.pop("arc_word")[sort]), column("d", weight[sort]), column("I", parts.pop("arc_target")[sort]), column("d", cost), column("I", parts.pop("fail"))]
+                del parts, state, sort, low, weight, cost
                 bounds = np.append(first, len(words)).tolist()
                 scores = [traverse(words[a:b].tolist(), *tables) for a, b in zip(bounds, bounds[1:], strict=False)]
-                count = parts["arc_count"][:n_words].astype(np.float64)
                 base = np.log10((count + 0.1) / (training + 0.1 * (vocabulary + 1)))
                 sums = [np.add.reduceat(x[words], first) for x in ((count > 0).astype(np.int64), base)]
                 columns = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(np.diff(bounds)), pa.array(sums[0]), pa.array([training] * len(ids), pa.int64()), pa.array(sums[1]), pa.array(scores, pa.float64())]
