@@ -32,25 +32,21 @@ FILE_SCHEMA = (
 )
 
 
-def compress(ids: np.ndarray, end_id: int, terminals: int, rounds: int = 5, a_round: int = 3000, least: int = 6, most: int = 65536) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol sequence of ``ids`` and its rules (n, 2)."""
+def compress(ids: np.ndarray, end_id: int, terminals: int, a_round: int = 3000, least: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol sequence of ``ids`` and its rules (n, 2), in rounds of ``a_round`` rules until no pair is left that occurs ``least`` times."""
     seq, rules, following = ids.astype(np.int64), [], terminals
-    for _ in range(rounds):
-        room = min(a_round, most - following)
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1:
         free = seq != end_id
         code = seq[:-1] << 32 | seq[1:]
         code[~(free[:-1] & free[1:])] = -1
-        # a count by hash bounds a pair's count from above, so only pairs in the thickest bins are counted exactly
+        # a count by hash bounds a pair's count from above: pairs in thinner bins are not frequent
         slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         thick = np.bincount(slot, minlength=1 << 20)
-        bound = max(least, int(np.partition(thick, -2 * a_round)[-2 * a_round]))
-        pairs, counts = np.unique(code[(thick >= bound)[slot] & (code >= 0)], return_counts=True)
+        pairs, counts = np.unique(code[(thick >= least)[slot] & (code >= 0)], return_counts=True)
         pairs, counts = pairs[counts >= least], counts[counts >= least]
         if not len(pairs):
             break
-        chosen = np.sort(pairs[np.lexsort((pairs, -counts))[:room]])
+        chosen = np.sort(pairs[np.lexsort((pairs, -counts))[:a_round]])
         wanted = np.zeros(1 << 20, bool)
         wanted[(chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
         at = np.flatnonzero(wanted[slot])
