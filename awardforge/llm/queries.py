@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, suffix
+from . import divergence, quality, suffix
 from .decontam import op4_decontamination
+from .divergence import op12_divergence
 from .html import op2_html
 from .linededup import op3_line_dedup
 from .lm import op1_lm
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_suffix": op8_suffix,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_suffix": suffix.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
