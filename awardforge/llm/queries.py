@@ -9,6 +9,7 @@ from .html import op2_html
 from .linededup import op3_line_dedup
 from .lm import op1_lm
 from .packing import op7_packing
+from .patterns import op13_pattern_packing
 from .pii import op9_pii
 from .quality import op10_quality
 from .repair import op5_repair
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
     "op12_divergence": op12_divergence,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -67,21 +67,81 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-def encoded(enc: WordEncoder, column):
+def encoded(enc: WordEncoder | ByteEncoder, column):
     """The id bytes of each row of an Arrow string column, in row order."""
     data, offsets = shared.text_buffer(column)
     for k in range(len(offsets) - 1):
         yield enc.ids(data[offsets[k] : offsets[k + 1]].tobytes())
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+#: A space between two printable ASCII characters: a byte-level vocabulary splits right before it, whatever stands around.
+_GAP = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+#: Where a text has one of these, its white space is not single spaces and single line ends between words.
+_LOOSE = (b"  ", b" \n", b"\n ", b"\n\n")
+_CONTROLS = bytes([9, 11, 12, 13, 28, 29, 30, 31])
+_WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-def encoder(path: str) -> WordEncoder:
+class ByteEncoder:
+    """The same for a byte-level vocabulary, which keeps white space: a word takes the space before it along.
+
+    So a tidy text is cut before each single space and each single line end, and every piece is encoded once; other texts are
+    cut only where a space stands between two printable ASCII characters. A text that may hold a special token is encoded whole.
+    """
+
+    LONG = 64
+
+    def __init__(self, path: str, keep: int = KEEP_WORDS):
+        shared.os_threads_off()
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts, self.spaced, self.pieces = _Memory(self._part, keep), _Memory(self._spaced, keep), _Memory(self._piece, keep)
+
+    def _part(self, part: str) -> bytes:
+        """A run that the vocabulary does not split: straight to its merges."""
+        return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+
+    def _whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        s = piece.decode("utf-8", "replace")
+        lead = s[:1] if s[:1] in (" ", "\n") else ""
+        if (m := _PLAIN.fullmatch(s, len(lead))) and len(s) > len(lead):
+            letters, marks = m.groups()
+            # a space goes with what follows it, a line end stands alone
+            before = self.parts["\n"] if lead == "\n" else b""
+            lead = " " if lead == " " else ""
+            if not letters:
+                return before + self.parts[lead + marks]
+            return before + self.parts[lead + letters] + (self.parts[marks] if marks else b"")
+        return self._whole(piece)
+
+    def _spaced(self, piece: bytes) -> bytes:
+        return self._piece(piece if piece[:1] == b"\n" else b" " + piece)
+
+    def ids(self, text: bytes) -> bytes:
+        if b"<|" in text:
+            return self._whole(text)
+        loose = text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n") or any(x in text for x in _LOOSE) or len(text.translate(None, _CONTROLS)) < len(text)
+        if loose or (not text.isascii() and _WIDE_SPACE.search(text)):
+            first, *rest = _GAP.split(text)
+            pieces = [first, *(b" " + x for x in rest)]
+            return b"".join(self.pieces[x] if len(x) <= self.LONG else self._whole(x) for x in pieces)
+        first, *rest = text.replace(b"\n", b" \n").split(b" ")
+        return self.pieces[first] + b"".join(map(self.spaced.__getitem__, rest)) if text else b""
+
+
+_ENCODERS: dict[tuple[type, str], WordEncoder | ByteEncoder] = {}
+
+
+def encoder(path: str, kind: type = WordEncoder) -> WordEncoder | ByteEncoder:
     """One encoder for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    return _ENCODERS[kind, path]
 
 
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
