@@ -31,7 +31,7 @@ BLOCK_ROWS = 400_000
 _CELLS = 1 << 20
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
-USES = "lang string, source string, chunk string, n long, docs long, low long, high long"
+USES = "lang string, source string, chunk string, n long, docs long, low long, span long"
 TERM_USES = "lang string, source string, term string, n long, docs long, low long, high long"
 KEPT = "lang string, source string, term string, n long, total long, first int"
 
@@ -70,7 +70,10 @@ def chunk_uses(docs: DataFrame) -> DataFrame:
             names, texts = list(groups), pa.array(list(chunks), pa.binary()).cast(pa.string())
             lang, source = (pa.array([g[k] for g in names], pa.string()) for k in (0, 1))
             group, chunk = key[run] >> 32, key[run] & 0xFFFFFFFF
-            columns = [lang.take(pa.array(group)), source.take(pa.array(group)), texts.take(pa.array(chunk)), *map(pa.array, (np.add.reduceat(n, run), docs, doc[run], doc[run + docs - 1]))]
+            # many documents need no names, and one document has no span: zeros cost nothing on the way
+            few = docs < LEAST_DOCS
+            low, span = np.where(few, doc[run], 0), np.where(few, doc[run + docs - 1] - doc[run], 0)
+            columns = [lang.take(pa.array(group)), source.take(pa.array(group)), texts.take(pa.array(chunk)), *map(pa.array, (np.add.reduceat(n, run), docs, low, span))]
             table = pa.Table.from_arrays(columns, names=_names(USES))
             yield from table.to_batches(max_chunksize=50_000)
 
@@ -168,7 +171,7 @@ def _merge(batches):
 def term_uses(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, total, first)``: the occurrences of each kept term in each source that has it, and in its language; ``first`` is 1 in one row of each term."""
     uses = chunk_uses(docs).repartition("chunk").groupBy("chunk", "lang", "source")
-    uses = uses.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    uses = uses.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max(F.col("low") + F.col("span")).alias("high"))
     terms = uses.sortWithinPartitions("chunk").mapInArrow(_terms_back, TERM_USES)
     return terms.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge, KEPT)
 
