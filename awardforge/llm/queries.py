@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import divergence, quality, suffix
+from . import collocations, divergence, quality, suffix
+from .collocations import op11_collocations
 from .decontam import op4_decontamination
 from .divergence import op12_divergence
 from .html import op2_html
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_suffix": op8_suffix,
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
     "op12_divergence": op12_divergence,
     "op13_pattern_packing": op13_pattern_packing,
 }
@@ -34,5 +36,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op8_suffix": suffix.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_divergence": divergence.ORACLE,
 }
