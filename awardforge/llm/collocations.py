@@ -29,8 +29,8 @@ from .divergence import Numbers
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SAMPLE_SHARE, SAMPLE_LEAST = 0.125, 2
-#: The bitmap of proposals: 16 MB.
-BITS = 1 << 27
+#: Bits of the bitmap of proposals (a power of two): 4 MB. A larger corpus wants more, so that few phrases are counted in vain.
+BITS = 1 << 25
 FLUSH_WORDS = 1_500_000
 SALTS = 8
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
@@ -77,15 +77,11 @@ class Proposals:
     """A fixed bitmap of keys with two bits a key."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @staticmethod
-    def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return key & np.uint64(BITS - 1), (key >> np.uint64(32)) & np.uint64(BITS - 1)
+        self.words, self.mask = words, np.uint64(64 * len(words) - 1)
 
     def has(self, key: np.ndarray) -> np.ndarray:
         hit = np.ones(len(key), bool)
-        for place in self.places(key):
+        for place in (key & self.mask, key >> np.uint64(32) & self.mask):
             hit &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
         return hit
 
@@ -147,20 +143,20 @@ def key_counts(docs: DataFrame, proposals: list | None, share: float = 1.0) -> D
     return _texts(docs).mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def bitmap(keys: DataFrame):
-    """The keys as a broadcast bitmap. At most ``BITS / 64`` words reach the driver."""
+def bitmap(keys: DataFrame, size: int):
+    """The keys as a broadcast bitmap of ``size`` bits. At most ``size / 64`` words reach the driver."""
     spark = keys.sparkSession
-    low, high = f"key & {BITS - 1}L", f"shiftrightunsigned(key, 32) & {BITS - 1}L"
+    low, high = f"key & {size - 1}L", f"shiftrightunsigned(key, 32) & {size - 1}L"
     bits = keys.selectExpr(f"explode(array({low}, {high})) place").selectExpr("place div 64 word", "shiftleft(1L, cast(place % 64 as int)) bit")
     got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(BITS // 64, np.uint64)
+    words = np.zeros(size // 64, np.uint64)
     words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).view(np.uint64)
     return spark.sparkContext.broadcast(words)
 
 
-def frequent_keys(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE) -> DataFrame:
+def frequent_keys(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
     """Keys of all phrases of up to four words that occur ``least`` times in their language, and by chance some more."""
-    proposals = [bitmap(key_counts(docs, None, share).where(F.col("n") >= SAMPLE_LEAST))]
+    proposals = [bitmap(key_counts(docs, None, share).where(F.col("n") >= SAMPLE_LEAST), size)]
     known = None
     while True:
         found = key_counts(docs, proposals).where(F.col("n") >= least).select("key")
@@ -174,13 +170,15 @@ def frequent_keys(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHA
                 yield batch.filter(pa.array(out))
 
         if known.mapInArrow(outside, "key long").isEmpty():
+            for used in proposals:
+                used.destroy()
             return known
-        proposals.append(bitmap(known))
+        proposals.append(bitmap(known, size))
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
     """``(lang, phrase, words, f)`` of every phrase of up to four words that occurs ``least`` times; ``words`` 0 has the number of all words of the language."""
-    known = bitmap(frequent_keys(docs, least, share))
+    known = bitmap(frequent_keys(docs, least, share, size), size)
 
     def task(batches):
         names = ["lang", "phrase", "words", "n"]
@@ -225,15 +223,15 @@ def scored(counts: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.select("lang", "phrase", "x.a", "x.l", "x.r", "x.score")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: float = SAMPLE_SHARE) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
     """``(lang, rank, phrase, a, l, r, n, score)``: the first ``top`` phrases of each language.
 
     A null text is an empty one, a null lang ``und``; each row is a document, repeated ones too; an empty table gives no rows; ties in the
     score go by count, then by the bytes of the phrase; extra columns are ignored. A very long text is one document of a
-    stretch. ``share`` of the documents proposes; the result does not depend on it.
+    stretch. ``share`` of the documents proposes, in a bitmap of ``size`` bits; the result depends on neither.
     """
     spark = docs.sparkSession
-    counts = shared.saved(phrase_counts(docs, least, share), "phrase-counts")
+    counts = shared.saved(phrase_counts(docs, least, share, size), "phrase-counts")
     candidates = counts.where("words > 1")
     spans = [(length, k, m) for length in range(3, LONGEST + 1) for m in range(2, length) for k in range(1, length - m + 2)]
     inner = F.array_distinct(F.array(*[F.when(F.col("words") == length, F.expr(_part(str(k), str(k + m - 1)))) for length, k, m in spans]))
