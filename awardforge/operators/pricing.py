@@ -17,6 +17,11 @@ TYPES = ("DELIVERY ORDER", "PURCHASE ORDER", "DEFINITIVE CONTRACT", "BPA CALL")
 LEAST, TARGET, RECENT_YEARS = 5, 40, 5
 LEAST_DAYS, MOST_DAYS = 91, 4383
 LEVEL = 0.8
+NOT_COMPETED = ("B", "C", "G")
+STRENGTH = {"Strong": (15, 0.35, 0.5), "Moderate": (8, 0.6, 0.7)}  # comparables at least, width of the interval and running share at most
+ESCALATION = 0.028
+COMPETITION = {"as_before": 1.0, "more": 0.94, "less": 1.06}
+PRICING = "case when upper(trim(pricing_code)) in ('A', 'J', 'K', 'L', 'M') then 'FFP' when upper(trim(pricing_code)) in ('R', 'S', 'T', 'U', 'V') then 'COST' when upper(trim(pricing_code)) in ('Y', 'Z') then 'TM' end"
 
 
 def run_rate(today: str = AS_OF) -> Column:
@@ -29,87 +34,177 @@ def pool(awards: DataFrame, today: str = AS_OF) -> DataFrame:
     """Awards that can serve as comparables, keyed by family and class: all four rungs are subsets of that key."""
     p = awards.where(F.upper("award_type").isin(*TYPES)).withColumn("rate", run_rate(today)).where("rate is not null")
     recent = F.coalesce(F.col("signed") >= F.expr(f"add_months({today}, {-12 * RECENT_YEARS})"), F.lit(False))
+    running = F.coalesce(F.col("current_end") > F.expr(today), F.lit(False))
     return p.select(
         F.substring("naics", 1, 4).alias("family"), F.substring("psc", 1, 2).alias("class"), F.col("award_id").alias("comp_id"), F.col("naics").alias("comp_naics"), F.col("component").alias("comp_component"),
         F.col("rate").alias("comp_rate"), recent.alias("recent"), F.col("signed").alias("comp_signed"), F.col("value").alias("comp_value"), F.col("psc").alias("comp_psc"),
+        F.expr(PRICING).alias("comp_pricing"), running.alias("comp_running"),
     )
 
 
-#: Candidates and awards of a cell that a task compares at once.
-PART = (2_000, 20_000)
+#: Candidates of a cell and price bucket that a task takes at once; candidates and awards that are compared in one step.
+PART, STEP = 20_000, 512
+#: A rung needs its newest TARGET rows, and besides them the candidate's own award and fewer than LEAST rows of tighter rungs may lie among the newest.
+NEWEST = TARGET + LEAST + 1
+_CARRIED = ["comp_id", "comp_rate", "comp_psc", "comp_value", "comp_pricing", "comp_running"]
 
 
-def comparables(c: DataFrame, awards: DataFrame, today: str = AS_OF, part: tuple[int, int] = PART) -> DataFrame:
+def bucket(rate: str) -> str:
+    """SQL: the whole part of log4. An award of a quarter to four times a rate lies in the rate's bucket or in one next to it."""
+    return f"(length(bin({rate})) - 1) div 2"
+
+
+def first_matches(rates: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = NEWEST) -> np.ndarray:
+    """For each range the places of the first ``most`` rates in it (-1: no more). Rates are read in steps, and a range that has enough leaves."""
+    out, have, open_rows = np.full((len(low), most), -1), np.zeros(len(low), np.int64), np.arange(len(low))
+    for at in range(0, len(rates), STEP):
+        some = rates[at : at + STEP]
+        row, place = np.nonzero((some >= low[open_rows, None]) & (some <= high[open_rows, None]))
+        nth = have[open_rows][row] + np.arange(len(row)) - np.searchsorted(row, row, "left")
+        good = nth < most
+        out[open_rows[row[good]], nth[good]] = place[good] + at
+        have[open_rows] += np.bincount(row, minlength=len(open_rows))
+        open_rows = open_rows[have[open_rows] < most]
+        if not len(open_rows):
+            break
+    return out
+
+
+def _chosen(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    """The comparables of the candidates of one cell and price bucket, among the awards of that bucket, its neighbours and the newest of the cell."""
+    names = ["candidate_id", "rung", "own", "candidate_rate", *_CARRIED]
+    if a.empty or p.empty:
+        return pd.DataFrame(columns=names)
+    p = p.drop_duplicates("comp_id")
+    age = pd.to_datetime(p["comp_signed"]).to_numpy("datetime64[D]")
+    # newest first, then by id: one order serves every candidate
+    p = p.iloc[np.lexsort((p["comp_id"].to_numpy(), np.where(np.isnat(age), 10**9, -age.astype(np.int64))))].reset_index(drop=True)
+    naics, component, rate, recent = p["comp_naics"].to_numpy(object), p["comp_component"].to_numpy(object), p["comp_rate"].to_numpy(np.int64), p["recent"].to_numpy(bool)
+    place = {x: k for k, x in enumerate(p["comp_id"])}
+    everywhere, out = np.arange(len(p)), []
+    for (code, office), group in a.groupby(["naics", "component"], dropna=False, sort=False):
+        similar = np.flatnonzero((naics == code) & recent)
+        rungs = [similar[component[similar] == office], similar, everywhere, everywhere]
+        for at in range(0, len(group), STEP):
+            some = group.iloc[at : at + STEP]
+            known = some["rate"].notna().to_numpy()
+            own_rate = some["rate"].fillna(0).to_numpy(np.int64)
+            low, high = np.where(known, (own_rate + 3) // 4, 0), np.where(known, 4 * own_rate, 2**62)
+            own = np.array([place.get(x, -1) for x in some["award_id"]])
+            left, tighter = np.arange(len(some)), np.full((len(some), NEWEST), -1)
+            for rung, rows in enumerate(rungs, 1):
+                # without a rate of its own a candidate has no price band, and the last rung never has one
+                a0, b0 = (low[left], high[left]) if rung < 4 else (np.zeros(len(left), np.int64), np.full(len(left), 2**62))
+                found = first_matches(rate[rows], a0, b0)
+                found = np.where(found >= 0, rows[found] if len(rows) else -1, -1)
+                found[found == own[left, None]] = -1
+                # rows of the tighter rung come first and once
+                again = (found[:, :, None] == tighter[left, None, :LEAST]) & (found[:, :, None] >= 0)
+                found[again.any(axis=2)] = -1
+                both = np.concatenate([tighter[left, :LEAST], found], axis=1)
+                order = np.argsort(both < 0, axis=1, kind="stable")
+                both = np.take_along_axis(both, order, axis=1)[:, :NEWEST]
+                enough = (both >= 0).sum(axis=1) >= LEAST
+                who, k = np.nonzero(both[enough][:, :TARGET] >= 0)
+                out.append((some.index.to_numpy()[left[enough]][who], np.full(len(who), rung), both[enough][who, k]))
+                tighter[left] = both
+                left = left[~enough]
+                if not len(left):
+                    break
+    if not out:
+        return pd.DataFrame(columns=names)
+    who, rung, at = (np.concatenate(x) for x in zip(*out, strict=True))
+    mine = a.loc[who]
+    own_rate = mine["rate"].fillna(0).to_numpy(np.int64)
+    fits = mine["rate"].isna().to_numpy() | ((rate[at] * 4 >= own_rate) & (rate[at] <= 4 * own_rate))
+    same = fits & recent[at] & (naics[at] == mine["naics"].to_numpy(object))
+    own = np.where(same & (component[at] == mine["component"].to_numpy(object)), 1, np.where(same, 2, np.where(fits, 3, 4)))
+    found = {"candidate_id": mine["candidate_id"].to_numpy(), "rung": rung, "own": own, "candidate_rate": mine["rate"].astype("Int64").array}
+    return pd.DataFrame(found | {c: p[c].to_numpy()[at] for c in _CARRIED})
+
+
+def comparables(c: DataFrame, awards: DataFrame, today: str = AS_OF, part: int = PART) -> DataFrame:
     """The comparables of each candidate: the tightest rung with ``LEAST`` awards, at most ``TARGET`` of them by (own rung, latest, id).
 
-    A (family, class) cell may hold a third of all awards, so both its sides are dealt over parts of about ``part``
-    rows (candidates, awards) and a task sees one part of each. A part gives a candidate its counts by rung and its best ``TARGET``
-    rows: as the order begins with the rung, the best of all parts together are found among those, exactly.
+    A price band spans three buckets of log4, so awards go to their bucket and both neighbours and a candidate to
+    its own; only the last rung, which has no band, and candidates without a rate need others, and these are the newest
+    awards of a cell, code and component, ranked before the join. A candidate reads awards from the newest on until it
+    has enough. Candidates of one bucket are dealt over parts of about ``part``; the awards of three buckets of one
+    cell must fit into a task (columns of about 100 bytes a row: ten million awards in all, a third of them in one cell, are fine).
     """
     cell = ["family", "class"]
     left = c.select("candidate_id", "award_id", "naics", "component", F.substring("naics", 1, 4).alias("family"), F.substring("psc", 1, 2).alias("class"), run_rate(today).alias("rate")).where("family <> '' and class <> ''")
+    left = left.withColumn("bucket", F.coalesce(F.expr(bucket("rate")), F.lit(-9)).cast("int"))
+    parts = left.groupBy(*cell, "bucket").agg((1 + F.floor(F.count(F.lit(1)) / part)).cast("int").alias("parts"))
+    left = left.join(parts, [*cell, "bucket"]).withColumn("part", F.pmod(F.xxhash64("candidate_id"), F.col("parts")).cast("int")).drop("parts")
     right = pool(awards, today)
-    parts = lambda df, name, rows: df.groupBy(*cell).agg((1 + F.floor(F.count(F.lit(1)) / rows)).cast("int").alias(name))
-    grid = parts(left, "n_a", part[0]).join(parts(right, "n_b", part[1]), cell)
-    dealt = lambda df, key, n, other, a, b: df.join(grid, cell).withColumn(a, F.pmod(F.xxhash64(key), F.col(n)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    left = dealt(left, "candidate_id", "n_a", "n_b", "pa", "pb").drop("n_a", "n_b")
-    right = dealt(right, "comp_id", "n_b", "n_a", "pb", "pa").drop("n_a", "n_b")
-    counts = [f"n{k}" for k in range(1, 5)]
-
-    def best(a: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        naics, component, ids = p["comp_naics"].to_numpy(), p["comp_component"].to_numpy(), p["comp_id"].to_numpy()
-        rate, recent = p["comp_rate"].to_numpy(np.int64), p["recent"].to_numpy(bool)
-        signed = pd.to_datetime(p["comp_signed"]).to_numpy("datetime64[D]")
-        # newest first, then by id: one order serves every candidate
-        order = np.lexsort((ids, np.where(np.isnat(signed), 0, -signed.astype(np.int64))))
-        naics, component, ids, rate, recent, signed = (x[order] for x in (naics, component, ids, rate, recent, signed))
-        psc, value = p["comp_psc"].to_numpy()[order], p["comp_value"].to_numpy()[order]
-        here = {x: component == x for x in set(a["component"])}
-        same = {x: (naics == x) & recent for x in set(a["naics"])}
-        for row in a.itertuples(index=False):
-            size = np.ones(len(ids), bool) if pd.isna(row.rate) else (rate * 4 >= int(row.rate)) & (rate <= 4 * int(row.rate))
-            b = same[row.naics] & size
-            own = np.where(b & here[row.component], 1, np.where(b, 2, np.where(size, 3, 4))).astype(np.int8)
-            own[ids == row.award_id] = 5
-            n = np.bincount(own, minlength=6)[1:5]
-            at = np.zeros(0, np.int64)
-            for rung in range(1, 5):
-                if len(at) < TARGET and n[rung - 1]:
-                    at = np.concatenate([at, np.flatnonzero(own == rung)[: TARGET - len(at)]])
-            if len(at):
-                first = np.zeros((len(at), 4), np.int64)
-                first[0] = n
-                out.append((row.candidate_id, None if pd.isna(row.rate) else int(row.rate), at, own[at], first))
-        if not out:
-            return pd.DataFrame(columns=["candidate_id", "own", "comp_id", "comp_rate", "candidate_rate", "comp_psc", "comp_value", "signed", *counts])
-        sizes = [len(x[2]) for x in out]
-        at, n = np.concatenate([x[2] for x in out]), np.concatenate([x[4] for x in out])
-        spread = lambda k: np.repeat(np.array([x[k] for x in out], object), sizes)
-        found = {"candidate_id": spread(0), "own": np.concatenate([x[3] for x in out]).astype(np.int64), "comp_id": ids[at], "comp_rate": rate[at], "candidate_rate": spread(1), "comp_psc": psc[at], "comp_value": value[at], "signed": signed[at]}
-        return pd.DataFrame(found | {c: n[:, k] for k, c in enumerate(counts)})
-
-    kinds = "candidate_id string, own long, comp_id string, comp_rate long, candidate_rate long, comp_psc string, comp_value decimal(18,2), signed date, " + ", ".join(f"{x} long" for x in counts)
-    key = [*cell, "pa", "pb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, kinds)
-    mine = W.partitionBy("candidate_id")
-    place = F.row_number().over(mine.orderBy("own", F.col("signed").desc_nulls_last(), "comp_id"))
-    total = {x: F.sum(x).over(mine) for x in counts}
-    ranked = found.withColumns(total | {"place": place})
-    upto = lambda k: sum((F.col(x) for x in counts[:k]), F.lit(0))
-    rung = F.when(upto(1) >= LEAST, 1).when(upto(2) >= LEAST, 2).when(upto(3) >= LEAST, 3).when(upto(4) >= LEAST, 4)
-    letter = lambda x: F.substring(F.lit("ABCD"), x.cast("int"), F.lit(1))
-    kept = ranked.withColumn("rung", rung).where((F.col("own") <= F.col("rung")) & (F.col("place") <= TARGET))
-    return kept.select("candidate_id", letter(F.col("rung")).alias("rung"), "comp_id", letter(F.col("own")).alias("own_rung"), "comp_rate", "candidate_rate", "comp_psc", "comp_value")
-
-
-def ranges(c: DataFrame, comps: DataFrame) -> DataFrame:
-    """Winsorised quartiles of the comparables' rates; a candidate without comparables gets a refusal, not a number."""
-    g = comps.groupBy("candidate_id", "rung").agg(F.sort_array(F.collect_list(F.col("comp_rate").cast("double"))).alias("r"), F.count(F.lit(1)).alias("n"), F.first("candidate_rate").alias("own"))
-    clipped = g.withColumns({"lo": _quantile("r", 0.05), "hi": _quantile("r", 0.95)}).withColumn("w", F.transform("r", lambda x: F.least(F.greatest(x, F.col("lo")), F.col("hi"))))
-    q = clipped.withColumns({"low": _quantile("w", 0.25), "median": _quantile("w", 0.5), "high": _quantile("w", 0.75)})
-    x = c.select("candidate_id").join(q, "candidate_id", "left")
-    return x.select("candidate_id", "rung", F.coalesce("n", F.lit(0)).alias("n_comparables"), "low", "median", "high", F.when(F.col("n").isNull(), "insufficient").otherwise("comparables").alias("range_basis"), F.when(F.col("own").isNotNull(), (F.col("own") < F.col("low")) | (F.col("own") > F.col("high"))).alias("outside"), "w")
+    place = lambda *by: F.row_number().over(W.partitionBy(*cell, *by).orderBy(F.col("comp_signed").desc_nulls_last(), "comp_id"))
+    newest = [right.withColumn("place", place(*by)).where(F.col("place") <= NEWEST).drop("place") for by in ((), ("recent", "comp_naics"), ("recent", "comp_naics", "comp_component"))]
+    newest = newest[0].unionByName(newest[1]).unionByName(newest[2]).distinct()
+    wanted = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    at = F.expr(bucket("comp_rate")).cast("int")
+    banded = right.withColumn("bucket", F.explode(F.array(at - 1, at, at + 1))).join(wanted, [*cell, "bucket"])
+    right = banded.unionByName(newest.join(wanted, cell).select(*banded.columns))
+    kinds = "candidate_id string, rung long, own long, candidate_rate long, comp_id string, comp_rate long, comp_psc string, comp_value decimal(18,2), comp_pricing string, comp_running boolean"
+    key = [*cell, "bucket", "part"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_chosen, kinds)
+    letter = lambda x: F.substring(F.lit("ABCD"), F.col(x).cast("int"), F.lit(1)).alias(x)
+    return found.select("candidate_id", letter("rung"), "comp_id", letter("own").alias("own_rung"), "comp_rate", "candidate_rate", "comp_psc", "comp_value", "comp_pricing", "comp_running")
+
+
+def audit(comps: DataFrame, awards: DataFrame, today: str = AS_OF) -> DataFrame:
+    """The comparables with the record behind each: one long row for every candidate and award kept for it."""
+    days = F.expr(f"greatest(least(datediff(least(coalesce(current_end, {today}), {today}), pop_start), {MOST_DAYS}), {LEAST_DAYS})")
+    record = awards.select(F.col("award_id").alias("comp_id"), F.col("piid").alias("comp_piid"), F.col("component").alias("comp_component"), F.col("naics").alias("comp_naics"), F.col("offers").alias("comp_offers"), F.col("pricing_code").alias("comp_pricing_code"), F.col("pop_start").alias("comp_start"), F.col("current_end").alias("comp_end"), F.col("signed").alias("comp_signed"), days.alias("comp_days"))
+    return comps.select("candidate_id", "comp_id", "own_rung", "comp_rate", "comp_psc", "comp_value", "comp_running").join(record, "comp_id").withColumn("value_basis", F.lit("obligated_run_rate"))
+
+
+def ranges(c: DataFrame, comps: DataFrame, factor: Column | None = None, years: Column | None = None) -> DataFrame:
+    """Winsorised quartiles of the comparables' rates with how far to trust them; under ``LEAST`` comparables there is a refusal, not a number.
+
+    ``factor`` is a scenario's multiplier and ``years`` a term to project over, both columns of ``c``. Strength needs
+    enough comparables, a narrow interval of the median and few that still run; the last rung is always weak and comparables of
+    several pricing families are never strong. ``divergence`` is the candidate's own rate against the median in thousandths.
+    """
+    families = F.array_join(F.array_sort(F.array_compact(F.collect_set("comp_pricing"))), ",")
+    g = comps.groupBy("candidate_id", "rung").agg(
+        F.sort_array(F.collect_list(F.col("comp_rate").cast("double"))).alias("r"), F.count(F.lit(1)).alias("n"), F.first("candidate_rate").alias("own"),
+        families.alias("families"), F.count(F.when(F.col("comp_running"), 1)).alias("n_running"),
+    )
+    g = g.withColumns({"lo": _quantile("r", 0.05), "hi": _quantile("r", 0.95)}).withColumn("w", F.transform("r", lambda x: F.least(F.greatest(x, F.col("lo")), F.col("hi"))))
+    # only complete sets become numbers
+    full = F.col("n") >= LEAST
+    k = F.create_map(*[F.lit(x) for pair in median_places().items() for x in pair])[F.least(F.size("w"), F.lit(TARGET))]
+    interval = {"ci_low": F.element_at("w", F.when(full, k).otherwise(1)), "ci_high": F.element_at("w", F.when(full, -k).otherwise(-1))}
+    g = g.withColumns({"low": _quantile("w", 0.25), "median": _quantile("w", 0.5), "high": _quantile("w", 0.75)} | interval)
+    x = c.select("candidate_id", (factor if factor is not None else F.lit(1.0)).alias("factor"), (years if years is not None else F.lit(1)).alias("years"), run_rate().alias("own_rate"), F.coalesce(F.upper(F.trim("extent_code")).isin(*NOT_COMPETED), F.lit(False)).alias("not_competed"))
+    x = x.join(g.drop("own"), "candidate_id", "left").withColumn("full", F.coalesce(full, F.lit(False)))
+    width, running = (F.col("ci_high") - F.col("ci_low")) / F.col("median"), F.col("n_running") / F.col("n")
+    level = F.lit("Weak")
+    for name, (least, widest, most_running) in reversed(STRENGTH.items()):
+        level = F.when((F.col("n") >= least) & (width <= widest) & (running <= most_running), name).otherwise(level)
+    mixed = F.instr("families", ",") > 0
+    level = F.when(F.col("rung") == "D", "Weak").when(mixed & (level == "Strong"), "Moderate").otherwise(level)
+    scaled = lambda name: F.col(name) * F.col("factor")
+    term = F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("years"), F.lit(1)) - 1), F.lit(0.0), lambda a, y: a + F.pow(F.lit(1 + ESCALATION), y))
+    shown = lambda col: F.when(F.col("full"), col)
+    return x.select(
+        "candidate_id", shown(F.col("rung")).alias("rung"), F.coalesce("n", F.lit(0)).alias("n_comparables"),
+        *[shown(scaled(v)).alias(v) for v in ("low", "median", "high", "ci_low", "ci_high")],
+        *[shown(scaled(v) * term).alias(f"{v}_term") for v in ("low", "median", "high")],
+        F.when(F.col("full"), level).otherwise("Insufficient").alias("strength"), shown(F.expr("(n_running * 2000 + n) div (2 * n)")).alias("running_permille"),
+        shown(F.when(F.col("families") == "", "unknown").otherwise(F.col("families"))).alias("pricing_mix"),
+        F.when(F.col("full"), "comparables").otherwise("insufficient").alias("range_basis"), F.col("own_rate").alias("candidate_rate"),
+        shown(F.round((F.col("own_rate") - scaled("median")) / scaled("median") * 1000, 0)).alias("divergence"),
+        shown(F.when(F.col("own_rate").isNotNull(), (F.col("own_rate") < scaled("low")) | (F.col("own_rate") > scaled("high")))).alias("outside"),
+        "not_competed",
+    )
+
+
+def scenario(c: DataFrame, comps: DataFrame, excluded: DataFrame | None = None, competition: str = "as_before", years: Column | None = None) -> DataFrame:
+    """The ranges anew: without the comparables in ``excluded (candidate_id, comp_id)``, under another assumption on competition, over a term."""
+    kept = comps if excluded is None else comps.join(excluded, ["candidate_id", "comp_id"], "left_anti")
+    return ranges(c, kept, F.lit(COMPETITION[competition]), years)
 
 
 def _quantile(column: str, q: float) -> Column:
@@ -132,26 +227,120 @@ def median_places(level: float = LEVEL) -> dict[int, int]:
     return out
 
 
-def median_interval(found: DataFrame) -> DataFrame:
-    """Interval of the median from order statistics: how many values lie below it is binomial, whatever their distribution."""
-    places = F.create_map(*[F.lit(x) for pair in median_places().items() for x in pair])
-    k = places[F.size("w")]
-    return found.where("w is not null").select("candidate_id", F.element_at("w", k).alias("ci_low"), F.element_at("w", -k).alias("ci_high"))
+def _wavelet(rank: np.ndarray) -> list[np.ndarray]:
+    """A wavelet matrix over whole numbers: for each bit from the highest on, how many zeros stand before each place of the order so far."""
+    out, order = [], rank
+    for bit in range(max(int(len(rank)).bit_length() - 1, 0), -1, -1):
+        one = (order >> bit & 1).astype(bool)
+        out.append(np.concatenate([[0], np.cumsum(~one)]))
+        order = np.concatenate([order[~one], order[one]])
+    return out
+
+
+def _below(levels: list[np.ndarray], upto: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """How many of the first ``upto`` numbers are less than ``rank``."""
+    a, b, count = np.zeros(len(upto), np.int64), upto.astype(np.int64), np.zeros(len(upto), np.int64)
+    over = rank >= 1 << len(levels)
+    for depth, zeros in enumerate(levels):
+        one = (rank >> (len(levels) - 1 - depth) & 1).astype(bool)
+        za, zb = zeros[a], zeros[b]
+        count += np.where(one, zb - za, 0)
+        a, b = np.where(one, zeros[-1] + a - za, za), np.where(one, zeros[-1] + b - zb, zb)
+    return np.where(over, upto, count)
+
+
+def _nth(levels: list[np.ndarray], upto: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number of place ``n`` (from 0) among the first ``upto`` numbers in ascending order."""
+    a, b, n, found = np.zeros(len(upto), np.int64), upto.astype(np.int64), n.astype(np.int64).copy(), np.zeros(len(upto), np.int64)
+    for zeros in levels:
+        za, zb = zeros[a], zeros[b]
+        one = n >= zb - za
+        n -= np.where(one, zb - za, 0)
+        found = found << 1 | one
+        a, b = np.where(one, zeros[-1] + a - za, za), np.where(one, zeros[-1] + b - zb, zb)
+    return found
+
+
+def _known_ranges(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    """For the completed awards of one cell and price bucket: quartiles of the rates in their band that were signed by their end, all at once."""
+    names = ["award_id", "n_comparables", "contained"]
+    if q.empty or p.empty:
+        return pd.DataFrame(columns=names)
+    p = p.sort_values("signed", kind="stable")
+    day, rate = p["signed"].to_numpy("datetime64[D]").astype(np.int64), p["rate"].to_numpy(np.int64)
+    values = np.sort(rate)
+    # equal rates get ranks of their own, so that a rank is a rate
+    rank = np.empty(len(rate), np.int64)
+    rank[np.argsort(rate, kind="stable")] = np.arange(len(rate))
+    levels = _wavelet(rank)
+    end, own, after = q["current_end"].to_numpy("datetime64[D]").astype(np.int64), q["rate"].to_numpy(np.int64), q["next_rate"].to_numpy(np.int64)
+    upto = np.searchsorted(day, end, "right")
+    under = _below(levels, upto, np.searchsorted(values, (own + 3) // 4, "left"))
+    inside = _below(levels, upto, np.searchsorted(values, 4 * own, "right")) - under
+    # the award itself lies in its own band if it was signed by its end
+    there = q["signed"].to_numpy("datetime64[D]").astype(np.int64) <= end
+    itself = _below(levels, upto, np.searchsorted(values, own, "left")) - under
+    n = inside - there
+
+    def value(place: np.ndarray) -> np.ndarray:
+        place = place + (there & (place >= itself))
+        return values[_nth(levels, upto, under + np.clip(place, 0, np.maximum(inside - 1, 0)))]
+
+    bounds = []
+    for level in (0.25, 0.75):
+        at = (n - 1) * level
+        low = np.floor(at).astype(np.int64)
+        a, b = value(low), value(np.minimum(low + 1, n - 1))
+        bounds.append(a + (b - a) * (at - low))
+    good = n >= LEAST
+    return pd.DataFrame({"award_id": q["award_id"].to_numpy()[good], "n_comparables": n[good], "contained": ((after >= bounds[0]) & (after <= bounds[1]))[good]})
+
+
+def _follow_on(a: DataFrame, today: str) -> DataFrame:
+    """Completed awards with the next award of their cell signed after their end: an as-of join as one sorted union of awards and ends.
+
+    Each cell is cut by year of signature, so that a common cell is many windows; an end that sees no later award in its year takes the first
+    of the next year that has one.
+    """
+    cell = ["naics", "class", "component"]
+    one = F.struct("signed", "award_id", "rate")
+    # the award that follows each award, for an end whose next award is its own
+    made = a.select(*cell, "award_id", "signed", "rate").withColumn("year", F.year("signed"))
+    events = made.select(*cell, "year", F.col("signed").alias("day"), F.lit(1).alias("kind"), one.alias("award"), F.lit(None).cast("struct<award_id:string,current_end:date,rate:bigint,signed:date>").alias("done"))
+    ends = a.where(f"current_end < {today}").select(*cell, F.year("current_end").alias("year"), F.col("current_end").alias("day"), F.lit(0).alias("kind"), F.lit(None).cast("struct<signed:date,award_id:string,rate:bigint>").alias("award"), F.struct("award_id", "current_end", "rate", "signed").alias("done"))
+    back = W.partitionBy(*cell, "year").orderBy(F.desc("day"), "kind", F.desc("award.award_id")).rowsBetween(W.unboundedPreceding, -1)
+    # the two nearest later awards: the nearest may be the award itself
+    later = events.unionByName(ends).withColumn("next", F.last("award", ignorenulls=True).over(back))
+    pair = later.withColumn("nearest", F.when(F.col("kind") == 1, F.struct(F.col("award").alias("one"), F.col("next").alias("two"))))
+    seen = pair.withColumn("ahead", F.last("nearest", ignorenulls=True).over(back)).where("kind = 0")
+    first = made.withColumn("place", F.row_number().over(W.partitionBy(*cell, "year").orderBy("signed", "award_id"))).where("place <= 2")
+    years = first.groupBy(*cell, "year").agg(F.array_sort(F.collect_list(one)).alias("first"))
+    marks = ends.select(*cell, "year").distinct().join(years, [*cell, "year"], "full")
+    on = W.partitionBy(*cell).orderBy(F.desc("year")).rowsBetween(W.unboundedPreceding, -1)
+    near = marks.withColumn("b1", F.last("first", ignorenulls=True).over(on))
+    both = seen.join(near.select(*cell, "year", "b1"), [*cell, "year"], "left")
+    options = F.filter(F.concat(F.array("ahead.one", "ahead.two"), F.coalesce("b1", F.array().cast("array<struct<signed:date,award_id:string,rate:bigint>>"))), lambda x: x.isNotNull() & (x["award_id"] != F.col("done.award_id")))
+    found = both.withColumn("following", F.get(options, 0)).where("following is not null")
+    return found.select("naics", "class", "done.*", F.col("following.award_id").alias("next_id"), F.col("following.rate").alias("next_rate"))
 
 
 def backtest(awards: DataFrame, today: str = AS_OF) -> DataFrame:
     """For each completed award with a follow-on in its cell: was the follow-on's rate inside the range known at the end?
 
     The follow-on is the next award of the cell signed after the end (ties by id). The range is of awards of the
-    same code and class signed by then and within a quarter to four times the rate; the quartiles are counted
-    by rank, so no list of comparables is gathered.
+    same code and class signed by then and within a quarter to four times the rate. Awards go to their price bucket and both
+    neighbours; there the quartiles of all completed awards are read from one wavelet matrix over the awards in order
+    of signature, without a list of comparables for any of them.
     """
     a = awards.withColumn("rate", run_rate(today)).where("rate is not null and signed is not null").select("award_id", "naics", F.substring("psc", 1, 2).alias("class"), "component", "signed", "current_end", "rate")
-    done = a.where(f"current_end < {today}")
-    nxt = a.select("naics", "class", "component", F.col("award_id").alias("next_id"), F.col("signed").alias("next_signed"), F.col("rate").alias("next_rate"))
-    pairs = done.join(nxt, ["naics", "class", "component"]).where("next_signed > current_end and next_id <> award_id").groupBy("award_id", "naics", "class", "current_end", "rate").agg(F.min(F.struct("next_signed", "next_id", "next_rate")).alias("n"))
-    pairs = pairs.select("award_id", "naics", "class", "current_end", "rate", "n.next_id", "n.next_rate")
-    comp = a.select("naics", "class", F.col("award_id").alias("comp_id"), F.col("signed").alias("comp_signed"), F.col("rate").alias("comp_rate"))
-    near = pairs.join(comp, ["naics", "class"]).where("comp_id <> award_id and comp_id <> next_id and comp_signed <= current_end and comp_rate * 4 >= rate and comp_rate <= 4 * rate")
-    q = near.groupBy("award_id", "next_rate").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(cast(comp_rate as double), array(0.25, 0.75))").alias("q")).where(f"n >= {LEAST}")
-    return q.select("award_id", F.col("n").alias("n_comparables"), F.col("next_rate").between(F.col("q")[0], F.col("q")[1]).alias("contained"))
+    pairs = _follow_on(a, today).withColumn("bucket", F.expr(bucket("rate")).cast("int"))
+    at = F.expr(bucket("rate")).cast("int")
+    known = a.select(F.col("naics").alias("n2"), F.col("class").alias("c2"), F.explode(F.array(at - 1, at, at + 1)).alias("b2"), F.col("signed").alias("signed"), F.col("rate").alias("rate"))
+    return pairs.groupBy("naics", "class", "bucket").cogroup(known.groupBy("n2", "c2", "b2")).applyInPandas(_known_ranges, "award_id string, n_comparables long, contained boolean")
+
+
+def coverage(tested: DataFrame) -> DataFrame:
+    """How often the range held the follow-on, in thousandths; NULL where nothing could be tested."""
+    n, k = F.count(F.lit(1)), F.count(F.when(F.col("contained"), 1))
+    one = tested.agg(n.alias("n_pairs"), k.alias("n_contained"))
+    return one.select("n_pairs", "n_contained", F.when(F.col("n_pairs") > 0, F.expr("(n_contained * 2000 + n_pairs) div (2 * n_pairs)")).alias("coverage_permille"), F.when(F.col("n_pairs") > 0, "measured").otherwise("no pairs").alias("basis"))

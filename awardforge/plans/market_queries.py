@@ -18,7 +18,7 @@ from awardforge.streaming import digest
 _D = f"date_diff('day', pop_start, least(coalesce(current_end, {AS_OF}), {AS_OF}))"
 _RATE = f"CASE WHEN value > 0 AND {_D} > 0 THEN CAST((CAST(value * 100 AS HUGEINT) * 36525) // (100 * greatest(least({_D}, {pricing.MOST_DAYS}), {pricing.LEAST_DAYS})) AS BIGINT) END"
 CHAIN |= {
-    "compool": f"""SELECT substr(naics, 1, 4) AS family, substr(psc, 1, 2) AS class, award_id AS comp_id, naics AS comp_naics, component AS comp_component, rate AS comp_rate, coalesce(signed >= {AS_OF} - INTERVAL 60 MONTH, false) AS recent, signed, psc AS comp_psc, value AS comp_value
+    "compool": f"""SELECT substr(naics, 1, 4) AS family, substr(psc, 1, 2) AS class, award_id AS comp_id, naics AS comp_naics, component AS comp_component, rate AS comp_rate, coalesce(signed >= {AS_OF} - INTERVAL 60 MONTH, false) AS recent, signed, psc AS comp_psc, value AS comp_value, {pricing.PRICING} AS comp_pricing, coalesce(current_end > {AS_OF}, false) AS comp_running
       FROM (SELECT *, {_RATE} AS rate FROM award WHERE upper(award_type) IN ({rules.listed(pricing.TYPES)})) WHERE rate IS NOT NULL""",
     "compair": f"""SELECT c.candidate_id, p.*, c.rate, CASE WHEN size AND recent AND same AND at_home THEN 1 WHEN size AND recent AND same THEN 2 WHEN size THEN 3 ELSE 4 END AS own
       FROM (SELECT candidate_id, award_id, naics, component, substr(naics, 1, 4) AS family, substr(psc, 1, 2) AS class, {_RATE} AS rate FROM cand) c
@@ -57,35 +57,53 @@ def g3(s, d):
     return awards(s, d).select("award_id", pricing.run_rate().alias("rate"))
 
 
+_PLACES = ", ".join(f"({n}, {k})" for n, k in pricing.median_places().items())
+_LEVEL = "CASE WHEN rung = 4 THEN 'Weak' " + " ".join(
+    f"WHEN n >= {n} AND (ci_high - ci_low) / median <= {width}::DOUBLE AND n_running / n <= {running}::DOUBLE THEN " + ("CASE WHEN contains(families, ',') THEN 'Moderate' ELSE 'Strong' END" if name == "Strong" else f"'{name}'") for name, (n, width, running) in pricing.STRENGTH.items()
+) + " ELSE 'Weak' END"
+
+
+def _ranged(comps: str, factor: float = 1.0) -> str:
+    """SQL: the range of each candidate over a select of comparables; under five there is none."""
+    return f"""SELECT *, {_LEVEL} AS strength FROM (
+      SELECT candidate_id, rung, n, n_running, families, low * {factor}::DOUBLE AS low, median * {factor}::DOUBLE AS median, high * {factor}::DOUBLE AS high, ws[k] * {factor}::DOUBLE AS ci_low, ws[n + 1 - k] * {factor}::DOUBLE AS ci_high FROM (
+        SELECT candidate_id, any_value(rung) AS rung, count(*) AS n, count(*) FILTER (comp_running) AS n_running, coalesce(string_agg(DISTINCT comp_pricing, ',' ORDER BY comp_pricing), '') AS families,
+          quantile_cont(w, 0.25) AS low, quantile_cont(w, 0.5) AS median, quantile_cont(w, 0.75) AS high, list_sort(list(w)) AS ws
+        FROM (SELECT *, least(greatest(CAST(comp_rate AS DOUBLE), lo), hi) AS w FROM ({comps}) x
+          JOIN (SELECT candidate_id, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM ({comps}) GROUP BY 1) USING (candidate_id)) GROUP BY candidate_id)
+      JOIN (VALUES {_PLACES}) p(n, k) USING (n))"""
+
+
+CHAIN["ranged"] = _ranged("SELECT * FROM comps")
+
+
 @registered(
     "g4_price_range",
-    """SELECT c.candidate_id, chr(CAST(64 + rung AS INTEGER)) AS rung, coalesce(n, 0) AS n_comparables, round(quantile_cont(w, 0.5) , 0) AS median, CASE WHEN n IS NULL THEN 'insufficient' ELSE 'comparables' END AS range_basis FROM cand c LEFT JOIN (
-      SELECT candidate_id, rung, n, least(greatest(CAST(comp_rate AS DOUBLE), lo), hi) AS w FROM comps JOIN (SELECT candidate_id, count(*) AS n, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM comps GROUP BY 1) USING (candidate_id)) q
-      USING (candidate_id) GROUP BY c.candidate_id, rung, n""",
+    f"""SELECT candidate_id, chr(CAST(64 + rung AS INTEGER)) AS rung, coalesce(n, 0) AS n_comparables, round(low, 0) AS low, round(median, 0) AS median, round(high, 0) AS high, coalesce(strength, 'Insufficient') AS strength,
+      (n_running * 2000 + n) // (2 * n) AS running_permille, CASE WHEN families = '' THEN 'unknown' ELSE families END AS pricing_mix, CASE WHEN n IS NULL THEN 'insufficient' ELSE 'comparables' END AS range_basis, candidate_rate,
+      round((candidate_rate - median) / median * 1000, 0) AS divergence, CASE WHEN candidate_rate IS NOT NULL THEN candidate_rate < low OR candidate_rate > high END AS outside, not_competed
+    FROM (SELECT candidate_id, {_RATE} AS candidate_rate, coalesce(upper(trim(extent_code)) IN ({rules.listed(pricing.NOT_COMPETED)}), false) AS not_competed FROM cand) c LEFT JOIN ranged USING (candidate_id)""",
 )
 def g4(s, d):
     c = cand(s, d)
-    return pricing.ranges(c, compared(s, d)).select("candidate_id", "rung", "n_comparables", F.round("median", 0).alias("median"), "range_basis")
-
-
-_PLACES = ", ".join(f"({n}, {k})" for n, k in pricing.median_places().items())
+    x = pricing.ranges(c, compared(s, d))
+    return x.select("candidate_id", "rung", "n_comparables", *[F.round(v, 0).alias(v) for v in ("low", "median", "high")], "strength", "running_permille", "pricing_mix", "range_basis", "candidate_rate", "divergence", "outside", "not_competed")
 
 
-@registered(
-    "g4_median_interval",
-    f"""SELECT candidate_id, round(w[k], 0) AS ci_low, round(w[n + 1 - k], 0) AS ci_high FROM (SELECT candidate_id, n, list_sort(list(w)) AS w FROM (
-      SELECT candidate_id, n, least(greatest(CAST(comp_rate AS DOUBLE), lo), hi) AS w FROM comps JOIN (SELECT candidate_id, count(*) AS n, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM comps GROUP BY 1) USING (candidate_id)) GROUP BY ALL)
-      JOIN (VALUES {_PLACES}) p(n, k) USING (n)""",
-)
+@registered("g4_median_interval", "SELECT candidate_id, round(ci_low, 0) AS ci_low, round(ci_high, 0) AS ci_high FROM ranged")
 def g4b(s, d):
-    c = cand(s, d)
-    x = pricing.median_interval(pricing.ranges(c, compared(s, d)))
+    x = pricing.ranges(cand(s, d), compared(s, d)).where("range_basis = 'comparables'")
     return x.select("candidate_id", F.round("ci_low", 0).alias("ci_low"), F.round("ci_high", 0).alias("ci_high"))
 
 
-@registered("g5_comparables_table", "SELECT candidate_id, comp_id, chr(CAST(64 + own AS INTEGER)) AS own_rung, comp_rate, comp_psc FROM comps")
+@registered(
+    "g5_comparables_table",
+    f"""SELECT candidate_id, comp_id, chr(CAST(64 + own AS INTEGER)) AS own_rung, comp_rate, comp_psc, CAST(comp_value AS DOUBLE) AS comp_value, comp_running, a.* EXCLUDE (award_id), 'obligated_run_rate' AS value_basis FROM comps
+    JOIN (SELECT award_id, piid AS comp_piid, component AS comp_component, naics AS comp_naics, offers AS comp_offers, pricing_code AS comp_pricing_code, pop_start AS comp_start, current_end AS comp_end, signed AS comp_signed,
+      greatest(least({_D}, {pricing.MOST_DAYS}), {pricing.LEAST_DAYS}) AS comp_days FROM award) a ON a.award_id = comp_id""".replace("SELECT candidate_id, comp_id, chr(CAST(64 + own AS INTEGER)) AS own_rung, comp_rate, comp_psc", "SELECT c.candidate_id, c.comp_id, chr(CAST(64 + own AS INTEGER)) AS own_rung, c.comp_rate, c.comp_psc").replace("FROM comps\n", "FROM (SELECT candidate_id, comp_id, own, comp_rate, comp_psc, comp_value, comp_running FROM comps) c\n"),
+)
 def g5(s, d):
-    return compared(s, d).select("candidate_id", "comp_id", "own_rung", "comp_rate", "comp_psc")
+    return money(pricing.audit(compared(s, d), awards(s, d)).withColumn("comp_days", F.col("comp_days").cast("long")))
 
 
 @registered(
@@ -107,6 +125,17 @@ def g7(s, d):
     return pricing.backtest(awards(s, d))
 
 
+@registered(
+    "g7_coverage",
+    """SELECT n_pairs, n_contained, CASE WHEN n_pairs > 0 THEN (n_contained * 2000 + n_pairs) // (2 * n_pairs) END AS coverage_permille, CASE WHEN n_pairs > 0 THEN 'measured' ELSE 'no pairs' END AS basis FROM (SELECT count(*) AS n_pairs, count(*) FILTER (contained) AS n_contained FROM (
+    SELECT p.next_rate BETWEEN quantile_cont(CAST(z.rate AS DOUBLE), 0.25) AND quantile_cont(CAST(z.rate AS DOUBLE), 0.75) AS contained
+    FROM btpair p JOIN btrate z ON z.naics = p.naics AND z.class = p.class AND z.award_id <> p.award_id AND z.award_id <> p.next_id AND z.signed <= p.current_end AND z.rate * 4 >= p.rate AND z.rate <= 4 * p.rate
+    GROUP BY p.award_id, p.next_rate HAVING count(*) >= 5))""",
+)
+def g7b(s, d):
+    return pricing.coverage(g7(s, d))
+
+
 @registered("g1_id_links", "SELECT * FROM idlink")
 def g1(s, d):
     return linking.links(cand(s, d), domain.notices(s, d), by_title=False)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF, DUCK, SPARK
-from awardforge.operators import trust
+from awardforge.operators import pricing, trust
 from awardforge.plans import domain
 from awardforge.plans.award_queries import awards, cand, registered, scored, succeeded
-from awardforge.plans.market_queries import g1, j2, j4
+from awardforge.plans.market_queries import _ranged, compared, g1, j2, j4
 from awardforge.sources import tables
 
 _MONEY = "CASE l_linenumber % 4 WHEN 0 THEN '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)) WHEN 1 THEN '-' WHEN 2 THEN '' ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR(30)) || ' USD' END"
@@ -202,18 +202,19 @@ def j3(s, d):
     return x.withColumn("gate_state", F.when(F.col("n") >= 40, "measured").otherwise("below_floor"))
 
 
+#: Comparables that a user takes out: one award in seven.
+_OUT = "CAST(substr(comp_id, 10) AS BIGINT) % 7 = 3"
+
+
 @registered(
     "g6_projected_range",
-    """SELECT candidate_id, round(median * CASE WHEN offers = 1 THEN 1.06::DOUBLE WHEN offers BETWEEN 5 AND 100 THEN 0.94::DOUBLE ELSE 1.0::DOUBLE END * (1.0::DOUBLE + 1.028::DOUBLE + pow(1.028::DOUBLE, 2) + pow(1.028::DOUBLE, 3) + pow(1.028::DOUBLE, 4)) / 10000, 0) AS projected
-    FROM (SELECT candidate_id, quantile_cont(least(greatest(CAST(comp_rate AS DOUBLE), lo), hi), 0.5) AS median FROM comps JOIN (SELECT candidate_id, quantile_cont(CAST(comp_rate AS DOUBLE), 0.05) AS lo, quantile_cont(CAST(comp_rate AS DOUBLE), 0.95) AS hi FROM comps GROUP BY 1) USING (candidate_id) GROUP BY 1)
-    JOIN (SELECT candidate_id, offers FROM cand) USING (candidate_id)""",
+    f"""SELECT candidate_id, coalesce(n, 0) AS n_comparables, CASE WHEN n IS NULL THEN 'insufficient' ELSE 'comparables' END AS range_basis, coalesce(strength, 'Insufficient') AS strength, round(median / 100, 0) AS median,
+      {", ".join(f"round({v} * (1.0::DOUBLE + 1.028::DOUBLE + pow(1.028::DOUBLE, 2) + pow(1.028::DOUBLE, 3) + pow(1.028::DOUBLE, 4)) / 10000, 0) AS {v}_term" for v in ("low", "median", "high"))}
+    FROM (SELECT candidate_id, count(*) FILTER (NOT ({_OUT})) AS n_kept FROM comps GROUP BY 1) JOIN cand USING (candidate_id) LEFT JOIN ({_ranged(f"SELECT * FROM comps WHERE NOT ({_OUT})", 0.94)}) USING (candidate_id)""".replace("JOIN cand USING", "RIGHT JOIN (SELECT candidate_id FROM cand) USING"),
 )
 def g6(s, d):
-    """In hundreds of dollars: a candidate's median run-rate over five years with 2.8 % escalation, 6 % up for a single offer and down for five or more."""
-    from awardforge.operators import pricing
-
-    c = cand(s, d)
-    r = pricing.ranges(c, pricing.comparables(c, awards(s, d))).where("median is not null").join(c.select("candidate_id", "offers"), "candidate_id")
-    factor = F.when(F.col("offers") == 1, 1.06).when(F.col("offers").between(5, 100), 0.94).otherwise(1.0)
-    term = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(0.0), lambda a, y: a + F.pow(F.lit(1.028), y))
-    return r.select("candidate_id", F.round(F.col("median") * factor * term / 10000, 0).alias("projected"))
+    """Ranges without some comparables, with more competition than before, over five years; with fewer than five left there is none."""
+    c, comps = cand(s, d), compared(s, d)
+    x = pricing.scenario(c, comps, comps.where(_OUT).select("candidate_id", "comp_id"), "more", F.lit(5))
+    n = F.when(F.col("range_basis") == "comparables", F.col("n_comparables")).otherwise(0).cast("long")
+    return x.select("candidate_id", n.alias("n_comparables"), "range_basis", "strength", F.round(F.col("median") / 100, 0).alias("median"), *[F.round(F.col(f"{v}_term") / 10000, 0).alias(f"{v}_term") for v in ("low", "median", "high")])
