@@ -195,7 +195,7 @@ def ranges(c: DataFrame, comps: DataFrame, factor: Column | None = None, years:
         F.when(F.col("full"), level).otherwise("Insufficient").alias("strength"), shown(F.expr("(n_running * 2000 + n) div (2 * n)")).alias("running_permille"),
         shown(F.when(F.col("families") == "", "unknown").otherwise(F.col("families"))).alias("pricing_mix"),
         F.when(F.col("full"), "comparables").otherwise("insufficient").alias("range_basis"), F.col("own_rate").alias("candidate_rate"),
-        shown(F.round((F.col("own_rate") - scaled("median")) / scaled("median") * 1000, 0)).alias("divergence"),
+        shown(F.round((F.col("own_rate") - scaled("median")) / scaled("median") * 1000, 0).cast("long")).alias("divergence"),
         shown(F.when(F.col("own_rate").isNotNull(), (F.col("own_rate") < scaled("low")) | (F.col("own_rate") > scaled("high")))).alias("outside"),
         "not_competed",
     )

@@ -118,12 +118,29 @@ def eligible(c: DataFrame, firms: dict[str, tuple[dict[str, bool], str | None]])
 
 
 def prime_path(standing: DataFrame, live: DataFrame | None = None) -> DataFrame:
-    """gate / warn / unknown / clear: a live notice's code gates, the expiring contract's code only warns; blank is not NONE."""
-    x = standing if live is None else standing.join(live, "candidate_id", "left")
-    x = x if live is not None else x.withColumn("notice_code", F.lit(None).cast("string"))
-    notice, code = F.upper(F.trim(F.coalesce("notice_code", F.lit("")))), F.upper(F.trim(F.coalesce("set_aside_code", F.lit(""))))
+    """Whether each firm may lead: gate / warn / unknown / clear, the basis, and the code that decides.
+
+    A live notice's code comes first and gates; the expiring contract's code only warns. A blank code is not the code NONE. ``standing`` has
+    ``firm, candidate_id, set_aside_code, eligible`` and ``live`` ``firm, candidate_id, notice_code, notice_eligible``; ``eligible`` is NULL
+    for a firm without certificates on file (nothing was checked).
+    """
+    if live is None:
+        x = standing.withColumns({"notice_code": F.lit(None).cast("string"), "notice_eligible": F.lit(None).cast("boolean")})
+    else:
+        x = standing.join(live.select("firm", "candidate_id", "notice_code", "notice_eligible"), ["firm", "candidate_id"], "left")
+    tidy = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    notice, code = tidy("notice_code"), tidy("set_aside_code")
     on_notice = ~notice.isin("", "NONE")
-    state = F.when(on_notice & ~F.col("notice_eligible"), "gate").when(on_notice, "clear") if live is not None else F.when(F.lit(False), "gate")
-    state = state.when(code == "", "unknown").when(code == "NONE", "clear").when(~F.col("eligible"), "warn").otherwise("clear")
-    basis = F.when(on_notice, "notice_confirmed").when(code == "", "not_reported").otherwise("historical_fpds")
-    return x.select("firm", "candidate_id", state.alias("lane"), basis.alias("lane_basis"))
+    checked = F.when(on_notice, F.col("notice_eligible")).otherwise(F.col("eligible"))
+    restricted = on_notice | ~code.isin("", "NONE")
+    state = (
+        F.when(restricted & checked.isNull(), "unknown")
+        .when(on_notice & ~checked, "gate")
+        .when(on_notice, "clear")
+        .when(code == "", "unknown")
+        .when(code == "NONE", "clear")
+        .when(~checked, "warn")
+        .otherwise("clear")
+    )
+    basis = F.when(restricted & checked.isNull(), "no_profile").when(on_notice, "notice_confirmed").when(code == "", "not_reported").otherwise("historical_fpds")
+    return x.select("firm", "candidate_id", state.alias("lane"), basis.alias("lane_basis"), F.when(on_notice, notice).otherwise(code).alias("source_code"), state.isin("gate", "warn").alias("teaming"))

@@ -199,10 +199,3 @@ def f7(s, d):
     return signals.eligible(cand(s, d), FIRMS).groupBy("firm", "set_aside_code", "eligible").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(
-    "f8_prime_path",
-    f"""SELECT firm, candidate_id, CASE WHEN coalesce(upper(trim(set_aside_code)), '') = '' THEN 'unknown' WHEN upper(trim(set_aside_code)) = 'NONE' THEN 'clear' WHEN NOT eligible THEN 'warn' ELSE 'clear' END AS lane,
-    CASE WHEN coalesce(upper(trim(set_aside_code)), '') = '' THEN 'not_reported' ELSE 'historical_fpds' END AS lane_basis FROM ({_standing()})""",
-)
-def f8(s, d):
-    return signals.prime_path(signals.eligible(cand(s, d), FIRMS))

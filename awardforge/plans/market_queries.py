@@ -10,7 +10,7 @@ from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF
 from awardforge.operators import candidates, linking, pricing, trust
 from awardforge.plans import domain
-from awardforge.plans.award_queries import awards, cand, kept, mods, money, registered, scored, succeeded
+from awardforge.plans.award_queries import FIRMS, _standing, awards, cand, kept, mods, money, registered, scored, succeeded
 from awardforge.plans.oracle import CHAIN
 from awardforge.sources import tables
 from awardforge.streaming import digest
@@ -81,7 +81,7 @@ CHAIN["ranged"] = _ranged("SELECT * FROM comps")
     "g4_price_range",
     f"""SELECT candidate_id, chr(CAST(64 + rung AS INTEGER)) AS rung, coalesce(n, 0) AS n_comparables, round(low, 0) AS low, round(median, 0) AS median, round(high, 0) AS high, coalesce(strength, 'Insufficient') AS strength,
       (n_running * 2000 + n) // (2 * n) AS running_permille, CASE WHEN families = '' THEN 'unknown' ELSE families END AS pricing_mix, CASE WHEN n IS NULL THEN 'insufficient' ELSE 'comparables' END AS range_basis, candidate_rate,
-      round((candidate_rate - median) / median * 1000, 0) AS divergence, CASE WHEN candidate_rate IS NOT NULL THEN candidate_rate < low OR candidate_rate > high END AS outside, not_competed
+      CAST(round((candidate_rate - median) / median * 1000, 0) AS BIGINT) AS divergence, CASE WHEN candidate_rate IS NOT NULL THEN candidate_rate < low OR candidate_rate > high END AS outside, not_competed
     FROM (SELECT candidate_id, {_RATE} AS candidate_rate, coalesce(upper(trim(extent_code)) IN ({rules.listed(pricing.NOT_COMPETED)}), false) AS not_competed FROM cand) c LEFT JOIN ranged USING (candidate_id)""",
 )
 def g4(s, d):
@@ -166,6 +166,44 @@ def f9(s, d):
     return x.groupBy("candidate_id").agg(F.min_by("notice_id", first).alias("notice_id"), F.min_by("set_aside_code", first).alias("notice_code"), F.min("response_deadline").alias("deadline"))
 
 
+#: Firms as in f7, and one whose certificates are not on file.
+UNKNOWN_FIRM = "delta"
+
+
+def _live_standing() -> str:
+    at = f"SELECT candidate_id, notice_code AS set_aside_code FROM ({_LIVE})"
+    return " UNION ALL ".join(f"SELECT '{f}' AS firm, candidate_id, set_aside_code AS notice_code, {rules.eligibility(c, e)} AS notice_eligible FROM ({at})" for f, (c, e) in FIRMS.items())
+
+
+_LANE = f"""SELECT *, CASE WHEN nc <> '' OR code NOT IN ('', 'NONE') THEN CASE WHEN nc <> '' THEN notice_eligible ELSE eligible END ELSE true END AS checked FROM (
+  SELECT s.firm, s.candidate_id, eligible, notice_eligible, CASE WHEN upper(trim(coalesce(notice_code, ''))) = 'NONE' THEN '' ELSE upper(trim(coalesce(notice_code, ''))) END AS nc, upper(trim(coalesce(set_aside_code, ''))) AS code
+  FROM ({_standing()} UNION ALL SELECT '{UNKNOWN_FIRM}', candidate_id, set_aside_code, NULL FROM cand) s LEFT JOIN ({_live_standing()}) l ON l.firm = s.firm AND l.candidate_id = s.candidate_id
+  ) x""".replace(f"LEFT JOIN ({_live_standing()})", f"LEFT JOIN ({_live_standing()} UNION ALL SELECT '{UNKNOWN_FIRM}', candidate_id, notice_code, NULL FROM ({_LIVE}))")
+
+
+@registered(
+    "f8_prime_path",
+    f"""SELECT firm, candidate_id, CASE WHEN checked IS NULL THEN 'unknown' WHEN nc <> '' THEN CASE WHEN checked THEN 'clear' ELSE 'gate' END WHEN code = '' THEN 'unknown' WHEN code = 'NONE' OR checked THEN 'clear' ELSE 'warn' END AS lane,
+    CASE WHEN checked IS NULL THEN 'no_profile' WHEN nc <> '' THEN 'notice_confirmed' WHEN code = '' THEN 'not_reported' ELSE 'historical_fpds' END AS lane_basis, CASE WHEN nc <> '' THEN nc ELSE code END AS source_code,
+    NOT coalesce(checked, true) AS teaming FROM ({_LANE})""",
+)
+def f8(s, d):
+    """The expiring contract's code, and that of the nearest live notice where there is one; the firm without certificates is checked against nothing."""
+    from awardforge.operators import signals
+
+    c, live = cand(s, d), f9(s, d)
+    unknown = lambda df, code: df.select(F.lit(UNKNOWN_FIRM).alias("firm"), "candidate_id", code, F.lit(None).cast("boolean").alias("eligible"))
+    standing = signals.eligible(c, FIRMS).unionByName(unknown(c, "set_aside_code"))
+    on_notice = live.select("candidate_id", F.col("notice_code").alias("set_aside_code"))
+    there = signals.eligible(on_notice, FIRMS).unionByName(unknown(on_notice, "set_aside_code"))
+    return signals.prime_path(standing, there.withColumnsRenamed({"set_aside_code": "notice_code", "eligible": "notice_eligible"}))
+
+
+@registered("f8_lane_counts", f"SELECT firm, lane, count(*) AS n FROM (SELECT firm, CASE WHEN checked IS NULL THEN 'unknown' WHEN nc <> '' THEN CASE WHEN checked THEN 'clear' ELSE 'gate' END WHEN code = '' THEN 'unknown' WHEN code = 'NONE' OR checked THEN 'clear' ELSE 'warn' END AS lane FROM ({_LANE})) GROUP BY ALL")
+def f8b(s, d):
+    return f8(s, d).groupBy("firm", "lane").agg(F.count(F.lit(1)).alias("n"))
+
+
 @registered(
     "f10_response_clock",
     f"SELECT candidate_id, coalesce(min(response_deadline) FILTER (response_deadline >= {AS_OF}), max(response_deadline)) AS clock FROM idlink JOIN (SELECT notice_id, response_deadline FROM notice) USING (notice_id) GROUP BY candidate_id",

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF, DUCK, SPARK
-from awardforge.operators import pricing, trust
+from awardforge.operators import chips, pricing, signals, trust
 from awardforge.plans import domain
 from awardforge.plans.award_queries import awards, cand, registered, scored, succeeded
 from awardforge.plans.market_queries import _ranged, compared, g1, j2, j4
+from awardforge.plans.oracle import CHAIN
 from awardforge.sources import tables
 
 _MONEY = "CASE l_linenumber % 4 WHEN 0 THEN '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR(30)) WHEN 1 THEN '-' WHEN 2 THEN '' ELSE CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR(30)) || ' USD' END"
@@ -81,36 +82,37 @@ def b17(s, d):
 
 @registered("f4_displacement_order", "SELECT candidate_id, displacement_count, score10 FROM displaced JOIN scored USING (candidate_id) ORDER BY displacement_count DESC NULLS LAST, score10 DESC, candidate_id LIMIT 100")
 def f4(s, d):
-    from awardforge.operators import signals
-
     x = signals.displacement(succeeded(s, d), signals.size_shift(awards(s, d)))
     return x.orderBy(F.col("displacement_count").desc_nulls_last(), F.col("score10").desc(), "candidate_id").limit(100).select("candidate_id", "displacement_count", "score10")
 
 
-#: Reason chips in rank order: code and condition.
-CHIPS = {
-    "terminated": "terminated",
-    "quarantined": "tier = 'Data Gap'",
-    "expires_soon": "days_left BETWEEN 0 AND 180",
-    "recently_lapsed": "days_left BETWEEN -90 AND -1",
-    "balloon": "ceiling_balloon",
-    "deobligated": "has_deobligation",
-    "bridge": "bridge_flag",
-    "high_velocity": "velocity_band = 'high'",
-    "large_value": "value >= 10000000",
-    "high_confidence": "confidence = 'High'",
-    "set_aside": "coalesce(upper(trim(set_aside_code)), '') NOT IN ('', 'NONE')",
-}
+CHAIN["chippable"] = """SELECT s.*, strength, coalesce(r.n, 0) AS n_comparables, CASE WHEN r.n IS NULL THEN 'insufficient' ELSE 'comparables' END AS range_basis, displacement_basis, displacement_count, displacement_read, displacement_signals, displacement_band
+  FROM (SELECT * FROM scored) s LEFT JOIN ranged r ON r.candidate_id = s.candidate_id LEFT JOIN displaced d ON d.candidate_id = s.candidate_id"""
+_LONG = " UNION ALL ".join(
+    f"SELECT candidate_id, {rank} AS rank, '{code}' AS code, x.name, x.kind, x.evidence FROM (SELECT candidate_id, CASE " + " ".join(f"WHEN coalesce({c.when}, false) THEN {{'name': '{c.name}', 'kind': '{c.kind}', 'evidence': {c.evidence}}}" for c in options) + " END AS x FROM chippable) WHERE x IS NOT NULL"
+    for code, (rank, options) in chips.cases(DUCK, rules.Profile()).items()
+)
+CHAIN["chipped"] = f"""SELECT candidate_id, list({{'rank': rank, 'code': code, 'name': name, 'kind': kind, 'evidence': evidence}} ORDER BY rank) AS chips FROM (
+  SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY rank) AS place FROM ({_LONG}) WHERE code <> 'urgency' OR candidate_id NOT IN (SELECT candidate_id FROM scored WHERE days_left IS NULL OR days_left < -90)) WHERE place <= {chips.MOST} GROUP BY candidate_id"""
 
 
-@registered(
-    "f12_reason_chips",
-    "SELECT candidate_id, coalesce(array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {c}{' AND tier <> ' + chr(39) + 'Data Gap' + chr(39) if n == 'expires_soon' else ''} THEN '{n}' END" for n, c in CHIPS.items()) + "], lambda x: x IS NOT NULL), 1, 12), '+'), '') AS chips FROM scored",
-)
+def chippable(s, d):
+    """Scored candidates with what is known of their price range and displacement."""
+    x = scored(s, d)
+    r = pricing.ranges(cand(s, d), compared(s, d)).select("candidate_id", "strength", "n_comparables", "range_basis", *[F.col(c).alias(f"range_{c}") for c in ("low", "median", "high")])
+    moved = signals.displacement(succeeded(s, d), signals.size_shift(awards(s, d))).select("candidate_id", "displacement_basis", "displacement_count", "displacement_read", "displacement_signals", "displacement_band")
+    return x.join(r, "candidate_id", "left").join(moved, "candidate_id", "left")
+
+
+@registered("f12_reason_chips", "SELECT candidate_id, CAST(to_json(chips) AS VARCHAR) AS chips FROM chipped")
 def f12(s, d):
-    """Chips in rank order, twelve at most; urgency yields to a gap chip; with none at all the list says so."""
-    items = [F.when(F.expr(c + (" and tier <> 'Data Gap'" if n == "expires_soon" else "")), F.lit(n)) for n, c in CHIPS.items()]
-    return scored(s, d).select("candidate_id", F.array_join(F.slice(F.array_compact(F.array(*items)), 1, 12), "+").alias("chips"))
+    """Chips of the demo profile in rank order as JSON."""
+    return chips.chips(chippable(s, d), SPARK, rules.Profile()).select("candidate_id", F.to_json("chips").alias("chips"))
+
+
+@registered("f12_chip_counts", "SELECT x.code AS code, x.name AS name, x.kind AS kind, count(*) AS n FROM (SELECT unnest(chips) AS x FROM chipped) GROUP BY ALL")
+def f12b(s, d):
+    return chips.chips(chippable(s, d), SPARK, rules.Profile()).select(F.explode("chips").alias("x")).groupBy("x.code", "x.name", "x.kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @registered("k1_snapshot_contract", "SELECT candidate_id, tier, CASE WHEN notice_id IS NULL THEN '' ELSE notice_id END AS notice_ids FROM scored JOIN idlink USING (candidate_id)")
