@@ -32,19 +32,24 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements that never hold main text.
 ASIDE = set("nav footer aside form script style noscript iframe object svg canvas audio video button select option textarea label input template dialog head title menu".split())
 #: Names that mark such an element where a class, id or role is such a word or begins or ends with one.
-ASIDE_WORDS = set("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies discussion respond disqus share sharing social related recommended newsletter subscribe signup login search footer pagination pager widget masthead topbar complementary contentinfo".split())
+ASIDE_WORDS = set("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe signup login search footer pagination pager widget masthead topbar complementary contentinfo".split())
+#: Names of what readers wrote: an article in it is one of theirs, never the page's.
+READER_WORDS = set("comment comments reply replies response responses discussion respond disqus".split())
 #: A name with one of these says what stands beside the element, not what it is.
 BESIDE = set("with has have without no non not is in under below above before after hide show layout".split())
 MAIN_ROLES = {"main", "article"}
 _CLOSES_P = BLOCKS - {"body", "html", "title"}
 
 
-def _marked(names: list[str]) -> bool:
+def _marked(names: list[str]) -> int:
+    """0: no name says so, 1: a name of something beside the article, 2: a name of what readers wrote."""
+    mark = 0
     for name in names:
         words = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
-        if words and (words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS) and not BESIDE.intersection(words):
-            return True
-    return False
+        if words and not BESIDE.intersection(words):
+            ends = {words[0], words[-1]}
+            mark = max(mark, 2 * bool(ends & READER_WORDS), int(bool(ends & ASIDE_WORDS)))
+    return mark
 
 
 class _Page(HTMLParser):
@@ -85,8 +90,8 @@ class _Page(HTMLParser):
             self._pop_to(tag)
         named = [n for k, v in attrs if k in ("class", "id", "role") for n in (v or "").split()]
         hidden = any(k == "hidden" for k, _ in attrs) or any(k == "aria-hidden" and v == "true" for k, v in attrs)
-        # 2: by the element itself, 1: by a name only, which a main element in it overrules
-        own = 2 if tag in ASIDE or hidden or (tag == "header" and not self.main) else int(tag not in ("html", "body", "main") and _marked(named))
+        # 2: by the element itself or as the readers' part, 1: by another name, which a main element in it overrules
+        own = 2 if tag in ASIDE or hidden or (tag == "header" and not self.main) else 0 if tag in ("html", "body", "main") else _marked(named)
         aside, main = max(self.aside, own), self.main
         if not main and own == 0 and aside < 2 and (tag in ("article", "main") or any(k == "role" and v in MAIN_ROLES for k, v in attrs)):
             self.mains += 1

@@ -177,12 +177,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of five-word Jaccard similarity 0.8 or more: the smallest doc_id, and one of its repeated rows.
+    """One document of each class of five-word Jaccard similarity 0.8 or more: the smallest doc_id, and one row of each text that it has.
 
     Pairs of that similarity are about 10 bits apart, too far for block shards, so the classes come from
     :mod:`jaccard`. Rows without a doc_id belong to no class and stay.
     """
     classes = jaccard.near_duplicates(docs, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi")
-    first = named.dropDuplicates(["doc_id"])
+    first = named.dropDuplicates(["doc_id", "text"])
     return first.select(*docs.columns).union(docs.where("doc_id is null"))
