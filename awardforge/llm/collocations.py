@@ -31,9 +31,10 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 SAMPLE_SHARE, SAMPLE_LEAST = 0.125, 2
 #: Bits of the bitmap of proposals (a power of two): 4 MB. A larger corpus wants more, so that few phrases are counted in vain.
 BITS = 1 << 25
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 1_000_000
 SALTS = 8
-_BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
+#: Lower case, and one mark for all that ends a piece.
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 10)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,7 +48,7 @@ class Stretch:
     def add(self, lang: str, text: bytes) -> None:
         before = len(self.ids)
         # a mark ends a piece, so it can stand as a word of its own that no text has
-        self.ids.extend(map(self.words.__getitem__, text.lower().translate(_BREAKS).replace(b".", b" . ").split()))
+        self.ids.extend(map(self.words.__getitem__, text.translate(_PLAIN).replace(b".", b" . ").split()))
         self.ids.append(0)
         self.sizes.append(len(self.ids) - before)
         self.lang_of.append(self.langs[lang])
