@@ -407,14 +407,20 @@ def a12(s, d):
     return tables.fact_claims(scored(s, d))
 
 
-@registered("c11_streamed_digest", "SELECT award_key, count(*) AS mod_count, min(action_date) AS first_action, max(action_date) AS last_action, CAST(sum(obligation) AS DOUBLE) AS obligation FROM kept GROUP BY award_key")
+@registered(
+    "c11_streamed_digest",
+    "SELECT award_key, mod_count, first_action, last_action, CAST(first_ceiling AS DOUBLE) AS first_ceiling, CAST(last_ceiling AS DOUBLE) AS last_ceiling, first_ceiling_key, last_ceiling_key, first_planned_end, end_of_record, bridge_end, n_terminations, t.txn_key AS termination_key, n_negatives, CAST(o AS DOUBLE) AS obligation "
+    "FROM digest JOIN (SELECT award_key, sum(obligation) AS o FROM kept GROUP BY award_key) USING (award_key)",
+)
 def c11(s, d):
-    """The kept transactions as a stream of files, some delivered twice."""
+    """All transactions as a stream of files, some delivered twice and late, retracted rows among them."""
     base = _shared(s, "stream")
-    t = kept(s, d).select("txn_key", "award_key", "action_date", "obligation", "delete_ind")
+    t = kept(s, d).select(*digest.FIELDS)
+    gone = t.where("pmod(xxhash64(txn_key), 5) = 0").withColumns({"delete_ind": F.lit("D"), "txn_key": F.concat("txn_key", F.lit("_R"))})
+    t = t.unionByName(gone)
     t.repartition(6, "txn_key").write.parquet(f"{base}/in")
     s.read.parquet(f"{base}/in").where("pmod(xxhash64(txn_key), 3) = 0").repartition(2).write.mode("append").parquet(f"{base}/in")
     digest.stream_digest(s, f"{base}/in", t.schema, f"{base}/state", f"{base}/out")
-    return money(digest.current(s, f"{base}/out"))
-
-
+    x = digest.current(s, f"{base}/out")
+    last = F.try_element_at("terminations", F.lit(-1))["txn_key"].alias("termination_key")
+    return money(x.select("award_key", "mod_count", "first_action", "last_action", "first_ceiling", "last_ceiling", "first_ceiling_key", "last_ceiling_key", "first_planned_end", "end_of_record", "bridge_end", F.size("terminations").cast("long").alias("n_terminations"), last, F.size("negatives").cast("long").alias("n_negatives"), "obligation"))

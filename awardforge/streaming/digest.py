@@ -1,30 +1,156 @@
-"""The modification fold as a stream: each transaction once, however often and in whatever order its files arrive."""
+"""The modification fold as a stream: each transaction once, however often and in whatever order its files arrive.
+
+The state of an award is its whole digest and the keys of the transactions folded into it. Both hold in one row for
+each award; keys are forgotten once an award has been quiet for ``retention``, as no file is delivered again
+after that, while the digest stays. What a batch changed comes out as the award's new digest, so the newest version of an award is
+the fold over all that has arrived.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from awardforge.operators.history import NEGATIVE, TERMINATIONS
+
+#: What the fold reads of a transaction.
+FIELDS = ["award_key", "txn_key", "mod_no", "action_date", "action_type_code", "delete_ind", "obligation", "ceiling_total", "potential_end", "current_end", "extent_code"]
+EVENT = "array<struct<action_date:date,mod_no:string,txn_key:string,action_type_code:string,obligation:decimal(18,2)>>"
+OUT = {
+    "award_key": "string", "mod_count": "long", "first_action": "string", "last_action": "string", "obligation_cents": "long",
+    "first_ceiling_cents": "long", "last_ceiling_cents": "long", "first_ceiling_key": "string", "last_ceiling_key": "string", "first_planned_end": "string", "end_of_record": "string", "bridge_end": "string",
+    "terminations": "string", "negatives": "string",
+}
+SCHEMA = ", ".join(f"{k} {v}" for k, v in OUT.items())
+
+
+def _at(state: dict, name: str, order: list, value, first: bool) -> None:
+    """Keep the value with the least or greatest order of all seen."""
+    old = state.get(name)
+    if old is None or (order < old[0] if first else order > old[0]):
+        state[name] = [order, value]
+
+
+def fold(state: dict, rows) -> bool:
+    """Fold transactions into an award's state; whether anything was new. Rows without a key always count, retracted ones never."""
+    changed = False
+    seen = state.setdefault("seen", {})
+    for r in rows:
+        if (r.delete_ind or "") == "D":
+            continue
+        if r.txn_key:
+            if r.txn_key in seen:
+                continue
+            seen[r.txn_key] = 1
+        changed = True
+        # an undated transaction comes before all dated ones, as in the batch fold
+        order = [r.action_date or "", r.mod_no or "", r.txn_key or ""]
+        state["mod_count"] = state.get("mod_count", 0) + 1
+        state["obligation"] = state.get("obligation", 0) + (r.obligation or 0)
+        if r.action_date:
+            state["first_action"] = min(state.get("first_action") or r.action_date, r.action_date)
+            state["last_action"] = max(state.get("last_action") or r.action_date, r.action_date)
+        if r.ceiling_total is not None and r.ceiling_total > 0:
+            _at(state, "first_ceiling", order, [r.ceiling_total, r.txn_key], True)
+            _at(state, "last_ceiling", order, [r.ceiling_total, r.txn_key], False)
+        if r.potential_end:
+            _at(state, "first_planned_end", order, r.potential_end, True)
+        if r.current_end:
+            _at(state, "end_of_record", order, r.current_end, False)
+            if r.extent_code in ("B", "C", "G"):
+                state["bridge_end"] = max(state.get("bridge_end") or r.current_end, r.current_end)
+        event = [r.action_date, r.mod_no, r.txn_key, r.action_type_code, r.obligation]
+        if r.action_type_code in TERMINATIONS:
+            state.setdefault("terminations", []).append(event)
+        if r.obligation is not None and r.obligation < 100 * NEGATIVE:
+            state.setdefault("negatives", []).append(event)
+    return changed
+
+
+def _row(key: str, s: dict) -> tuple:
+    ceiling = lambda name, k: (s.get(name) or [None, [None, None]])[1][k]
+    at = lambda name: (s.get(name) or [None, None])[1]
+    ordered = lambda name: json.dumps(sorted(s.get(name, []), key=lambda e: [x or "" for x in e[:4]]))
+    return (
+        key, s.get("mod_count", 0), s.get("first_action"), s.get("last_action"), s.get("obligation", 0), ceiling("first_ceiling", 0), ceiling("last_ceiling", 0), ceiling("first_ceiling", 1), ceiling("last_ceiling", 1),
+        at("first_planned_end"), at("end_of_record"), s.get("bridge_end"), ordered("terminations"), ordered("negatives"),
+    )
+
 
-def award_counts(txn: DataFrame) -> DataFrame:
-    """The order-free part of the digest, on a batch or a stream: state is one row for each award."""
-    open_rows = txn.where("coalesce(delete_ind, '') <> 'D'")
-    return open_rows.groupBy("award_key").agg(F.count(F.lit(1)).alias("mod_count"), F.min("action_date").alias("first_action"), F.max("action_date").alias("last_action"), F.sum("obligation").alias("obligation"))
+def _update(retention_ms: int):
+    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            # quiet for long: what was folded stays, the keys go
+            held["seen"] = {}
+            state.update((json.dumps(held),))
+            return
+        changed = False
+        for frame in frames:
+            frame = frame.astype(object).where(frame.notna(), None)
+            changed |= fold(held, frame.itertuples(index=False))
+        state.update((json.dumps(held),))
+        state.setTimeoutDuration(retention_ms)
+        if changed:
+            yield pd.DataFrame([_row(key[0], held)], columns=list(OUT)).astype({k: "Int64" for k, v in OUT.items() if v == "long"})
 
+    return update
 
-def stream_digest(spark: SparkSession, folder: str, schema, checkpoint: str, out: str) -> None:
-    """Fold the files of ``folder`` into ``out``, batch by batch; the last batch's version of an award is the current one."""
-    txn = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    counts = award_counts(txn.dropDuplicates(["txn_key"]))
+
+def _plain(txn: DataFrame) -> DataFrame:
+    """Dates as ISO text and amounts as whole cents: what a JSON state holds exactly."""
+    cents = lambda c: (F.col(c) * 100).cast("long").alias(c)
+    how = {"obligation": cents, "ceiling_total": cents} | {c: (lambda c: F.col(c).cast("string").alias(c)) for c in ("action_date", "potential_end", "current_end")}
+    return txn.select(*[how[c](c) if c in how else F.col(c) for c in FIELDS])
+
+
+def _typed(out: DataFrame) -> DataFrame:
+    """The digest's own types again, the same columns as ``history.digest``."""
+    money = lambda c: (F.col(f"{c}_cents").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias(c)
+    date = lambda c: F.col(c).cast("date").alias(c)
+    parsed = lambda c: F.from_json(c, "array<array<string>>")
+    events = lambda c: F.transform(parsed(c), lambda e: F.struct(e[0].cast("date").alias("action_date"), e[1].alias("mod_no"), e[2].alias("txn_key"), e[3].alias("action_type_code"), (e[4].cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("obligation"))).cast(EVENT).alias(c)
+    return out.select(
+        "award_key", "mod_count", date("first_action"), date("last_action"), money("obligation"), money("first_ceiling"), money("last_ceiling"), "first_ceiling_key", "last_ceiling_key",
+        date("first_planned_end"), date("end_of_record"), date("bridge_end"), events("terminations"), events("negatives"),
+    )
+
+
+def folded(txn: DataFrame, retention_ms: int) -> DataFrame:
+    """A stream of transactions to a stream of digests (update mode)."""
+    return _plain(txn).groupBy("award_key").applyInPandasWithState(_update(retention_ms), SCHEMA, "digest string", "update", "ProcessingTimeTimeout")
+
+
+def stream_digest(spark: SparkSession, folder: str, schema, checkpoint: str, out: str, files: int = 4, retention_ms: int = 30 * 86_400_000) -> None:
+    """Fold the files of ``folder`` that have arrived into ``out``, batch by batch. A batch that is repeated after a failure overwrites its own part only."""
+    txn = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
     def put(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    query = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
+    # a timer asks for batches without data, of which a run over what is there would never see the end
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        folded(txn, retention_ms).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
+    """The newest digest of each award."""
+    rows = spark.read.parquet(out)
+    newest = rows.groupBy("award_key").agg(F.max_by(F.struct(*[c for c in OUT if c != "award_key"]), "batch").alias("r"))
+    return _typed(newest.select("award_key", "r.*"))
+
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """Write one version of each award, so that readers need not pass over all batches; batches up to the one compacted can go then."""
     rows = spark.read.parquet(out)
-    cols = [c for c in rows.columns if c not in ("batch", "award_key")]
-    return rows.groupBy("award_key").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("award_key", "r.*")
+    newest = rows.groupBy("award_key").agg(F.max_by(F.struct(*[c for c in OUT if c != "award_key"], "batch"), "batch").alias("r"))
+    newest.select("award_key", "r.*").write.partitionBy("batch").parquet(to)
