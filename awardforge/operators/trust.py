@@ -93,15 +93,33 @@ def alerts(changes: DataFrame) -> DataFrame:
     return changes.withColumn("mode", F.explode(F.array_compact(modes)))
 
 
-def label_sample(s: DataFrame, size: int, seed: int = 7) -> DataFrame:
-    """A stratified draw, proportional with one at least from each stratum; the same for one seed."""
-    band = F.when(F.col("value") >= 10_000_000, "high").when(F.col("value") >= 1_000_000, "mid").otherwise("low")
-    kind = F.when(F.col("parent_idv").isNull(), "standalone").otherwise("order")
-    x = s.select("candidate_id", band.alias("band"), kind.alias("kind"))
-    n = x.groupBy("band", "kind").agg(F.count(F.lit(1)).alias("n_cell"))
-    quota = n.crossJoin(n.agg(F.sum("n_cell").alias("n_all"))).select("band", "kind", F.greatest(F.lit(1), F.floor(F.col("n_cell") * size / F.col("n_all"))).alias("quota"))
-    place = F.row_number().over(W.partitionBy("band", "kind").orderBy(F.xxhash64(F.lit(seed), "candidate_id"), "candidate_id"))
-    return x.withColumn("place", place).join(F.broadcast(quota), ["band", "kind"]).where("place <= quota").select("candidate_id", "band", "kind")
+def label_sample(s: DataFrame, size: int, seed: int = 7, top: int = 50, most_components: int = 5) -> DataFrame:
+    """A stratified draw and the best scored, each case once: ``candidate_id, band, office, kind, sample_set``.
+
+    Strata are value band, component (the largest ones by count, else OTHER) and kind of vehicle. Each stratum gives
+    one case; the others are allotted in proportion to what is left of the strata, by largest remainder, so the quotas add up to
+    ``size`` (to all rows where there are fewer). Cases are drawn in the order of a seeded hash. The ``top`` best are added, and those drawn already are ``both``.
+    """
+    band = F.when(F.col("value") >= 10_000_000, ">=$10M").when(F.col("value") >= 1_000_000, "$1M-$10M").otherwise("<$1M")
+    kind = F.when(F.trim(F.coalesce("parent_idv", F.lit(""))) == "", "standalone").otherwise("vehicle")
+    large = s.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(most_components).select("component", F.lit(True).alias("large"))
+    x = s.select("candidate_id", "component", "score10", band.alias("band"), kind.alias("kind")).join(large, "component", "left")
+    x = x.withColumn("office", F.when(F.col("large"), F.col("component")).otherwise("OTHER"))
+    cell = ["band", "office", "kind"]
+    # a few dozen strata: windows over all of them are small
+    every = W.partitionBy(F.lit(1))
+    n = x.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumns({"cells": F.count(F.lit(1)).over(every), "all": F.sum("n").over(every)})
+    n = n.withColumns({"share": F.expr(f"(n - 1) * greatest(least({size}, all) - cells, 0)"), "rest": F.expr("all - cells")})
+    n = n.withColumns({"base": F.expr("case when rest > 0 then share div rest else 0 end"), "over": F.expr("case when rest > 0 then share % rest else 0 end")})
+    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("over"), *cell))
+    extra = F.greatest(F.least(F.lit(size), F.col("all")) - F.col("cells"), F.lit(0)) - F.sum("base").over(every)
+    quota = n.withColumn("quota", 1 + F.col("base") + (place <= extra).cast("int")).select(*cell, "quota")
+    drawn = F.row_number().over(W.partitionBy(*cell).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "candidate_id")), "candidate_id"))
+    drawn = x.withColumn("place", drawn).join(quota, cell).where("place <= quota").select("candidate_id", F.lit(True).alias("in_draw"))
+    best = x.orderBy(F.desc("score10"), "candidate_id").limit(top).select("candidate_id", F.lit(True).alias("in_top"))
+    both = drawn.join(best, "candidate_id", "full")
+    name = F.when(F.col("in_draw") & F.col("in_top"), "both").when(F.col("in_top"), "top50").otherwise("stratified")
+    return x.join(both, "candidate_id").select("candidate_id", *cell, name.alias("sample_set"))
 
 
 def profiles(awards: DataFrame, k: int = 3) -> DataFrame:

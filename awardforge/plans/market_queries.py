@@ -12,7 +12,7 @@ from awardforge.operators import candidates, linking, pricing, trust
 from awardforge.plans import domain
 from awardforge.plans.award_queries import FIRMS, _standing, awards, cand, kept, mods, money, registered, scored, succeeded
 from awardforge.plans.oracle import CHAIN
-from awardforge.sources import tables
+from awardforge.sources import labels, tables
 from awardforge.streaming import digest
 
 _D = f"date_diff('day', pop_start, least(coalesce(current_end, {AS_OF}), {AS_OF}))"
@@ -289,9 +289,56 @@ def j5(s, d):
     return trust.lead_time(_snapshots(s, d), g1(s, d), domain.notices(s, d)).withColumn("lead_days", F.col("lead_days").cast("long"))
 
 
-@registered("j9_label_sample")
+_CELLS = """SELECT candidate_id, score10, CASE WHEN value >= 10000000 THEN '>=$10M' WHEN value >= 1000000 THEN '$1M-$10M' ELSE '<$1M' END AS band, CASE WHEN component IN (SELECT component FROM (SELECT component, count(*) AS n FROM scored GROUP BY 1 ORDER BY n DESC, component LIMIT 5)) THEN component ELSE 'OTHER' END AS office,
+  CASE WHEN trim(coalesce(parent_idv, '')) = '' THEN 'standalone' ELSE 'vehicle' END AS kind FROM scored"""
+_SIZE = 200
+
+
+@registered(
+    "j9_label_sample",
+    f"""SELECT candidate_id, band, office, kind, CASE WHEN d AND t THEN 'both' WHEN t THEN 'top50' ELSE 'stratified' END AS sample_set FROM (
+      SELECT *, row_number() OVER (PARTITION BY band, office, kind ORDER BY md5('7:' || candidate_id), candidate_id) <= 1 + base + CASE WHEN turn <= {_SIZE} - cells - handed THEN 1 ELSE 0 END AS d, row_number() OVER (ORDER BY score10 DESC, candidate_id) <= 50 AS t
+      FROM ({_CELLS}) JOIN (SELECT *, sum(base) OVER () AS handed, row_number() OVER (ORDER BY over_ DESC, band, office, kind) AS turn FROM (
+        SELECT band, office, kind, cells, ((n - 1) * ({_SIZE} - cells)) // (total - cells) AS base, ((n - 1) * ({_SIZE} - cells)) % (total - cells) AS over_ FROM (SELECT band, office, kind, count(*) AS n, count(*) OVER () AS cells, sum(count(*)) OVER () AS total FROM ({_CELLS}) GROUP BY 1, 2, 3))) USING (band, office, kind)) WHERE d OR t""",
+)
 def j9(s, d):
-    return trust.label_sample(scored(s, d), 200)
+    return trust.label_sample(scored(s, d), _SIZE)
+
+
+#: An outcome sheet made from candidates, with faults in it: award numbers decide which.
+_N = "CAST(substr(candidate_id, 13) AS BIGINT)"
+_SHEET = {
+    "case_id": f"CASE WHEN {_N} % 997 = 5 THEN '' WHEN {_N} % 991 = 7 THEN 'O-again' ELSE 'O-' || candidate_id END",
+    "sample_set": f"CASE WHEN {_N} % 53 = 1 THEN 'other' WHEN {_N} % 2 = 0 THEN 'stratified' ELSE 'top50' END",
+    "sampled_snapshot_date": "'2000-01-01'",
+    "potential_end_date": f"CASE WHEN {_N} % 71 = 2 THEN 'soon' ELSE CAST(expiry AS VARCHAR(10)) END",
+    "outcome_label": f"CASE {_N} % 5 WHEN 0 THEN 'undeterminable' WHEN 1 THEN 'ended' WHEN 2 THEN '' ELSE 'recompete_unchanged' END",
+    "undeterminable_reason": f"CASE WHEN {_N} % 5 = 0 AND {_N} % 3 > 0 THEN 'no_notice_found' WHEN {_N} % 101 = 1 THEN 'insufficient_history' END",
+    "label_confidence": f"CASE {_N} % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN ' low ' END",
+    "notice_anchored": f"CASE WHEN {_N} % 12 = 4 THEN 'N' ELSE 'Y' END",
+    "unmask_performed": f"CASE WHEN {_N} % 7 = 0 THEN 'Y' WHEN {_N} % 7 = 1 THEN 'N' END",
+    "unmask_date": f"CASE WHEN {_N} % 7 = 0 AND {_N} % 5 > 0 THEN '1999-12-31' WHEN {_N} % 301 = 3 THEN '1999-12-30' END",
+    "incumbent_retained_observed": f"CASE WHEN {_N} % 7 = 0 THEN 'yes' END",
+    "label_changed_after_unmask": f"CASE WHEN {_N} % 11 = 0 THEN 'Y' END",
+    "labeler_notes": f"CASE WHEN {_N} % 22 = 0 THEN 'seen twice' END",
+}
+_SAID = ", ".join(f"trim(coalesce({v}, '')) AS {k}" for k, v in _SHEET.items())
+_RULE_ROWS = [("case_id blank", "case_id = ''")]
+_RULE_ROWS += [(f"{c} not in its list", f"{c} <> '' AND {c} NOT IN ({rules.listed(v)})") for c, v in labels.LISTS["outcome"].items()]
+_RULE_ROWS += [(f"{c} is no date", f"{c} <> '' AND TRY_CAST({c} AS DATE) IS NULL") for c in ("sampled_snapshot_date", "potential_end_date", "unmask_date")]
+_RULE_ROWS += list(labels.ACROSS.items())
+
+
+@registered(
+    "a10_label_contract",
+    f"""SELECT rule, count(*) AS n, arg_min(case_id, ("row", case_id)) AS first_case FROM (
+      {" UNION ALL ".join(f"SELECT '{rule}' AS rule, n AS row, case_id FROM sheet WHERE {broken}" for rule, broken in _RULE_ROWS)}
+      UNION ALL SELECT 'case_id repeated', min(n), case_id FROM sheet WHERE case_id <> '' GROUP BY case_id HAVING count(*) > 1) GROUP BY rule""".replace("FROM sheet", f"FROM (SELECT {_N} AS n, {_SAID} FROM cand) sheet"),
+)
+def a10(s, d):
+    """An outcome sheet with faults of every kind: each broken rule, how often, and the first case by row."""
+    sheet = cand(s, d).select(F.expr(_N).alias("row"), *[F.expr(_SHEET.get(c, "cast(null as string)")).alias(c) for c in labels.OUTCOME_COLUMNS])
+    return labels.summary(labels.violations(sheet, "outcome"))
 
 
 _OLD, _NEW = "1999-10-01", "2000-01-01"

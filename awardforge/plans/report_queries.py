@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF, DUCK, SPARK
-from awardforge.operators import chips, pricing, signals, trust
+from awardforge.operators import chips, pricing, signals, star, trust
 from awardforge.plans import domain
-from awardforge.plans.award_queries import awards, cand, registered, scored, succeeded
-from awardforge.plans.market_queries import _ranged, compared, g1, j2, j4
+from awardforge.plans.award_queries import awards, cand, kept, registered, scored, succeeded
+from awardforge.plans.market_queries import _ranged, _shared, compared, g1, j2, j4
 from awardforge.plans.oracle import CHAIN
 from awardforge.sources import tables
 
@@ -220,3 +220,58 @@ def g6(s, d):
     x = pricing.scenario(c, comps, comps.where(_OUT).select("candidate_id", "comp_id"), "more", F.lit(5))
     n = F.when(F.col("range_basis") == "comparables", F.col("n_comparables")).otherwise(0).cast("long")
     return x.select("candidate_id", n.alias("n_comparables"), "range_basis", "strength", F.round(F.col("median") / 100, 0).alias("median"), *[F.round(F.col(f"{v}_term") / 10000, 0).alias(f"{v}_term") for v in ("low", "median", "high")])
+
+
+_DATED = "SELECT unnest([expiry, window_start, window_end, current_end, potential_end]) AS day FROM scored UNION ALL SELECT unnest([pop_start, current_end, potential_end, signed]) FROM award"
+_COUNTS = {
+    "fact_recompete_candidates": "SELECT count(*) FROM scored",
+    "fact_contract_awards": "SELECT count(*) FROM award",
+    "fact_ptw_comparables": "SELECT count(*) FROM comps",
+    "fact_scoring_breakdown": "SELECT 8 * count(*) FROM scored",
+    "fact_opportunity_notices": "SELECT count(*) FROM notice",
+    "fact_transactions": "SELECT count(*) FROM (SELECT DISTINCT award_key, mod_no, action_date, action_type_code, obligation FROM kept WHERE action_type_code IN ('E', 'F', 'X', 'N') OR obligation < -10000)",
+    "bridge_award_opportunity_links": "SELECT count(*) FROM cand",
+    "dim_agency": "SELECT count(*) FROM (SELECT DISTINCT agency, component FROM scored)",
+    "dim_vendor": "SELECT count(DISTINCT vendor) FROM scored",
+    "dim_naics": f"SELECT count(*) FROM (SELECT naics FROM award WHERE naics IS NOT NULL UNION SELECT unnest([{rules.listed(rules.NAICS_SCOPE)}]))",
+    "dim_psc": f"SELECT count(*) FROM (SELECT psc FROM award WHERE psc IS NOT NULL UNION SELECT unnest([{rules.listed(rules.PSC_RELEVANT)}]))",
+    "dim_date": f"SELECT date_diff('day', least(min(day), {AS_OF}), greatest(max(day), {AS_OF})) + 731 FROM ({_DATED})",
+    "dim_priority_tier": "SELECT 5",
+    "dim_capture_phase": "SELECT 7",
+    "data_quality_report": "SELECT 4 + (SELECT count(DISTINCT confidence) FROM award) + (SELECT count(DISTINCT CASE WHEN days_left >= -365 THEN 1 WHEN days_left >= -1095 THEN 2 ELSE 3 END) FROM cand WHERE days_left < -90)",
+    "dashboard_kpi_summary": "SELECT 1",
+}
+
+
+@registered("a5_star_tables", " UNION ALL ".join(f"SELECT '{name}' AS table_name, ({count}) AS n_rows, {str(name in ('dim_agency', 'dim_priority_tier')).lower()} AS also_csv, true AS scrubbed" for name, count in _COUNTS.items()))
+def a5(s, d):
+    """All sixteen tables written and read back as views: rows, whether a CSV lies beside it, and whether its free text has no address left."""
+    path = _shared(s, "star")
+    csv = ("dim_agency", "dim_priority_tier")
+    tables.write_star(star.build(s, scored(s, d), awards(s, d), kept(s, d), g1(s, d), domain.notices(s, d)), path, star.FREE_TEXT, csv)
+    out = None
+    for name, df in tables.read_star(s, path).items():
+        text = [c for c in star.FREE_TEXT.get(name, ()) if c in df.columns]
+        bare = F.lit(0) if not text else F.count(F.when(F.concat_ws(" ", *text).rlike("[a-z]@[a-z]+[.][a-z]|[0-9]{3}-[0-9]{3}-[0-9]{4}"), 1))
+        one = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.lit(name in csv).alias("also_csv"), (bare == 0).alias("scrubbed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@registered(
+    "h8_keyed_candidates",
+    """SELECT candidate_id, agency_key, vendor_key, CASE bucket WHEN '0-6 Months' THEN 1 WHEN '6-12 Months' THEN 2 WHEN '12-18 Months' THEN 3 WHEN '18-24 Months' THEN 4 WHEN '24+ Months' THEN 5 ELSE 9 END AS bucket_sort, CAST(strftime(expiry, '%Y%m%d') AS INTEGER) AS expiry_key, CAST(strftime(window_start, '%Y%m%d') AS INTEGER) AS window_start_key
+    FROM scored JOIN (SELECT agency, component, CAST(row_number() OVER (ORDER BY sum(value) DESC, agency, component) AS INTEGER) AS agency_key FROM scored GROUP BY agency, component) USING (agency, component)
+    JOIN (SELECT vendor, CAST(row_number() OVER (ORDER BY sum(value) DESC, vendor) AS INTEGER) AS vendor_key FROM scored GROUP BY vendor) USING (vendor)""",
+)
+def h8b(s, d):
+    c = scored(s, d)
+    return star.keyed_candidates(c, star.agency_dimension(c), star.vendor_dimension(c)).select("candidate_id", "agency_key", "vendor_key", "bucket_sort", "expiry_key", "window_start_key")
+
+
+@registered("h7_calendar", f"""SELECT year, month_name, month_short, quarter, fiscal_label, count(*) AS n, min(date_key) AS first_key, count(*) FILTER (past) AS n_past, count(*) FILTER (within_12_months) AS n_next FROM (
+    SELECT day, CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_key, CAST(extract(year FROM day) AS INTEGER) AS year, strftime(day, '%B') AS month_name, strftime(day, '%b') AS month_short, CAST(extract(quarter FROM day) AS INTEGER) AS quarter, {rules.fiscal("day")["fiscal_label"]} AS fiscal_label, day < {AS_OF} AS past, date_diff('day', {AS_OF}, day) BETWEEN 0 AND 365 AS within_12_months
+    FROM (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b + 730 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT least(min(day), {AS_OF}) AS a, greatest(max(day), {AS_OF}) AS b FROM ({_DATED})))) GROUP BY ALL""")
+def h7b(s, d):
+    x = star.date_dimension(scored(s, d), awards(s, d))
+    return x.groupBy("year", "month_name", "month_short", "quarter", "fiscal_label").agg(F.count(F.lit(1)).alias("n"), F.min("date_key").alias("first_key"), F.count(F.when(F.col("past"), 1)).alias("n_past"), F.count(F.when(F.col("within_12_months"), 1)).alias("n_next"))

@@ -65,15 +65,26 @@ def fact_claims(c: DataFrame) -> DataFrame:
     return c.where("trim(piid) <> ''").select("candidate_id", F.to_json(F.struct(*[short(k) for k in keep]), {"ignoreNullFields": "false"}).alias("claims"))
 
 
-def write_star(tables: dict[str, DataFrame], path: str, text_columns: tuple[str, ...] = ("title", "description")) -> None:
-    """Each table as Parquet; free text is scrubbed on the way."""
+def write_star(tables: dict[str, DataFrame], path: str, free_text: dict[str, tuple[str, ...]], csv: tuple[str, ...] = ()) -> None:
+    """Each table as Parquet, and those in ``csv`` as CSV beside it; free text is scrubbed on the way."""
     for name, df in tables.items():
-        df.select(*[scrub(F.col(c)).alias(c) if c in text_columns else F.col(c) for c in df.columns]).write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def register_star(spark: SparkSession, path: str, names: list[str]) -> None:
-    for name in names:
-        spark.read.parquet(f"{path}/{name}").createOrReplaceTempView(name)
+        clean = df.select(*[scrub(F.col(c)).alias(c) if c in free_text.get(name, ()) else F.col(c) for c in df.columns])
+        clean.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+        if name in csv:
+            clean.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}.csv")
+
+
+def read_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Every table of a folder as a view of its name: a Parquet table goes before a CSV of the same name. The folder may be in any store that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = [f.getPath().getName() for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)]
+    found = {}
+    for file in sorted(there, key=lambda f: (not f.endswith(".parquet"), f)):
+        name, _, kind = file.rpartition(".")
+        if kind in ("parquet", "csv") and name not in found:
+            found[name] = spark.read.parquet(f"{path}/{file}") if kind == "parquet" else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/{file}")
+            found[name].createOrReplaceTempView(name)
+    return found
 
 
 def archive(df: DataFrame, path: str, date: str) -> None:
@@ -98,14 +109,3 @@ def newest_reference(vintages: DataFrame, curated: DataFrame) -> DataFrame:
     known = v.join(F.broadcast(c), "code", "left").select("code", "description", F.coalesce("relevant", F.lit(False)).alias("relevant"))
     only = c.join(v, "code", "left_anti").select("code", F.col("own").alias("description"), "relevant")
     return known.unionByName(only)
-
-
-def label_violations(labels: DataFrame, enums: dict[str, tuple[str, ...]], dates: tuple[str, ...]) -> DataFrame:
-    """(rule, case_id) for every broken rule of a label sheet."""
-    found = labels.where("trim(coalesce(case_id, '')) = ''").select(F.lit("blank case_id").alias("rule"), "case_id")
-    found = found.unionByName(labels.groupBy("case_id").count().where("count > 1").select(F.lit("repeated case_id").alias("rule"), "case_id"))
-    for name, values in enums.items():
-        found = found.unionByName(labels.where(~F.coalesce(F.col(name).isin(*values), F.lit(False))).select(F.lit(f"{name} not in its list").alias("rule"), "case_id"))
-    for name in dates:
-        found = found.unionByName(labels.where(F.col(name).isNotNull() & day(F.col(name)).isNull()).select(F.lit(f"{name} is no date").alias("rule"), "case_id"))
-    return found

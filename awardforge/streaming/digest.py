@@ -9,6 +9,7 @@ the fold over all that has arrived.
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from awardforge.operators.history import NEGATIVE, TERMINATIONS
 
 #: What the fold reads of a transaction.
 FIELDS = ["award_key", "txn_key", "mod_no", "action_date", "action_type_code", "delete_ind", "obligation", "ceiling_total", "potential_end", "current_end", "extent_code"]
+AMOUNTS = ("obligation", "ceiling_total")
+Transaction = namedtuple("Transaction", FIELDS)
 EVENT = "array<struct<action_date:date,mod_no:string,txn_key:string,action_type_code:string,obligation:decimal(18,2)>>"
 OUT = {
     "award_key": "string", "mod_count": "long", "first_action": "string", "last_action": "string", "obligation_cents": "long",
@@ -39,7 +42,7 @@ def fold(state: dict, rows) -> bool:
     """Fold transactions into an award's state; whether anything was new. Rows without a key always count, retracted ones never."""
     changed = False
     seen = state.setdefault("seen", {})
-    for r in rows:
+    for r in map(Transaction._make, rows):
         if (r.delete_ind or "") == "D":
             continue
         if r.txn_key:
@@ -91,12 +94,13 @@ def _update(retention_ms: int):
             return
         changed = False
         for frame in frames:
-            frame = frame.astype(object).where(frame.notna(), None)
-            changed |= fold(held, frame.itertuples(index=False))
+            # an amount that is missing comes as a NaN
+            told = ([None if x != x else int(x) for x in frame[c]] if c in AMOUNTS else frame[c].tolist() for c in FIELDS)
+            changed |= fold(held, zip(*told, strict=True))
         state.update((json.dumps(held),))
         state.setTimeoutDuration(retention_ms)
         if changed:
-            yield pd.DataFrame([_row(key[0], held)], columns=list(OUT)).astype({k: "Int64" for k, v in OUT.items() if v == "long"})
+            yield pd.DataFrame([_row(key[0], held)], columns=list(OUT), dtype=object)
 
     return update
 

@@ -89,10 +89,22 @@ def test_scrub_and_formula(spark):
     assert [r.s for r in tables.formula_safe(df).collect()] == ["'=1+1", "plain", None]
 
 
-def test_violations(spark):
-    df = spark.createDataFrame([("1", "correct", "2020-01-01"), ("1", "maybe", "soon"), (" ", "correct", None)], "case_id string, label string, day string")
-    got = sorted((r.rule, (r.case_id or "").strip()) for r in tables.label_violations(df, {"label": ("correct", "incorrect")}, ("day",)).collect())
-    assert got == [("blank case_id", ""), ("day is no date", "1"), ("label not in its list", "1"), ("repeated case_id", "1")]
+def test_label_contract_names_the_first_broken_row(spark):
+    from awardforge.sources import labels
+
+    good = {c: "" for c in labels.OUTCOME_COLUMNS} | {"case_id": "O-1", "outcome_label": "ended", "label_confidence": "high", "notice_anchored": "Y", "sampled_snapshot_date": "2020-01-01"}
+    faults = [{}, {"case_id": " "}, {"case_id": "O-2", "outcome_label": "undeterminable"}, {"case_id": "O-3", "undeterminable_reason": "no_notice_found"}, {"case_id": "O-4", "notice_anchored": "N"}, {"case_id": "O-5", "unmask_performed": "Y"},
+              {"case_id": "O-6", "unmask_date": "2020-01-02"}, {"case_id": "O-7", "label_changed_after_unmask": "Y"}, {"case_id": "O-8", "sample_set": "none"}, {"case_id": "O-9", "labeled_date": "soon"}, {"case_id": "O-9"}]
+    rows = [tuple((good | f)[c] for c in labels.OUTCOME_COLUMNS) + (k,) for k, f in enumerate(faults)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in labels.OUTCOME_COLUMNS) + ", row long")
+    got = {r.rule: (r.n, r.first_case) for r in labels.summary(labels.violations(df, "outcome")).collect()}
+    assert got == {
+        "case_id blank": (1, ""), "reason missing": (1, "O-2"), "reason without cause": (1, "O-3"), "high without notice": (1, "O-4"), "unmask incomplete": (1, "O-5"), "unmask not performed": (1, "O-6"),
+        "change not explained": (1, "O-7"), "sample_set not in its list": (1, "O-8"), "labeled_date is no date": (1, "O-9"), "case_id repeated": (1, "O-9"),
+    }
+    assert labels.refuse_broken(df.where("row = 0"), "outcome").count() == 1
+    with pytest.raises(ValueError, match="high without notice"):
+        labels.refuse_broken(df.where("row = 4"), "outcome")
 
 
 def test_queries_have_distinct_columns_and_run(spark):
