@@ -57,8 +57,11 @@ def a3(s, d):
 
 
 _K = "CAST(substr(award_id, 10) AS BIGINT)"
-_SAYS = ["POC: J SAMPLE", "ATTN - A. SAMPLE", "CO-TERM renewal", "PKH-SAMPLE-MOCK licenses", "PKA-DCC support", "N102B SAMPLE - program", "CHANGE COR TO SAMPLE", "PROOF OF CONCEPT (POC) study", "TECHNICAL POINT OF CONTACT (TPOC): SAMPLE", "PKF RISK review", "ORG/PK SAMPLE/MOCK", "WHITE:SAMPLE SAF order", "IGF:OT support", "contracting officer: b sample"]
-_NAMED = (0, 1, 3, 5, 6, 8, 10, 11, 13)
+_SAYS = [
+    "Router upkeep, poc: Q Tester", "Attn - M. Placeholder", "Co-locate two racks", "PKS/Dummyname/Fillin storage", "PKA wing audit", "N102C Fillin tooling", "Move COR to Placeholder",
+    "A proof of concept (POC) trial", "Point of contact (TPOC): Tester", "PKP FY23 refresh", "Base/PK Dummyname laptops", "Fillin:Tester desk order", "IGF:OT desk order", "Contract specialist: Q Tester", "Dummyname/Fillin/PKAB cables", "PKG of twelve", "Note: spare parts", "PKB - Dummy - Fillin radios", "PK: RISK study", "",
+]
+_NAMED = (0, 1, 3, 5, 6, 8, 10, 11, 13, 14, 17)
 _TITLE = f"CASE {_K} % {len(_SAYS)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_SAYS)) + " END || ' ' || award_id"
 
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from awardforge.functions import privacy
@@ -68,18 +70,50 @@ def test_links_by_title_equal_all_pairs(spark):
     assert {v[1] for v in got.values()} >= {"High", "Medium", "No Match"}
 
 
-def test_parts_of_a_cell_give_the_same_comparables(spark):
+def plain_comparables(rows, rates):
+    """The ladder by looking at every pair."""
+    out = []
+    for c in rows:
+        own, found = rates[c["award_id"]], []
+        for p in rows:
+            rate = rates[p["award_id"]]
+            if p is c or rate is None or p["psc"][:2] != c["psc"][:2]:
+                continue
+            fits = own is None or (rate * 4 >= own and rate <= 4 * own)
+            same = fits and p["signed"] >= DAY(1995, 1, 1) and p["naics"] == c["naics"]
+            rung = 1 if same and p["component"] == c["component"] else 2 if same else 3 if fits else 4
+            found.append((rung, -p["signed"].toordinal(), p["award_id"]))
+        rung = next((k for k in (1, 2, 3, 4) if sum(f[0] <= k for f in found) >= 5), None)
+        if rung:
+            out += [(c["candidate_id"], "ABCD"[rung - 1], a, "ABCD"[r - 1]) for r, _, a in sorted(f for f in found if f[0] <= rung)[:40]]
+    return sorted(out)
+
+
+def test_comparables_equal_the_whole_ladder_and_parts_change_nothing(spark):
     rng = random.Random(8)
-    start = DAY(1995, 1, 1)
-    rows = [dict(award_id=f"a{k:04}", candidate_id=f"RC-a{k:04}", naics=rng.choice(["541512", "541511"]), psc=rng.choice(["D302", "D307"]), component=rng.choice("mn"), award_type="BPA CALL", value=float(rng.randint(1, 9) * 10 ** rng.randint(4, 6)), pop_start=start, current_end=start + dt.timedelta(rng.randint(100, 1500)), signed=start + dt.timedelta(rng.randint(0, 1800))) for k in range(150)]
+    start = DAY(1993, 1, 1)
+    rows = [dict(award_id=f"a{k:04}", candidate_id=f"RC-a{k:04}", naics=rng.choice(["541512", "541511"]), psc=rng.choice(["D302", "D307", "R425"]), component=rng.choice("mn"), award_type="BPA CALL", value=float(rng.choice([0, *range(1, 10)]) * 10 ** rng.randint(3, 7)), pop_start=start, current_end=start + dt.timedelta(rng.randint(100, 1500)), signed=start + dt.timedelta(rng.randint(0, 1800)), pricing_code=rng.choice("JUY1")) for k in range(170)]
     df = spark.createDataFrame(rows).withColumn("value", F.col("value").cast("decimal(18,2)"))
-    whole, cut = (sorted(map(tuple, pricing.comparables(df, df, part=p).collect())) for p in ((10**6, 10**6), (7, 11)))
-    assert whole == cut and len(whole) > 1000
+    rates = {r.award_id: r.rate for r in df.select("award_id", pricing.run_rate().alias("rate")).collect()}
+    whole, cut = (sorted(tuple(r)[:4] for r in pricing.comparables(df, df, part=p).select("candidate_id", "rung", "comp_id", "own_rung").collect()) for p in (10**6, 7))
+    assert whole == cut == plain_comparables(rows, rates) and {r[1] for r in whole} >= {"A", "B", "C"}
+
+
+def test_orders_over_time_from_a_wavelet_matrix():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 200):
+        rank = rng.permutation(n)
+        levels = pricing._wavelet(rank)
+        upto, bound = rng.integers(0, n + 1, 300), rng.integers(0, n + 1, 300)
+        assert pricing._below(levels, upto, bound).tolist() == [int((rank[:u] < b).sum()) for u, b in zip(upto, bound)]
+        some = upto[upto > 0]
+        place = rng.integers(0, some)
+        assert pricing._nth(levels, some, place).tolist() == [int(np.sort(rank[:u])[k]) for u, k in zip(some, place)]
 
 
 def test_titles_that_name_a_person(spark):
-    named = ["POC: J SAMPLE", "(TPOC): SAMPLE", "CO: SAMPLE", "PKA SAMPLE/MOCK", "ORG/PK MOCK", "PKB-SAMPLE-MOCK", "SAMPLE/MOCK/PKAB order", "CMK - SAMPLE"]
-    plain = ["CO-TERM", "PROOF OF CONCEPT (POC)", "28 CS", "PKA-DCC", "PKI tokens", "PKB IDIRECT", "IGF:OT x", "N102KVM-UNN4", None]
+    named = ["Poc - Q Tester", "(attn) : Placeholder", "CS: Tester", "PKF Dummyname/Fillin", "Base/PK Fillin", "PKB - Dummy - Fillin", "Dummy-Fillin-PHK order", "CMK, Tester", "n102d bench", "Contracting officer's: Tester", "POC is Tester", "Dummy:Fillin desks", "PK: Tester"]
+    plain = ["Co-locate racks", "Trial of concept (POC)", "17 CS", "PKA/WING audit", "PKP FY24", "PKG of ten", "PKB radios", "IGF:OT x", "N1021 cable", "Note: parts", "PK: PZ study", "", None]
     df = spark.createDataFrame([(t,) for t in named + plain], "title string")
     out = [r.title for r in privacy.withhold_titles(df, ("title", "absent")).collect()]
     assert out == [privacy.WITHHELD] * len(named) + plain
