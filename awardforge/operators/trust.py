@@ -139,3 +139,47 @@ def checks(s: DataFrame, rules: dict[str, str]) -> DataFrame:
     """One pass over a table: for each named condition, how many rows break it (a NULL breaks it too)."""
     one = s.agg(*[F.count(F.when(~F.coalesce(F.expr(cond), F.lit(False)), 1)).alias(name) for name, cond in rules.items()])
     return one.unpivot([], list(rules), "check_name", "failing").select("check_name", (F.col("failing") == 0).alias("ok"), "failing")
+
+
+def parity(name: str, derived: DataFrame, again: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``(check_name, ok, failing)``: rows of two derivations that are missing on one side or differ in a column; NULL equals NULL."""
+    other = again.select(*[F.col(c).alias(f"_{c}") for c in (*key, *columns)], F.lit(True).alias("_there"))
+    on = [derived[c].eqNullSafe(other[f"_{c}"]) for c in key]
+    both = derived.select(*key, *columns, F.lit(True).alias("_here")).join(other, on, "full")
+    same = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    failing = F.count(F.when(~same, 1))
+    return both.agg(F.lit(name).alias("check_name"), (failing == 0).alias("ok"), failing.alias("failing"))
+
+
+def unique(name: str, df: DataFrame, key: str) -> DataFrame:
+    """How many values of a key stand in more than one row, or are missing."""
+    wrong = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+    n = F.count(F.lit(1))
+    return wrong.agg(F.lit(name).alias("check_name"), (n == 0).alias("ok"), n.alias("failing"))
+
+
+def rescore(breakdown: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """``(candidate_id, score10, tier)`` anew from the long breakdown and the quarantine alone."""
+    x = breakdown.groupBy("candidate_id").agg(F.expr("(sum(weighted1000) + 50) div 100").alias("score10"))
+    x = x.join(quarantined.select("candidate_id", F.lit(True).alias("gap")), "candidate_id", "left")
+    s = F.col("score10")
+    tier = F.when(F.col("gap"), "Data Gap").when(s >= 800, "Tier 1: Pursue Now").when(s >= 650, "Tier 2: Capture Research").when(s >= 500, "Tier 3: Monitor").otherwise("Tier 4: Low Priority")
+    return x.select("candidate_id", "score10", tier.alias("tier"))
+
+
+def shares_again(reportable: DataFrame, least: int = 3) -> DataFrame:
+    """``(component, top_share)`` from windows over vendors instead of two aggregations."""
+    firms = reportable.where("trim(component) <> ''").groupBy("component", F.when(F.trim("uei") != "", F.trim("uei")).alias("uei")).agg(F.sum(F.coalesce("value", F.lit(0))).alias("net"))
+    w = W.partitionBy("component")
+    named = F.col("uei").isNotNull() & (F.col("net") > 0)
+    x = firms.withColumns({"market": F.sum("net").over(w), "k": F.count(F.when(named, 1)).over(w), "known": F.sum(F.when(named, F.col("net"))).over(w), "place": F.row_number().over(w.orderBy(F.when(named, F.col("net")).desc_nulls_last()))})
+    told = (F.col("k") >= least) & (F.col("market") > 0) & (F.col("known") * 100 >= F.col("market") * 85)
+    return x.where("place = 1").select("component", F.when(told, F.expr("cast((net * 20000 + known) div (known * 2) as long)")).alias("top_share"))
+
+
+def book_again(scored: DataFrame) -> DataFrame:
+    """``(n, n_gap, value)``: the headline numbers from tier groups."""
+    by = scored.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return by.agg(F.lit(1).alias("one"), F.sum("n").alias("n"), F.sum(F.when(F.col("tier") == "Data Gap", F.col("n")).otherwise(0)).alias("n_gap"), F.sum("value").alias("value"))

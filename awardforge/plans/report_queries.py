@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF, DUCK, SPARK
-from awardforge.operators import chips, pricing, signals, star, trust
+from awardforge.operators import candidates, chips, history, pricing, signals, star, trust
 from awardforge.plans import domain
 from awardforge.plans.award_queries import awards, cand, kept, registered, scored, succeeded
 from awardforge.plans.market_queries import _ranged, _shared, compared, g1, j2, j4
@@ -121,16 +121,6 @@ def k1(s, d):
     return scored(s, d).select("candidate_id", "tier").join(ids, "candidate_id")
 
 
-@registered("h17_evidence_pack", "SELECT candidate_id, vendor, vendor_n, component_n FROM (SELECT *, count(*) OVER (PARTITION BY vendor) AS vendor_n, count(*) OVER (PARTITION BY component) AS component_n FROM scored) WHERE tier <> 'Data Gap' ORDER BY score10 DESC, candidate_id LIMIT 50")
-def h17(s, d):
-    """The 50 best candidates with their vendor's and office's books."""
-    x = scored(s, d)
-    best = x.where("tier <> 'Data Gap'").orderBy(F.col("score10").desc(), "candidate_id").limit(50)
-    vendor = x.groupBy("vendor").agg(F.count(F.lit(1)).alias("vendor_n"))
-    office = x.groupBy("component").agg(F.count(F.lit(1)).alias("component_n"))
-    return best.join(vendor, "vendor").join(office, "component").select("candidate_id", "vendor", "vendor_n", "component_n")
-
-
 #: What a reviewer would look for in a public title, without the rules that withhold: an address, a number, a role with a mark.
 _CONTACT = "[A-Za-z0-9.]@[a-z]+[.][a-z]|[0-9]{3}-[0-9]{3}-[0-9]{4}|(^|[^A-Za-z])([Pp][Oo][Cc]|[Aa][Tt][Tt][Nn])[ )]*[:-]"
 
@@ -292,3 +282,74 @@ def h8b(s, d):
 def h7b(s, d):
     x = star.date_dimension(scored(s, d), awards(s, d))
     return x.groupBy("year", "month_name", "month_short", "quarter", "fiscal_label").agg(F.count(F.lit(1)).alias("n"), F.min("date_key").alias("first_key"), F.count(F.when(F.col("past"), 1)).alias("n_past"), F.count(F.when(F.col("within_12_months"), 1)).alias("n_next"))
+
+
+def parity_checks(s, x, a, rows, links):
+    """Every derived number derived again another way: scores, tiers, concentration, headline numbers, history counts, keys, links."""
+    gap = x.where(F.expr(rules.quarantined(SPARK)))
+    book = x.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("tier") == "Data Gap", 1)).alias("n_gap"), F.sum("value").alias("value"))
+    counted = rows.select("award_key", "txn_key").distinct().groupBy("award_key").agg(F.count("txn_key").alias("mod_count"))
+    found = links.where("notice_id is not null")
+    checks = [
+        trust.parity("score_and_tier", x, trust.rescore(candidates.breakdown(x), gap), ["candidate_id"], ["score10", "tier"]),
+        trust.parity("concentration", signals.concentration(x.where("tier <> 'Data Gap'")), trust.shares_again(x.where("tier <> 'Data Gap'")), ["component"], ["top_share"]),
+        trust.parity("headline_numbers", book, trust.book_again(x), ["one"], ["n", "n_gap", "value"]),
+        trust.parity("history_counts", history.digest(rows), counted, ["award_key"], ["mod_count"]),
+        trust.unique("candidate_once", x, "candidate_id"),
+        trust.unique("award_once", a, "award_id"),
+        trust.unique("link_once", found, "candidate_id"),
+    ]
+    out = checks[0]
+    for one in checks[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+PARITY = ("score_and_tier", "concentration", "headline_numbers", "history_counts", "candidate_once", "award_once", "link_once")
+
+
+@registered("m1_parity", " UNION ALL ".join(f"SELECT '{n}' AS check_name, true AS ok, 0 AS failing" for n in PARITY))
+def m1b(s, d):
+    return parity_checks(s, scored(s, d), awards(s, d), kept(s, d), g1(s, d))
+
+
+#: What a brief may read, by public name; nothing else leaves the tables.
+EVIDENCE = {
+    "candidate_id": "candidate_id", "piid": "piid", "subagency": "component", "incumbent_vendor": "vendor", "incumbent_uei": "uei", "naics": "naics", "psc": "psc", "award_type": "award_type", "extent_competed_code": "extent_code",
+    "type_of_set_aside_code": "set_aside_code", "number_of_offers_received": "offers", "pop_start_date": "pop_start", "current_end_date": "current_end", "potential_end_date": "potential_end", "selected_expiration_date": "expiry",
+    "expiration_date_basis": "expiry_basis", "days_until_expiration": "days_left", "candidate_status": "status", "capture_phase": "phase", "estimated_recompete_window_start": "window_start", "estimated_recompete_window_end": "window_end",
+    "total_obligated_amount": "value", "terminated": "terminated", "termination_kind": "termination_kind", "termination_code": "termination_code", "termination_action_date": "termination_date", "bridge_flag": "bridge_flag",
+    "ceiling_balloon_flag": "ceiling_balloon", "ceiling_growth_ratio": "ceiling_growth", "mods_basis": "mods_basis", "displacement_signal_count": "displacement_count", "displacement_signals_read": "displacement_read",
+    "displacement_signals": "displacement_signals", "displacement_band": "displacement_band", "displacement_basis": "displacement_basis", "ptw_data_strength": "strength", "ptw_n_comparables": "n_comparables", "ptw_basis": "range_basis",
+    "pursuit_score": "score10", "priority_tier": "tier", "data_quality_notes": "notes",
+}
+
+
+@registered(
+    "h17_evidence_pack",
+    f"""SELECT b.candidate_id, CAST(to_json({{{", ".join(f"'{k}': b.{v}" for k, v in EVIDENCE.items())}}}) AS VARCHAR) AS candidate, CAST(to_json({{'incumbent_uei': v.uei, 'size_standard_shift': size_shift, 'size_standard_basis': size_basis}}) AS VARCHAR) AS vendor,
+      CAST(to_json({{'subagency': b.component, 'number_of_contracts': o.n, 'total_cyber_it_obligations': o.total, 'expiring_contract_count_12_months': o.n_12m, 'concentration_top_share': k.top_share, 'concentration_n_ueis': k.n_firms, 'concentration_basis': k.concentration_basis}}) AS VARCHAR) AS office,
+      CASE WHEN l.notice_id IS NULL THEN '[]' ELSE CAST(to_json([{{'notice_id': l.notice_id, 'notice_type': l.notice_type, 'solicitation_number': n.solicitation_number, 'posted_date': n.posted_date, 'response_deadline': n.response_deadline, 'link_confidence': l.link_confidence}}]) AS VARCHAR) END AS notices,
+      CAST(to_json(c.chips) AS VARCHAR) AS chips
+    FROM (SELECT * FROM chippable WHERE tier <> 'Data Gap' ORDER BY score10 DESC, candidate_id LIMIT 50) b LEFT JOIN (SELECT uei, size_shift, size_basis FROM shift) v ON v.uei = b.uei
+    LEFT JOIN (SELECT component AS c0, count(*) AS n, sum(value) AS total, count(*) FILTER (days_left BETWEEN 0 AND 365) AS n_12m FROM scored GROUP BY component) o ON o.c0 = b.component LEFT JOIN (SELECT component AS c1, top_share, n_firms, concentration_basis FROM concentrated) k ON k.c1 = b.component
+    LEFT JOIN (SELECT * FROM idlink) l ON l.candidate_id = b.candidate_id LEFT JOIN (SELECT notice_id AS n0, solicitation_number, posted_date, response_deadline FROM notice) n ON n.n0 = l.notice_id LEFT JOIN (SELECT * FROM chipped) c ON c.candidate_id = b.candidate_id""",
+)
+def h17(s, d):
+    """The 50 best candidates with all that a brief may read of them: allow-listed fields, the vendor, the office, notices and chips."""
+    x = chippable(s, d)
+    best = chips.chips(x.where("tier <> 'Data Gap'").orderBy(F.col("score10").desc(), "candidate_id").limit(50), SPARK, rules.Profile())
+    office = scored(s, d).groupBy("component").agg(F.count(F.lit(1)).alias("o_n"), F.sum("value").alias("o_total"), F.count(F.when(F.col("days_left").between(0, 365), 1)).alias("o_12m"))
+    share = signals.concentration(scored(s, d).where("tier <> 'Data Gap'")).select("component", "top_share", "n_firms", "concentration_basis")
+    shift = signals.size_shift(awards(s, d)).select("uei", F.col("uei").alias("v_uei"), "size_shift", "size_basis")
+    links = g1(s, d).select("candidate_id", F.col("notice_id").alias("l_id"), "notice_type", "link_confidence")
+    notice = domain.notices(s, d).select(F.col("notice_id").alias("l_id"), "solicitation_number", "posted_date", "response_deadline")
+    full = best.join(office, "component", "left").join(share, "component", "left").join(shift, "uei", "left").join(links.join(notice, "l_id", "left"), "candidate_id", "left")
+    js = lambda col: F.to_json(col, {"ignoreNullFields": "false"})
+    named = lambda pairs: F.struct(*[F.col(v).alias(k) for k, v in pairs.items()])
+    notices = named({"notice_id": "l_id", "notice_type": "notice_type", "solicitation_number": "solicitation_number", "posted_date": "posted_date", "response_deadline": "response_deadline", "link_confidence": "link_confidence"})
+    return full.select(
+        "candidate_id", js(named(EVIDENCE)).alias("candidate"), js(named({"incumbent_uei": "v_uei", "size_standard_shift": "size_shift", "size_standard_basis": "size_basis"})).alias("vendor"),
+        js(named({"subagency": "component", "number_of_contracts": "o_n", "total_cyber_it_obligations": "o_total", "expiring_contract_count_12_months": "o_12m", "concentration_top_share": "top_share", "concentration_n_ueis": "n_firms", "concentration_basis": "concentration_basis"})).alias("office"),
+        F.when(F.col("l_id").isNull(), "[]").otherwise(js(F.array(notices))).alias("notices"), js(F.col("chips")).alias("chips"),
+    )
