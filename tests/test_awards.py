@@ -136,3 +136,52 @@ def test_candidates_without_history_have_honest_defaults(spark):
     a = awards(spark, "/root/testdata/sf0.001")
     c = candidates.build(a, mods(spark, "/root/testdata/sf0.001").limit(0))
     assert c.where("terminated or termination_kind <> 'none' or mods_basis <> 'insufficient'").count() == 0
+
+
+def test_each_parity_check_finds_a_planted_fault(spark):
+    from awardforge.plans import report_queries as rq
+    from awardforge.plans.award_queries import awards, kept, scored
+
+    d = "/root/testdata/sf0.001"
+    x, a, rows = scored(spark, d), awards(spark, d), kept(spark, d)
+    links = x.select("candidate_id", F.lit("N1").alias("notice_id"))
+    one = x.orderBy("candidate_id").first().candidate_id
+    hit = F.col("candidate_id") == one
+    raised = x.withColumn("score10", F.when(hit, F.col("score10") + 1).otherwise(F.col("score10")))
+    failing = {r.check_name for r in rq.parity_checks(spark, raised, a.union(a.limit(1)), rows, links.union(links.limit(1))).collect() if not r.ok}
+    assert failing == {"score_and_tier", "award_once", "link_once"}
+
+
+def test_parity_sees_missing_rows_and_nulls(spark):
+    left = spark.createDataFrame([(1, 5, None), (2, 6, "a"), (3, 7, "b")], "k int, x int, y string")
+    same = trust.parity("p", left, left, ["k"], ["x", "y"]).first()
+    assert (same.ok, same.failing) == (True, 0)
+    other = spark.createDataFrame([(1, 5, "z"), (2, 6, "a"), (4, 7, "b")], "k int, x int, y string")
+    assert trust.parity("p", left, other, ["k"], ["x", "y"]).first().failing == 3
+    twice = spark.createDataFrame([(1,), (1,), (None,), (2,)], "k int")
+    assert trust.unique("u", twice, "k").first().failing == 2
+
+
+def test_sample_quotas_add_up(spark):
+    rows = [(f"c{k:03}", float(10 ** (k % 4 + 5)), "IDV" if k % 3 else None, f"N{k % 9}", 1000 - k) for k in range(400)]
+    df = spark.createDataFrame(rows, "candidate_id string, value double, parent_idv string, component string, score10 int")
+    got = trust.label_sample(df, 90, top=20).collect()
+    kinds = [r.sample_set for r in got]
+    assert sum(k != "top50" for k in kinds) == 90 and sum(k != "stratified" for k in kinds) == 20 and len({r.candidate_id for r in got}) == len(got)
+    cells = {(r.band, r.office, r.kind) for r in got if r.sample_set != "top50"}
+    assert len(cells) == len({(r.band, r.office, r.kind) for r in trust.label_sample(df, 400, top=1).collect()})
+    assert sum(r.sample_set != "top50" for r in trust.label_sample(df.limit(5), 90, top=1).collect()) == 5
+
+
+def test_stream_folds_late_and_repeated_files_and_forgets_keys():
+    from awardforge.streaming import digest
+
+    make = lambda **f: digest.Transaction(**(dict.fromkeys(digest.FIELDS) | f))
+    first = make(award_key="a", txn_key="t1", mod_no="P1", action_date="2020-05-01", action_type_code="F", obligation=-2_000_000, ceiling_total=100, current_end="2021-01-01", extent_code="B")
+    late = make(award_key="a", txn_key="t0", mod_no="P0", action_date="2020-01-01", action_type_code="C", obligation=500, ceiling_total=50, potential_end="2022-01-01")
+    state = {}
+    assert digest.fold(state, [first]) and not digest.fold(state, [first]) and digest.fold(state, [late])
+    assert not digest.fold(state, [make(txn_key="t9", delete_ind="D")])
+    row = dict(zip(digest.OUT, digest._row("a", state), strict=True))
+    assert (row["mod_count"], row["first_action"], row["first_ceiling_key"], row["last_ceiling_key"], row["bridge_end"], row["obligation_cents"]) == (2, "2020-01-01", "t0", "t1", "2021-01-01", -1_999_500)
+    assert digest.fold(state, [make(obligation=1), make(obligation=1)]) and state["mod_count"] == 4
