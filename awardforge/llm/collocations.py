@@ -7,8 +7,8 @@ were too few: the frequent phrases become the next proposals, and a further pass
 no frequent phrase lies outside the proposals. Nothing is lost on the way, since all shorter parts of a frequent
 phrase are frequent: after pass k all frequent phrases of k words are known, so four passes close it at the latest.
 
-The passes count 62-bit keys of phrases: two phrases with one key can only make a count too high. The last pass
-counts the texts of the phrases whose keys are frequent, and these counts alone are used. Proposals go
+The first full pass counts 62-bit keys of phrases: two phrases with one key can only make a count too high. Later
+passes count the texts, the second one those of all phrases whose keys are frequent, and these counts alone are used. Proposals go
 to the tasks as a bitmap of a fixed number of bits, whatever the corpus holds; a phrase that it takes in by chance is
 counted in vain and changes nothing.
 """
@@ -155,53 +155,65 @@ def bitmap(keys: DataFrame, size: int):
     return spark.sparkContext.broadcast(words)
 
 
-def frequent_keys(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
-    """Keys of all phrases of up to four words that occur ``least`` times in their language, and by chance some more."""
+def text_counts(docs: DataFrame, proposals: list, known: bool) -> DataFrame:
+    """``(lang, phrase, words, key, f)``: phrases counted by their texts. These are the phrases that the last of the proposals makes countable and no
+    earlier one did, and with ``known`` the last proposals themselves; then ``words`` 0 has the number of all words of a language."""
+
+    def task(batches):
+        names = ["lang", "phrase", "words", "key", "n"]
+        bitmaps = [Proposals(b.value) for b in proposals]
+        for stretch in stretches(batches):
+            word, langs = list(stretch.words), pa.array(list(stretch.langs), pa.string())
+            ids, lang = stretch.arrays()
+            rows = []
+            if known:
+                n, none = np.bincount(lang[ids > 0], minlength=len(langs)), np.zeros(len(langs), np.int64)
+                rows.append(pa.table([langs, pa.array([""] * len(langs)), pa.array(none.astype(np.int32)), pa.array(none), pa.array(n)], names))
+            for length, at, found, now, member in phrase_keys(stretch, bitmaps):
+                wanted = now | member if known else now
+                at, found = at[wanted], found[wanted]
+                if not len(at):
+                    continue
+                # equal numbers of words mean equal texts; keys play no part
+                code = lang[at]
+                for k in range(length):
+                    _, first, code, n = np.unique(code << 32 | ids[at + k], return_index=True, return_inverse=True, return_counts=True)
+                spelt = np.stack([ids[at[first] + k] for k in range(length)], axis=1).tolist()
+                texts = pa.array([b" ".join([word[i] for i in phrase]) for phrase in spelt], pa.binary()).cast(pa.string())
+                rows.append(pa.table([langs.take(pa.array(lang[at[first]])), texts, pa.array(np.full(len(n), length, np.int32)), pa.array(found[first].view(np.int64)), pa.array(n)], names))
+            if rows:
+                yield from pa.concat_tables(rows).to_batches(max_chunksize=50_000)
+
+    counted = _texts(docs).mapInArrow(task, "lang string, phrase string, words int, key long, n long")
+    return counted.groupBy("lang", "phrase", "words", "key").agg(F.sum("n").alias("f"))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
+    """``(lang, phrase, words, key, f)`` of every phrase of up to four words that occurs ``least`` times; ``words`` 0 has the number of all words of the language.
+
+    The first full pass counts keys, as it meets most border phrases; later ones count texts, the second those of all phrases known by then.
+    """
+    often = F.col("f") >= least
     proposals = [bitmap(key_counts(docs, None, share).where(F.col("n") >= SAMPLE_LEAST), size)]
-    known = None
+    keys = shared.saved(key_counts(docs, proposals).where(F.col("n") >= least).select("key"), "frequent-keys")
+    counts = None
     while True:
-        found = key_counts(docs, proposals).where(F.col("n") >= least).select("key")
-        known = shared.saved(found if known is None else known.union(found), "frequent-keys")
+        proposals.append(bitmap(keys, size))
         latest = proposals[-1]
+        found = text_counts(docs, proposals, known=counts is None).where(often | (F.col("words") == 0))
+        found = shared.saved(found, "phrase-counts")
+        counts = found if counts is None else counts.unionByName(found)
 
         def outside(batches, latest=latest):
             for batch in batches:
                 key = np.asarray(batch.column("key")).view(np.uint64)
-                out = ~Proposals(latest.value).has(key) & ((key & np.uint64(3)) < np.uint64(LONGEST - 1))
-                yield batch.filter(pa.array(out))
+                yield batch.filter(pa.array(~Proposals(latest.value).has(key) & ((key & np.uint64(3)) < np.uint64(LONGEST - 1))))
 
-        if known.mapInArrow(outside, "key long").isEmpty():
+        if found.where("words > 0").select("key").mapInArrow(outside, "key long").isEmpty():
             for used in proposals:
                 used.destroy()
-            return known
-        proposals.append(bitmap(known, size))
-
-
-def phrase_counts(docs: DataFrame, least: int = LEAST, share: float = SAMPLE_SHARE, size: int = BITS) -> DataFrame:
-    """``(lang, phrase, words, f)`` of every phrase of up to four words that occurs ``least`` times; ``words`` 0 has the number of all words of the language."""
-    known = bitmap(frequent_keys(docs, least, share, size), size)
-
-    def task(batches):
-        names = ["lang", "phrase", "words", "n"]
-        for stretch in stretches(batches):
-            word, langs = list(stretch.words), list(stretch.langs)
-            ids, lang = stretch.arrays()
-            n = np.bincount(lang[ids > 0], minlength=len(langs))
-            rows = [pa.table([pa.array(langs, pa.string()), pa.array([""] * len(langs)), pa.array([0] * len(langs), pa.int32()), pa.array(n)], names)]
-            own, texts, voices = np.zeros(len(ids) + 1, np.int64), [], []
-            for length, at, _, _, member in phrase_keys(stretch, [Proposals(known.value)]):
-                at = at[member]
-                code = (own[at] if length > 1 else lang[at]) << 32 | ids[at + (length - 1)]
-                code, place, n = np.unique(code, return_inverse=True, return_counts=True)
-                own[at] = place
-                before, last = (code >> 32).tolist(), (code & 0xFFFFFFFF).tolist()
-                texts = [texts[a] + b" " + word[b] for a, b in zip(before, last, strict=True)] if length > 1 else [word[b] for b in last]
-                voices = [voices[a] for a in before] if length > 1 else [langs[a] for a in before]
-                rows.append(pa.table([pa.array(voices, pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([length] * len(n), pa.int32()), pa.array(n)], names))
-            yield from pa.concat_tables(rows).to_batches(max_chunksize=50_000)
-
-    counted = _texts(docs).mapInArrow(task, "lang string, phrase string, words int, n long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+            return counts
+        keys = keys.union(found.where("words > 0").select("key"))
 
 
 def _part(first: str, last: str) -> str:
@@ -232,7 +244,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: flo
     stretch. ``share`` of the documents proposes, in a bitmap of ``size`` bits; the result depends on neither.
     """
     spark = docs.sparkSession
-    counts = shared.saved(phrase_counts(docs, least, share, size), "phrase-counts")
+    counts = phrase_counts(docs, least, share, size)
     candidates = counts.where("words > 1")
     spans = [(length, k, m) for length in range(3, LONGEST + 1) for m in range(2, length) for k in range(1, length - m + 2)]
     inner = F.array_distinct(F.array(*[F.when(F.col("words") == length, F.expr(_part(str(k), str(k + m - 1)))) for length, k, m in spans]))
