@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from awardforge.llm import pii
 
@@ -104,3 +105,28 @@ def test_empty_table(spark):
 
 def test_digest_is_of_base_spans():
     assert hashlib.sha256(",".join(brute("a@b.c x")).encode()).hexdigest() == hashlib.sha256(b"email:0:5").hexdigest()
+
+
+def test_a_text_of_twenty_thousand_matches(spark):
+    rng = random.Random(5)
+    text = " ".join(f"+1 {rng.randint(200, 999)} {rng.randint(1000000, 9999999)}{'é' if i % 7 == 0 else ' ok'}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text, "x"), (2, "short", "x")], SCHEMA)
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.base_spans(df.drop("base")).collect()}
+    assert time.time() - start < 5
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in rows[1].base] == brute(text)
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[1] == re.sub(r"\+[0-9][\x20().0-9-]+[0-9]", "[PHONE]", text) and clean[2] == "short"
+
+
+def test_a_hot_entity_and_overlapping_spans(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}um" for a in "bcdfghkl" for b in ("ar", "el", "in", "os")]
+    fill = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, f"{fill(8)} éQuillon quillon@corp.example +1 4149601755386017 {fill(5)} 1.2.3.4@x.org Quillon", "x") for i in range(40)]
+    docs += [(100 + i, f"Vendrake {fill(6)} vend@rake.example {fill(3)} VENDRAKE", "x") for i in range(12)] + [(200 + i, fill(20), "x") for i in range(120)]
+    texts = {d: t for d, t, _ in docs}
+    rows = pii.find_spans(spark.createDataFrame(docs, SCHEMA)).collect()
+    found = {(r.doc_id, texts[r.doc_id][s["start"] : s["end"]]) for r in rows for s in r.terms}
+    assert {(i, w) for i in range(40) for w in ("éQuillon", "Quillon")} <= found and (100, "VENDRAKE") in found
+    assert found == {(d, w) for d, ws in plain_terms(docs).items() for w in ws}
