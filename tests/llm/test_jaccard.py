@@ -58,3 +58,43 @@ def test_classes_equal_brute_force_jaccard(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "d"))
     assert dict(jaccard.near_duplicates(df).collect()) == want
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+
+
+def template_pages():
+    """Pages of one template with a quarter of their own words, some with an altered copy."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(120)]
+    docs = []
+    for i in range(150):
+        own = [f"p{i}x{rng.randrange(10**6)}" for _ in range(40)]
+        docs.append(" ".join(template + own))
+        if i % 10 == 0:
+            docs.append(" ".join(template + own[:-1] + ["changed"]))
+            docs.append(" ".join(template[3:] + own))
+    return list(enumerate(docs))
+
+
+def test_pages_of_one_template_meet_only_if_alike(spark, tmp_path):
+    docs = template_pages()
+    want = brute_classes(docs)
+    assert len(set(want.values())) == 150
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    assert dict(jaccard.near_duplicates(df).collect()) == want
+    nodes = jaccard.marks(df, 5).selectExpr("node", "n", "node as part")
+    pairs = jaccard._meeting(nodes, jaccard._sets(df, 5)).count()
+    assert 45 <= pairs < 100  # of 16,110
+
+
+def test_prefixes_lose_no_alike_pair(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abc") for _ in range(80)]
+    cut = lambda: (lambda at, n: base[at : at + n])(rng.randrange(60), rng.choice([5, 6, 9, 12, 14, 19, 20, 30]))
+    docs = [(i, " ".join(cut() + rng.choice([[], [], cut()]))) for i in range(250)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    sets = jaccard._sets(df, 5).dropDuplicates(["node"])
+    node = {r.node: frozenset(r.codes) for r in sets.collect()}
+    nodes = sets.selectExpr("node", "cast(size(codes) as long) n", "node as part")
+    met = {(r.a, r.b) for r in jaccard._meeting(nodes, sets).collect()}
+    want = {(a, b) for a in node for b in node if a < b and 5 * len(node[a] & node[b]) >= 4 * len(node[a] | node[b])}
+    assert want and want <= met
