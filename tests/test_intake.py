@@ -117,3 +117,20 @@ def test_titles_that_name_a_person(spark):
     df = spark.createDataFrame([(t,) for t in named + plain], "title string")
     out = [r.title for r in privacy.withhold_titles(df, ("title", "absent")).collect()]
     assert out == [privacy.WITHHELD] * len(named) + plain
+
+
+def test_only_awards_that_a_band_can_reach_travel(spark):
+    rng, start = random.Random(5), dt.date(1990, 1, 1)
+    rows = [dict(award_id=f"a{k:05}", candidate_id=f"RC-a{k:05}", naics="541512", psc="D302", component="m", award_type="BPA CALL", value=float(rng.randint(10**6, 10**7)), pop_start=start, current_end=start + dt.timedelta(700), signed=start + dt.timedelta(rng.randint(0, 3600)), pricing_code="J") for k in range(4000)]
+    df = spark.createDataFrame(rows)
+    pool = pricing.pool(df)
+    assert pricing._needed(pool).count() * 2 < pool.count() == 4000
+    some = df.where("award_id < 'a00060'")
+    rates = {r.award_id: r.rate for r in df.select("award_id", pricing.run_rate().alias("rate")).collect()}
+    got = {}
+    for r in pricing.comparables(some, df).select("candidate_id", "comp_id").collect():
+        got.setdefault(r.candidate_id, set()).add(r.comp_id)
+    for one in rows[:60]:
+        mine = rates[one["award_id"]]
+        near = [x for x in rows if x is not one and 4 * rates[x["award_id"]] >= mine and rates[x["award_id"]] <= 4 * mine and x["signed"] >= dt.date(1995, 1, 1)]
+        assert got[one["candidate_id"]] == {x["award_id"] for x in sorted(near, key=lambda x: (-x["signed"].toordinal(), x["award_id"]))[:40]}
