@@ -185,3 +185,13 @@ def test_stream_folds_late_and_repeated_files_and_forgets_keys():
     row = dict(zip(digest.OUT, digest._row("a", state), strict=True))
     assert (row["mod_count"], row["first_action"], row["first_ceiling_key"], row["last_ceiling_key"], row["bridge_end"], row["obligation_cents"]) == (2, "2020-01-01", "t0", "t1", "2021-01-01", -1_999_500)
     assert digest.fold(state, [make(obligation=1), make(obligation=1)]) and state["mod_count"] == 4
+
+
+def test_a_share_just_under_a_whole_tenth_is_not_rounded_up(spark):
+    from awardforge.operators import rollups
+
+    # (2000 part + whole) / (2 whole) is 500 less 2e-7
+    row = spark.sql("select cast(4995000000 - 1 as decimal(38,2)) as part, cast(10000000000 as decimal(38,2)) as whole")
+    assert row.select(rollups.permille(F.col("part"), F.col("whole")).alias("x")).first().x == 499
+    firms = spark.sql("select 'a' as vendor, cast(4994999999 as decimal(18,2)) as value union all select 'b', 5005000001 - cast(0 as decimal(18,2))").selectExpr("vendor", "cast(value as decimal(18,2)) as value")
+    assert {(r.vendor, r.cumulative_permille) for r in rollups.pareto(firms).collect()} == {("b", 501), ("a", 1000)}
