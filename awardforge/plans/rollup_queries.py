@@ -8,6 +8,7 @@ from awardforge.functions import rules
 from awardforge.functions.rules import AS_OF
 from awardforge.operators import rollups
 from awardforge.plans.award_queries import awards, cand, money, registered, scored
+from awardforge.plans.market_queries import _staged
 
 _IN = "CASE WHEN days_left BETWEEN 0 AND {} THEN value END"
 _PERMILLE = "CASE WHEN {1} > 0 THEN CAST((CAST(({0}) * 100 AS HUGEINT) * 2000 + CAST(({1}) * 100 AS HUGEINT)) // (CAST(({1}) * 100 AS HUGEINT) * 2) AS BIGINT) END"
@@ -53,7 +54,7 @@ def h4(s, d):
     (SELECT vendor FROM scored WHERE days_left BETWEEN 0 AND 365 GROUP BY vendor ORDER BY sum(value) DESC, vendor LIMIT 1) AS top_vendor FROM scored""",
 )
 def h5(s, d):
-    return money(rollups.kpis(scored(s, d)))
+    return money(rollups.kpis(_staged(s, "book", scored(s, d).select("value", "days_left", "tier", "status", "parent_idv", "component", "vendor"))))
 
 
 @registered(

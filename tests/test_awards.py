@@ -195,3 +195,15 @@ def test_a_share_just_under_a_whole_tenth_is_not_rounded_up(spark):
     assert row.select(rollups.permille(F.col("part"), F.col("whole")).alias("x")).first().x == 499
     firms = spark.sql("select 'a' as vendor, cast(4994999999 as decimal(18,2)) as value union all select 'b', 5005000001 - cast(0 as decimal(18,2))").selectExpr("vendor", "cast(value as decimal(18,2)) as value")
     assert {(r.vendor, r.cumulative_permille) for r in rollups.pareto(firms).collect()} == {("b", 501), ("a", 1000)}
+
+
+def test_what_is_read_often_is_built_once(spark):
+    from awardforge.plans.award_queries import scored
+    from awardforge.plans.market_queries import g1, j6, j7
+    from awardforge.plans.rollup_queries import h5
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    d = "/root/testdata/sf0.001"
+    assert not any("l_orderkey" in plan(q(spark, d)) for q in (g1, j6, j7, h5))
+    # the score is not copied into a filter on the tier
+    assert not any("Filter" in line and "IGF" in line for line in plan(scored(spark, d).where("tier like 'Tier 1%' or tier like 'Tier 2%'")).splitlines())
