@@ -16,3 +16,28 @@ def test_transactions_are_dealt_by_award_before_the_digest_and_long_methods_are_
     dealt = [k for k, x in enumerate(plan) if "Exchange" in x or "Repartition" in x]
     assert dealt and min(dealt) > max(k for k, x in enumerate(plan) if "Aggregate" in x)
     assert [tuple(r) for r in history.digest(rows).selectExpr("award_key", "mod_count", "size(negatives)", "size(terminations)").collect()] == [("A1", 1, 1, 0)]
+
+
+def test_stream_folds_with_sparks_own_state_and_a_retention_gives_the_same(spark, tmp_path):
+    from awardforge.streaming import digest
+
+    rows = [
+        ("A", "t1", "P1", "2000-01-01", "C", None, -20000, 5, "2001-01-01", None, "A"), ("A", "t1", "P1", "2000-01-01", "C", None, -20000, 5, "2001-01-01", None, "A"),
+        ("A", "t2", "P2", "2000-02-01", "F", None, 7, 9, None, "2001-03-01", "B"), ("A", "t3", "P3", "2000-03-01", "C", "D", 1, 1, None, None, "A"),
+        ("B", "t1", "P1", None, "C", None, None, None, None, None, None), ("C", None, "P1", "2000-01-01", "C", None, 1, None, None, None, None), ("C", "", "P1", "2000-01-01", "C", None, 1, None, None, None, None),
+    ]
+    money = ("obligation", "ceiling_total")
+    frame = spark.sql("select * from values " + ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in rows) + " as t(" + ", ".join(digest.FIELDS) + ")")
+    frame = frame.selectExpr(*[f"cast({c} as decimal(18,2)) {c}" if c in money else f"cast({c} as date) {c}" if c in ("action_date", "potential_end", "current_end") else f"cast({c} as string) {c}" for c in digest.FIELDS])
+    frame.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    # no Python call an award
+    assert "Pandas" not in digest.aggregated(stream)._jdf.queryExecution().analyzed().toString()
+    found = []
+    for name, retention in (("own", None), ("python", 10**9)):
+        digest.stream_digest(spark, f"{tmp_path}/in", frame.schema, f"{tmp_path}/{name}-state", f"{tmp_path}/{name}", files=1, retention_ms=retention)
+        x = digest.current(spark, f"{tmp_path}/{name}")
+        found.append({r.award_key: r for r in x.select(*sorted(x.columns)).collect()})
+    assert found[0] == found[1]
+    assert (found[0]["A"].mod_count, found[0]["A"].obligation, found[0]["C"].mod_count, found[0]["B"].obligation) == (2, -19993, 2, 0)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "false") == "false"
