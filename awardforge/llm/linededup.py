@@ -5,9 +5,10 @@ with a shingle at least, a chunk of documents computes the signatures of the dis
 one-permutation hashing and cuts them into bands. The entries of one band are sorted by their similarity marks
 in several rotations, and each is compared with those next to it in each order: all pairs of a band of
 ``NEAR + 1`` entries, the likeliest ones of a larger one, so the work of a chunk grows with its lines and not with their square.
-What the marks do not rule out is verified exactly. Where a chunk has few lines in a band, all of them leave the
-chunk, else those that are like none before them in the band, packed by range of the band key; so a band
-of copies sends few entries a chunk. There the same is done with the entries of all chunks.
+What the marks do not rule out is verified exactly. All entries leave the chunk, packed by range of the band key, and the same
+is done with those of all chunks. What the neighbours may miss in a larger band is found exactly: the lines of such bands
+that are still in different components are joined on their rarest shingles (prefix filter), so no pair that shares a
+larger band is left out unless it is in one component already.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from .lm import packed, unpacked
 
 SHINGLE, ROWS, BANDS, SIMILARITY = 5, 6, 20, 0.8
 CHUNK_BYTES = 3_000_000
-FEW = 4
 NEAR, ROTATIONS = 4, 8
 #: One bit of each of 31 signature bins travels with a line. Lines of similarity s agree in (1 + s) / 2 of them:
 #: 28 of 31 on average at 0.8 and 17 at 0.1, so pairs below this are not worth an exact comparison. A line of fewer
@@ -124,7 +124,7 @@ def alike(a: frozenset, b: frozenset) -> bool:
 
 
 def _find(ranges: int):
-    """Rows of one chunk: verified links (range -1) and packed leaders by range of the band key."""
+    """Rows of one chunk: verified links (range -1) and packed entries by range of the band key."""
     edges = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
     names = ["r", "keys", "nodes", "marks"]
 
@@ -157,27 +157,13 @@ def _find(ranges: int):
             met.append(np.minimum(x, y)[like] * len(nodes) + np.maximum(x, y)[like])
         met = np.unique(np.concatenate(met))
         sets: dict[int, frozenset] = {}
-        links, beside = [], {}
+        links = []
         for a, b in zip((met // max(len(nodes), 1)).tolist(), (met % max(len(nodes), 1)).tolist(), strict=True):
             for x in (a, b):
                 if x not in sets:
                     sets[x] = shingle_sets([texts[x]])[0]
             if alike(sets[a], sets[b]):
                 links.append((a, b))
-                beside.setdefault(a, []).append(b)
-                beside.setdefault(b, []).append(a)
-        leads = np.ones(len(flat), bool)
-        for k in np.flatnonzero(np.diff(run) > FEW).tolist():
-            places = list(range(run[k], run[k + 1]))
-            # another order in each band, so that a line meets other leaders in the next one
-            places.sort(key=lambda at: (int(owner[at]) * 0x9E3779B1 ^ int(flat[at])) & 0xFFFFFFFF)
-            led: set[int] = set()
-            for at in places:
-                x = int(owner[at])
-                leads[at] = led.isdisjoint(beside.get(x, ()))
-                if leads[at]:
-                    led.add(x)
-        flat, owner = flat[leads], owner[leads]
         cuts = [0, *np.searchsorted(flat, edges).tolist(), len(flat)]
         out = [(r, packed(np.diff(flat[a:b], prepend=np.uint64(0))), packed(nodes[owner[a:b]]), packed(marks[owner[a:b]])) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
         if links:
@@ -237,11 +223,12 @@ def _near(key: np.ndarray, mark: np.ndarray):
 
 
 def _pair(group: pa.Table) -> pa.Table:
-    """Candidate pairs of one range of band keys; links that chunks found themselves pass through."""
+    """Candidate pairs of one range of band keys (kind 0); links that chunks found themselves pass through (kind 1). A band of more lines than are
+    all compared is listed too, a row for each line and its key (kind 2)."""
     if not group.num_rows or group.column("r")[0].as_py() < 0:
         links = [(unpacked(a.as_py(), "<u8"), unpacked(b.as_py(), "<u8")) for a, b in zip(group.column("keys"), group.column("nodes"), strict=True)]
         a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.uint64),) * 2
-        done = True
+        crowd, kind = np.zeros((0, 2), np.uint64), 1
     else:
         key = np.concatenate([np.cumsum(unpacked(x.as_py(), "<u8")) for x in group.column("keys")])
         node = np.concatenate([unpacked(x.as_py(), "<u8") for x in group.column("nodes")])
@@ -261,9 +248,12 @@ def _pair(group: pa.Table) -> pa.Table:
             x, y = node[i[like]], node[j[like]]
             pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        a, b, done = pairs[:, 0], pairs[:, 1], False
-    table = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
-    return pa.Table.from_arrays([*table, pa.array(np.full(len(a), done))], names=["a", "b", "done"])
+        a, b, kind = pairs[:, 0], pairs[:, 1], 0
+        _, band, size = np.unique(key, return_inverse=True, return_counts=True)
+        large = size[band] > NEAR + 1 if len(key) else np.zeros(0, bool)
+        crowd = np.stack([node[large], key[large]], axis=1)
+    table = [pa.array(np.ascontiguousarray(np.concatenate(x)).view(np.int64)) for x in ((a, crowd[:, 0]), (b, crowd[:, 1]))]
+    return pa.Table.from_arrays([*table, pa.array(np.repeat([kind, 2], [len(a), len(crowd)]), pa.int32())], names=["a", "b", "kind"])
 
 
 def line_links(docs: DataFrame) -> DataFrame:
@@ -274,9 +264,10 @@ def line_links(docs: DataFrame) -> DataFrame:
     found = docs.select("text").mapInArrow(_find(ranges), "r int, keys binary, nodes binary, marks binary")
     # links found inside chunks are dealt over many groups, as one would grow with the input
     found = found.withColumn("g", F.when(F.col("r") < 0, -1 - F.pmod(F.xxhash64("keys"), F.lit(ranges))).otherwise(F.col("r")))
-    pairs = shared.saved(found.groupBy("g").applyInArrow(_pair, "a long, b long, done boolean"), "pairs")
-    open_pairs = pairs.where("not done").select("a", "b").distinct()
-    needed = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = shared.saved(found.groupBy("g").applyInArrow(_pair, "a long, b long, kind int"), "pairs")
+    open_pairs = pairs.where("kind = 0").select("a", "b").distinct()
+    crowded = pairs.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    needed = open_pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node")).distinct()
 
     def texts(batches):
         from itertools import islice
@@ -299,7 +290,27 @@ def line_links(docs: DataFrame) -> DataFrame:
             good = [alike(sets[a], sets[b]) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.where("done").select("a", "b").union(both.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long"))
+    links = shared.saved(pairs.where("kind = 1").select("a", "b").union(both.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long")), "line-near")
+    return links.union(_rest_of_crowds(crowded, lines, links))
+
+
+def _rest_of_crowds(crowded: DataFrame, lines: DataFrame, links: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between lines of large bands ``(node, key)`` that are in different components so far: all pairs that are alike."""
+    from . import jaccard
+
+    placed = crowded.join(components(links, "line-parts"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    undone = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    rest = shared.saved(placed.join(undone, "key", "left_semi").select("node", "part").distinct(), "crowds")
+
+    def codes(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column("line").to_pylist())
+            arrays = [np.fromiter(s, np.uint64, len(s)).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), pa.array([len(s) for s in sets], pa.int64()), pa.array(arrays, pa.list_(pa.int64()))], names=["node", "part", "n", "codes"])
+
+    sets = shared.saved(lines.join(rest, "node").select("node", "part", "line").mapInArrow(codes, "node long, part long, n long, codes array<long>"), "crowd-shingles")
+    met = jaccard._meeting(sets.select("node", "n", "part"), sets.select("node", "codes"))
+    return jaccard._confirmed(met, sets.select("node", "codes"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
