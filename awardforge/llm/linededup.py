@@ -31,6 +31,8 @@ NEAR, ROTATIONS = 4, 8
 AGREE, MARKED, SHORT = 21, 30, np.uint32(1 << 31)
 #: Into how many parts the members of one class are dealt where they meet its kept line.
 SALTS = 16
+#: Buckets of shingles whose frequencies go to all tasks.
+BUCKETS = 1 << 16
 _NONE = np.uint64(2**64 - 1)
 _UNTIDY = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c", b"\n ", b" \n")
 
@@ -256,6 +258,16 @@ def _pair(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([*table, pa.array(np.repeat([kind, 2], [len(a), len(crowd)]), pa.int32())], names=["a", "b", "kind"])
 
 
+def _verify(batches):
+    """The pairs ``(a, b, la, lb)`` whose lines are alike."""
+    for batch in batches:
+        ends = [dict(zip(batch.column(n).to_pylist(), batch.column(t).to_pylist(), strict=True)) for n, t in (("a", "la"), ("b", "lb"))]
+        texts = ends[0] | ends[1]
+        sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+        good = [alike(sets[a], sets[b]) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
 def line_links(docs: DataFrame) -> DataFrame:
     """Links ``(a long, b long)`` between hashes of lines with a Jaccard similarity of 0.8 or more."""
     spark = docs.sparkSession
@@ -282,35 +294,62 @@ def line_links(docs: DataFrame) -> DataFrame:
     lines = shared.saved(lines, "lines")
     both = open_pairs.join(lines.withColumnsRenamed({"node": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"node": "b", "line": "lb"}), "b")
 
-    def verify(batches):
-        for batch in batches:
-            ends = [dict(zip(batch.column(n).to_pylist(), batch.column(t).to_pylist(), strict=True)) for n, t in (("a", "la"), ("b", "lb"))]
-            texts = ends[0] | ends[1]
-            sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
-            good = [alike(sets[a], sets[b]) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    links = shared.saved(pairs.where("kind = 1").select("a", "b").union(both.select("a", "b", "la", "lb").mapInArrow(verify, "a long, b long")), "line-near")
+    links = shared.saved(pairs.where("kind = 1").select("a", "b").union(both.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")), "line-near")
     return links.union(_rest_of_crowds(crowded, lines, links))
 
 
 def _rest_of_crowds(crowded: DataFrame, lines: DataFrame, links: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between lines of large bands ``(node, key)`` that are in different components so far: all pairs that are alike."""
-    from . import jaccard
-
     placed = crowded.join(components(links, "line-parts"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     undone = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     rest = shared.saved(placed.join(undone, "key", "left_semi").select("node", "part").distinct(), "crowds")
 
-    def codes(batches):
+    held = shared.saved(lines.join(rest, "node").select("node", "part", "line"), "crowd-lines")
+    counted = held.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    often = np.zeros(BUCKETS, np.int64)
+    for r in counted:
+        often[r["bucket"]] = r["n"]
+    prefixes = held.select("node", "part", "line").mapInArrow(_prefixes(often), "node long, part long, n int, code long, least boolean, most boolean")
+    lesser = prefixes.where("least").select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("p"), "code")
+    greater = prefixes.where("most").select(F.col("node").alias("b"), "n", F.col("part").alias("q"), "code")
+    met = lesser.join(greater, "code").where("m <= n and p <> q and 5 * m >= 4 * n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(lines.withColumnsRenamed({"node": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"node": "b", "line": "lb"}), "b")
+    return both.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")
+
+
+def _bucket_counts(batches):
+    """How many lines hold a shingle of each of ``BUCKETS`` buckets: as many rows a task, whatever its input."""
+    often = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for s in shingle_sets(batch.column("line").to_pylist()):
+            often += np.bincount(_bucket(np.fromiter(s, np.uint64, len(s))), minlength=BUCKETS)
+    there = np.flatnonzero(often)
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(often[there])], names=["bucket", "n"])
+
+
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return (code >> np.uint64(48)).astype(np.int64)
+
+
+def _prefixes(often: np.ndarray):
+    """The first shingles of each line in the order of their buckets' frequency: any order that all lines share is exact, and in this one shingles of a template come last.
+
+    If two lines are alike, the first ones of the greater set, as many as it may lack and one more, hold one of the first ones of the lesser.
+    """
+
+    def task(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("line").to_pylist())
-            arrays = [np.fromiter(s, np.uint64, len(s)).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), pa.array([len(s) for s in sets], pa.int64()), pa.array(arrays, pa.list_(pa.int64()))], names=["node", "part", "n", "codes"])
+            rows = [[] for _ in range(6)]
+            for node, part, s in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), shingle_sets(batch.column("line").to_pylist()), strict=True):
+                code, n = np.fromiter(s, np.uint64, len(s)), len(s)
+                most, least = n - (4 * n + 4) // 5 + 1, n - (8 * n + 8) // 9 + 1
+                code = code[np.lexsort((code, often[_bucket(code)]))][:most]
+                for column, values in zip(rows, (np.full(most, node), np.full(most, part), np.full(most, n, np.int32), code.view(np.int64), np.arange(most) < least, np.ones(most, bool)), strict=True):
+                    column.append(values[: len(code)])
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["node", "part", "n", "code", "least", "most"])
 
-    sets = shared.saved(lines.join(rest, "node").select("node", "part", "line").mapInArrow(codes, "node long, part long, n long, codes array<long>"), "crowd-shingles")
-    met = jaccard._meeting(sets.select("node", "n", "part"), sets.select("node", "codes"))
-    return jaccard._confirmed(met, sets.select("node", "codes"))
+    return task
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
