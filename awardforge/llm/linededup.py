@@ -6,16 +6,19 @@ one-permutation hashing and cuts them into bands. The entries of one band are so
 in several rotations, and each is compared with those next to it in each order: all pairs of a band of
 ``NEAR + 1`` entries, the likeliest ones of a larger one, so the work of a chunk grows with its lines and not with their square.
 What the marks do not rule out is verified exactly. All entries leave the chunk, packed by range of the band key, and the same
-is done with those of all chunks. What the neighbours may miss in a larger band is found exactly: the lines of such bands
-that are still in different components are joined on their rarest shingles (prefix filter), so no pair that shares a
+is done with those of all chunks. What the neighbours may miss in a larger band is found exactly: lines of such a band
+that are still in different components are compared by sketches that rule out no alike pair, and in a band over ``DIRECT`` lines
+they are joined on their rarest shingles first (prefix filter), so no pair that shares a
 larger band is left out unless it is in one component already.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -33,6 +36,10 @@ AGREE, MARKED, SHORT = 21, 30, np.uint32(1 << 31)
 SALTS = 16
 #: Buckets of shingles whose frequencies go to all tasks.
 BUCKETS = 1 << 16
+#: Words of 64 bits of a line's sketch, and of one for lines of large bands.
+SKETCH, LONG = tuple(f"s{k}" for k in range(4)), tuple(f"s{k}" for k in range(16))
+#: Lines of a band up to this size meet each other there, by their sketches; those of larger ones meet on shingles.
+DIRECT = 4096
 _NONE = np.uint64(2**64 - 1)
 _UNTIDY = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c", b"\n ", b" \n")
 
@@ -90,16 +97,25 @@ def signatures(code: np.ndarray, line: np.ndarray, n: int, width: int) -> np.nda
     out = out.reshape(n, width)
     filled = out != _NONE
     row, column = np.nonzero(~filled & filled.any(axis=1)[:, None])
-    turn = 1
+    order, turn = _search_order(width), 0
     while len(row):
-        # after many turns the bins are tried one by one, so that each search ends
-        other = (shared.mix(column.astype(np.uint64) + np.uint64(width * turn)) % np.uint64(width)).astype(np.int64) if turn < 4 * width else (column + turn) % width
-        hit = filled[row, other]
-        out[row[hit], column[hit]] = out[row[hit], other[hit]]
-        row, column, turn = row[~hit], column[~hit], turn + 1
+        # several turns at once, more of them the fewer bins are left
+        tried = order[turn : turn + (2 if turn < 4 else 4 if turn < 16 else 32)]
+        hits = filled[row[:, None], tried.T[column]]
+        hit = hits.any(axis=1)
+        other = tried[hits[hit].argmax(axis=1), column[hit]]
+        out[row[hit], column[hit]] = out[row[hit], other]
+        row, column, turn = row[~hit], column[~hit], turn + len(tried)
     return out
 
 
+@lru_cache
+def _search_order(width: int) -> np.ndarray:
+    """In which bin each bin looks at each turn; after many turns the bins are tried one by one, so that each search ends."""
+    turn, column = np.arange(1, 5 * width, dtype=np.uint64)[:, None], np.arange(width, dtype=np.uint64)
+    return np.where(turn < 4 * width, shared.mix(column + np.uint64(width) * turn) % np.uint64(width), (column + turn) % np.uint64(width)).astype(np.int64)
+
+
 def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     out = np.empty((len(signature), bands), np.uint64)
     for b in range(bands):
@@ -117,6 +133,50 @@ def shingle_sets(lines: list[bytes]) -> list[frozenset]:
     return [frozenset(code[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def distinct_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each line, the line each belongs to, in ascending order, and how many each line has."""
+    code, line = shingle_hashes(lines)
+    order = np.lexsort((code, line))
+    code, line = code[order], line[order]
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
+    return code[fresh], line[fresh], np.bincount(line[fresh], minlength=len(lines))
+
+
+def sketches(code: np.ndarray, line: np.ndarray, n: int, words: int) -> np.ndarray:
+    """For each of ``n`` lines whether its number of shingles is odd in each class of hashes, in so many words: sketches differ in no more bits than the sets in shingles."""
+    bits = 64 * words
+    odd = np.bincount(line * bits + (code % np.uint64(bits)).astype(np.int64), minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _sketched(words: tuple[str, ...]):
+    def task(batches):
+        for batch in batches:
+            code, line, n = distinct_shingles(batch.column("line").to_pylist())
+            made = sketches(code, line, len(n), len(words)).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32()), *map(pa.array, made)], names=[*batch.schema.names, "n", *words])
+
+    return task
+
+
+def _with_sketch(lines: DataFrame, words: tuple[str, ...] = SKETCH) -> DataFrame:
+    """Rows with a ``line`` and the number ``n`` of its shingles and its sketch."""
+    kinds = [f"{c} {t}" for c, t in lines.dtypes] + ["n int"] + [f"{w} long" for w in words]
+    return lines.mapInArrow(_sketched(words), ", ".join(kinds))
+
+
+def _end(df: DataFrame, x: str) -> DataFrame:
+    """One end of a pair: ``node`` is called ``x``, and all columns that both ends have end in ``x``."""
+    return df.withColumnsRenamed({c: x if c == "node" else f"{c}_{x}" for c in df.columns if c not in ("key", "code")})
+
+
+def _may_be_alike(words: tuple[str, ...] = SKETCH) -> Column:
+    """Whether the sets of ends ``a`` and ``b`` can be alike by their sketches: alike ones differ in a ninth of both together at most, so no alike pair is lost."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    return 9 * apart <= F.col("n_a") + F.col("n_b")
+
+
 def alike(a: frozenset, b: frozenset) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if len(small) < SIMILARITY * len(large):
@@ -291,38 +351,55 @@ def line_links(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([t for _, t in some], pa.binary())], names=["node", "line"])
 
     lines = docs.select("text").mapInArrow(texts, "node long, line binary").join(needed, "node", "left_semi").dropDuplicates(["node"])
-    lines = shared.saved(lines, "lines")
-    both = open_pairs.join(lines.withColumnsRenamed({"node": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"node": "b", "line": "lb"}), "b")
+    lines = shared.saved(_with_sketch(lines), "lines")
+    # pairs meet the sketches first, and few are left for the texts
+    sketch = lines.drop("line")
+    near = open_pairs.join(_end(sketch, "a"), "a").join(_end(sketch, "b"), "b").where(_may_be_alike()).select("a", "b")
 
-    links = shared.saved(pairs.where("kind = 1").select("a", "b").union(both.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")), "line-near")
+    links = shared.saved(pairs.where("kind = 1").select("a", "b").union(_verified(near, lines)), "line-near")
     return links.union(_rest_of_crowds(crowded, lines, links))
 
 
+def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The ``pairs (a, b)`` whose ``lines`` are alike."""
+    lines = lines.select("node", "line")
+    both = pairs.join(lines.withColumnsRenamed({"node": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"node": "b", "line": "lb"}), "b")
+    return both.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")
+
+
 def _rest_of_crowds(crowded: DataFrame, lines: DataFrame, links: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between lines of large bands ``(node, key)`` that are in different components so far: all pairs that are alike."""
     placed = crowded.join(components(links, "line-parts"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    undone = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    rest = shared.saved(placed.join(undone, "key", "left_semi").select("node", "part").distinct(), "crowds")
-
+    undone = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q").select("key", (F.col("size") > DIRECT).alias("large"))
+    rest = shared.saved(placed.join(undone, "key"), "crowds")
+    lines = lines.select("node", "line")
+    small = rest.where("not large").select("key", "node", "part")
+    sketch = shared.saved(_with_sketch(lines.join(small, "node", "left_semi"), LONG).drop("line"), "crowd-sketches")
+    small = small.join(sketch, "node")
+    met = _end(small, "a").join(_end(small, "b"), "key").where("a < b and part_a <> part_b and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a").where(_may_be_alike(LONG))
+    return _verified(met.select("a", "b").union(_met_on_shingles(rest.where("large").select("node", "part").distinct(), lines)).distinct(), lines)
+
+
+def _met_on_shingles(rest: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different parts that may be alike, by the rarest shingles of their lines."""
     held = shared.saved(lines.join(rest, "node").select("node", "part", "line"), "crowd-lines")
     counted = held.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     often = np.zeros(BUCKETS, np.int64)
     for r in counted:
         often[r["bucket"]] = r["n"]
-    prefixes = held.select("node", "part", "line").mapInArrow(_prefixes(often), "node long, part long, n int, code long, least boolean, most boolean")
-    lesser = prefixes.where("least").select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("part").alias("p"), "code")
-    greater = prefixes.where("most").select(F.col("node").alias("b"), "n", F.col("part").alias("q"), "code")
-    met = lesser.join(greater, "code").where("m <= n and p <> q and 5 * m >= 4 * n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(lines.withColumnsRenamed({"node": "a", "line": "la"}), "a").join(lines.withColumnsRenamed({"node": "b", "line": "lb"}), "b")
-    return both.select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")
+    prefixes = held.mapInArrow(_prefixes(often), "node long, part long, n int, place int, code long, " + ", ".join(f"{w} long" for w in SKETCH))
+    # a is the lesser set and meets others by its first shingles only; the conditions are on both ends, as both are to be one shuffle
+    first = "n_a <= n_b and if(n_a <= n_b, place_a, place_b) <= n_a - (8 * n_a + 8) div 9"
+    left = "9 * (least(place_a, place_b) + least(n_a - place_a, n_b - place_b)) >= 4 * (n_a + n_b)"
+    met = _end(prefixes, "a").join(_end(prefixes, "b"), "code").where(f"{first} and part_a <> part_b and 5 * n_a >= 4 * n_b and {left}").where(_may_be_alike())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _bucket_counts(batches):
     """How many lines hold a shingle of each of ``BUCKETS`` buckets: as many rows a task, whatever its input."""
     often = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for s in shingle_sets(batch.column("line").to_pylist()):
-            often += np.bincount(_bucket(np.fromiter(s, np.uint64, len(s))), minlength=BUCKETS)
+        often += np.bincount(_bucket(distinct_shingles(batch.column("line").to_pylist())[0]), minlength=BUCKETS)
     there = np.flatnonzero(often)
     yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(often[there])], names=["bucket", "n"])
 
@@ -339,15 +416,16 @@ def _prefixes(often: np.ndarray):
 
     def task(batches):
         for batch in batches:
-            rows = [[] for _ in range(6)]
-            for node, part, s in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), shingle_sets(batch.column("line").to_pylist()), strict=True):
-                code, n = np.fromiter(s, np.uint64, len(s)), len(s)
-                most, least = n - (4 * n + 4) // 5 + 1, n - (8 * n + 8) // 9 + 1
-                code = code[np.lexsort((code, often[_bucket(code)]))][:most]
-                for column, values in zip(rows, (np.full(most, node), np.full(most, part), np.full(most, n, np.int32), code.view(np.int64), np.arange(most) < least, np.ones(most, bool)), strict=True):
-                    column.append(values[: len(code)])
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], names=["node", "part", "n", "code", "least", "most"])
+            code, line, n = distinct_shingles(batch.column("line").to_pylist())
+            sketch = sketches(code, line, len(n), len(SKETCH))
+            order = np.lexsort((code, often[_bucket(code)], line))
+            place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+            first = place <= (n - (4 * n + 4) // 5)[line]
+            code, line, place = code[order][first], line[first], place[first]
+            node, part = (batch.column(x).take(pa.array(line)) for x in ("node", "part"))
+            yield pa.RecordBatch.from_arrays(
+                [node, part, pa.array(n[line], pa.int32()), pa.array(place, pa.int32()), pa.array(code.view(np.int64)), *map(pa.array, sketch[line].T)], names=["node", "part", "n", "place", "code", *SKETCH]
+            )
 
     return task
 

@@ -51,3 +51,33 @@ def test_a_crowded_band_is_listed_and_all_its_lines_leave_the_chunk():
     out = [row for b in linededup._find(4)(iter([batch])) for row in b.to_pylist()]
     left = np.concatenate([unpacked(r["nodes"], "<u8") for r in out if r["r"] >= 0])
     assert len(left) == len(texts) * linededup.BANDS
+
+
+def test_sketches_rule_out_no_alike_pair():
+    texts = template(60, 4) + [b"abcde", b"abcdef" * 3]
+    code, line, n = linededup.distinct_shingles(texts)
+    sets = linededup.shingle_sets(texts)
+    assert n.tolist() == [len(s) for s in sets]
+    for words in (len(linededup.SKETCH), len(linededup.LONG)):
+        made = linededup.sketches(code, line, len(n), words).view(np.uint64)
+        for a in range(len(texts)):
+            for b in range(a):
+                assert int(np.bitwise_count(made[a] ^ made[b]).sum()) <= len(sets[a] ^ sets[b])
+
+
+def test_bands_of_any_size_find_the_same_pairs_and_few_others_are_compared(spark, monkeypatch):
+    texts = template(90, 5) + template(90, 30, seed=5)
+    node = {signed(xxh3_64_intdigest(x)): x for x in texts}
+    lines = spark.createDataFrame([(n, bytearray(x)) for n, x in node.items()], "node long, line binary")
+    crowded = spark.createDataFrame([(n, 1) for n in node], "node long, key long")
+    none = spark.createDataFrame([], "a long, b long")
+    tried = []
+    verified = linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, rows: tried.append(pairs.count()) or verified(pairs, rows))
+    got = []
+    for most in (len(node), 10):
+        monkeypatch.setattr(linededup, "DIRECT", most)
+        got.append({(r.a, r.b) for r in linededup._rest_of_crowds(crowded, lines, none).collect()})
+    sets = {n: linededup.shingle_sets([x])[0] for n, x in node.items()}
+    want = {(a, b) for a in node for b in node if a < b and linededup.alike(sets[a], sets[b])}
+    assert got == [want, want] and max(tried) < 4 * len(want)
