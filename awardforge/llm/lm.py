@@ -298,6 +298,11 @@ def weigh(parts: dict[str, np.ndarray], back: np.ndarray, discount: float, vocab
     return np.log10(p), np.log10(fail)
 
 
+def arc_order(state: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Arcs by state and word, as one number each: a state has one arc for a word, and both are numbers below 2^31."""
+    return np.argsort(state << 32 | word)
+
+
 def traverse(words: list[int], low: array, arc_word: array, weight: array, target: array, cost: array, fail: array) -> float:
     """The log-probability of one document: a walk from ``BEGIN``, taking failure arcs until the state has an arc for the word.
 
@@ -361,7 +366,7 @@ def score_documents(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BY
                 weight, cost = weigh(parts, back, discount, vocabulary)
                 state = parts.pop("arc_state")
                 count = parts.pop("arc_count")[: int(np.count_nonzero(state == ROOT))].astype(np.float64)
-                sort = np.lexsort((parts["arc_word"], state))
+                sort = arc_order(state, parts["arc_word"])
                 low = np.searchsorted(state[sort], np.arange(len(cost) + 1))
                 ids, words, first = chunk.ids, parts.pop("words"), chunk.words[1]
                 # each array goes once its table is made, so that a worker holds the automaton little more than once

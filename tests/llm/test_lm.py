@@ -122,3 +122,10 @@ spark.stop()
 def test_in_new_workers(tmp_path):
     """Each task in a worker of its own, so that nothing an earlier task imported is there."""
     subprocess.run([sys.executable, "-c", FRESH, str(tmp_path)], check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+def test_arcs_are_ordered_by_state_and_word():
+    rng = np.random.default_rng(5)
+    pairs = rng.permutation(np.unique(rng.integers(0, [40, 2**31], (5000, 2)), axis=0))
+    pairs[:50, 0] += 2**31 - 100
+    assert (lm.arc_order(pairs[:, 0], pairs[:, 1]) == np.lexsort((pairs[:, 1], pairs[:, 0]))).all()
