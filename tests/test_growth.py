@@ -1,6 +1,11 @@
 """Plans and steps that keep the growing tables within their limits."""
 
-from awardforge.operators import history
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from awardforge.operators import history, pricing
 from awardforge.plans import domain
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +46,27 @@ def test_stream_folds_with_sparks_own_state_and_a_retention_gives_the_same(spark
     assert found[0] == found[1]
     assert (found[0]["A"].mod_count, found[0]["A"].obligation, found[0]["C"].mod_count, found[0]["B"].obligation) == (2, -19993, 2, 0)
     assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "false") == "false"
+
+
+def test_candidates_read_the_awards_of_their_office_and_not_all_of_the_cell(spark, tmp_path, monkeypatch):
+    rng, start, n = random.Random(11), dt.date(1995, 1, 1), 2400
+    rows = [dict(award_id=f"a{k:05}", candidate_id=f"RC-a{k:05}", naics="541512", psc="D302", component=f"c{k % 40:02}", award_type="BPA CALL", value=float(rng.randint(10**6, 4 * 10**6)), pop_start=start, current_end=start + dt.timedelta(700), signed=start + dt.timedelta(rng.randint(0, 1000)), pricing_code="J") for k in range(n)]
+    df = spark.createDataFrame(rows).withColumn("value", F.col("value").cast("decimal(18,2)"))
+    choose, seen = pricing._choose, str(tmp_path / "seen")
+
+    def counted(*args):
+        chosen = choose(*args)
+
+        def count(a, p):
+            with open(seen, "a") as out:
+                out.write(f"{len(p)}\n")
+            return chosen(a, p)
+
+        return count
+
+    monkeypatch.setattr(pricing, "_choose", counted)
+    found = pricing.comparable_sets(df, df, part=100)
+    assert {r.rung for r in found.select("rung").collect()} == {"A"} and found.count() == n
+    # each of three passes reads the office once or, where its candidates are cut, once a part
+    with open(seen) as f:
+        assert sum(int(x) for x in f) <= 8 * n
