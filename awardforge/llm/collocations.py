@@ -155,6 +155,19 @@ def bitmap(keys: DataFrame, size: int):
     return spark.sparkContext.broadcast(words)
 
 
+def same_phrases(lang: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For phrases by language and columns of word numbers: the number of each one's text, and by text a place where it stands and how often it occurs.
+
+    Equal numbers of words mean equal texts; keys play no part. Any place of a text will do: asking for the first one makes the sort a slower, stable one.
+    """
+    code = lang
+    for word in words:
+        _, code, n = np.unique(code << 32 | word, return_inverse=True, return_counts=True)
+    place = np.empty(len(n), np.int64)
+    place[code] = np.arange(len(code))
+    return code, place, n
+
+
 def text_counts(docs: DataFrame, proposals: list, known: bool) -> DataFrame:
     """``(lang, phrase, words, key, f)``: phrases counted by their texts. These are the phrases that the last of the proposals makes countable and no
     earlier one did, and with ``known`` the last proposals themselves; then ``words`` 0 has the number of all words of a language."""
@@ -174,10 +187,7 @@ def text_counts(docs: DataFrame, proposals: list, known: bool) -> DataFrame:
                 at, found = at[wanted], found[wanted]
                 if not len(at):
                     continue
-                # equal numbers of words mean equal texts; keys play no part
-                code = lang[at]
-                for k in range(length):
-                    _, first, code, n = np.unique(code << 32 | ids[at + k], return_index=True, return_inverse=True, return_counts=True)
+                _, first, n = same_phrases(lang[at], [ids[at + k] for k in range(length)])
                 spelt = np.stack([ids[at[first] + k] for k in range(length)], axis=1).tolist()
                 texts = pa.array([b" ".join([word[i] for i in phrase]) for phrase in spelt], pa.binary()).cast(pa.string())
                 rows.append(pa.table([langs.take(pa.array(lang[at[first]])), texts, pa.array(np.full(len(n), length, np.int32)), pa.array(found[first].view(np.int64)), pa.array(n)], names))

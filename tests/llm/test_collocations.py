@@ -71,3 +71,16 @@ def test_full_bitmap_changes_nothing(spark):
 
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_phrases_are_counted_by_their_texts():
+    import numpy as np
+
+    from awardforge.llm import collocations
+
+    rng = np.random.default_rng(4)
+    lang, words = rng.integers(0, 2, 500), [rng.integers(1, 5, 500).astype(np.int32) for _ in range(3)]
+    code, place, n = collocations.same_phrases(lang, words)
+    rows = list(zip(lang.tolist(), *[w.tolist() for w in words], strict=True))
+    assert {rows[p]: k for p, k in zip(place.tolist(), n.tolist(), strict=True)} == {r: rows.count(r) for r in rows}
+    assert all(rows[place[c]] == r for c, r in zip(code.tolist(), rows, strict=True))
