@@ -15,6 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import jaccard, shared
@@ -177,12 +178,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of five-word Jaccard similarity 0.8 or more: the smallest doc_id, and one row of each text that it has.
+    """One row of each class of five-word Jaccard similarity 0.8 or more: of the smallest doc_id.
 
     Pairs of that similarity are about 10 bits apart, too far for block shards, so the classes come from
-    :mod:`jaccard`. Rows without a doc_id belong to no class and stay.
+    :mod:`jaccard`. A doc_id that has several texts keeps those that stand for their class, one for each, not all that it has.
+    Rows without a doc_id belong to no class and stay.
     """
-    classes = jaccard.near_duplicates(docs, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi")
-    first = named.dropDuplicates(["doc_id", "text"])
-    return first.select(*docs.columns).union(docs.where("doc_id is null"))
+    found = shared.saved(jaccard.classes(docs, shingle=5), "classes")
+    # the texts of a class that its smallest doc_id has: the same one on every run
+    chosen = found.where("doc_id = component_id").groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("x")).select("x.*")
+    mixed = found.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id")
+    named = docs.where("doc_id is not null")
+    one = lambda df, *by: df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("text"))).where("_n = 1").drop("_n")
+    alone = one(named.join(chosen.join(mixed, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi"), "doc_id")
+    # only rows of such a doc_id are read again for which text each has
+    several = jaccard.with_node(named.join(chosen.join(mixed, "doc_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"), 5)
+    several = one(several.join(chosen.withColumnRenamed("node", "_node"), ["doc_id", "_node"], "left_semi"), "doc_id", "_node")
+    return alone.select(*docs.columns).unionByName(several.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

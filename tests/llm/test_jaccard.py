@@ -98,3 +98,15 @@ def test_prefixes_lose_no_alike_pair(spark):
     met = {(r.a, r.b) for r in jaccard._meeting(nodes, sets).collect()}
     want = {(a, b) for a in node for b in node if a < b and 5 * len(node[a] & node[b]) >= 4 * len(node[a] | node[b])}
     assert want and want <= met
+
+
+def test_a_doc_id_with_several_texts_keeps_one_of_each_class(spark, tmp_path):
+    word = lambda k, n=60: [f"{k}x{i}" for i in range(n)]
+    a, b, c = word("a"), word("b"), word("c")
+    say = " ".join
+    rows = [(3, say(a), "x"), (5, say(b), "x"), (5, say(a[:-1]), "y"), (5, say(b[:-1]), "z"), (5, say(c), "x"), (7, say(c[:-1]), "x"), (8, say(word("d")), "x"), (8, say(word("d")).upper(), "x"), (9, None, "x"), (9, None, "x"), (None, say(a), "x")]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").repartition(3).write.parquet(str(tmp_path / "d"))
+    kept = simhash.keep_one(spark.read.parquet(str(tmp_path / "d")))
+    assert kept.dtypes == [("doc_id", "int"), ("text", "string"), ("lang", "string")]
+    got = [(r.doc_id, (r.text or "").lower()[:1]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, "a"), (5, "b"), (5, "c"), (8, "d"), (9, ""), (None, "a")], key=str)
